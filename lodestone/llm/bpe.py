@@ -30,7 +30,10 @@ from pyspark.sql import types as T
 from lodestone.llm.common import arrow_map
 
 #: Distinct chunks (runs without white space) whose ids a worker keeps; on overflow it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
+
+#: Rows decoded at once.
+DECODE_ROWS = 500
 
 # Unicode White_Space, as the vocabulary's normalizer reads \s.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -275,7 +278,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | N
         return work
 
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
-    return arrow_map(df, text_col, df.columns if keep is None else keep, T.StructType([T.StructField(ids_col, kind)]), make, 8_000_000)
+    return arrow_map(df, text_col, df.columns if keep is None else keep, T.StructType([T.StructField(ids_col, kind)]), make, 3_000_000)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: list[str] | None = None, out_col: str = "decoded") -> DataFrame:
@@ -287,7 +290,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: list[str] | Non
 
     def run(batches):
         v = vocabulary(path)
-        for batch in batches:
+        for batch in (b.slice(i, DECODE_ROWS) for b in batches for i in range(0, b.num_rows, DECODE_ROWS)):
             ids = batch.column(batch.schema.get_field_index(ids_col))
             if not pa.types.is_list(ids.type) and not pa.types.is_large_list(ids.type):
                 texts = [v.decode(np.frombuffer(x.as_buffer(), "<u4").tolist()) if x.is_valid else "" for x in ids]
