@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe
+from lodestone.llm import bpe, decontaminate, jaccard, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,5 +30,89 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+_FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
+b AS (SELECT item_id, {_FOLDED} AS w FROM benchmark),
+p AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS m, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)
+),
+o AS (
+  SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM p))
+),
+h AS (SELECT doc_id, item_id, i, m FROM o JOIN p USING (m, win)),
+hw AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM h) GROUP BY doc_id),
+hi AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+"""
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+f AS (SELECT win, min(doc_id) AS least FROM v GROUP BY win HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM v JOIN f USING (win) WHERE least < doc_id),
+e AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d),
+s AS (SELECT e.doc_id, string_agg(w[k], ' ' ORDER BY k) AS kept, count(*) AS n FROM e ANTI JOIN g USING (doc_id, k) GROUP BY e.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "component_id", "n_links", "kept")
+
+
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(1) ORDER BY g)) AS k FROM s GROUP BY doc_id),
+c AS (SELECT k, min(doc_id) AS class_id FROM n GROUP BY k),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE x / (p.n + q.n - x) >= 0.8),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+deg AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, class_id, component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (k) LEFT JOIN comp USING (doc_id) LEFT JOIN deg USING (doc_id)
+"""
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op7_wu_manber": op7_wu_manber,
+    "op8_substrings": op8_substrings,
+    "op10_jaccard": op10_jaccard,
+}
+ORACLE_SQL: dict[str, str] = {"op7_wu_manber": OP7_SQL, "op8_substrings": OP8_SQL, "op10_jaccard": OP10_SQL}
