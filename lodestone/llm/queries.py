@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, jaccard, substrings
+from lodestone.llm import bpe, decontaminate, jaccard, substrings, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+deg AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, component_id = vec_id AS kept
+FROM v JOIN comp USING (vec_id) LEFT JOIN deg USING (vec_id)
+"""
+
+
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
@@ -111,8 +129,9 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (k) LEFT JOIN comp USING (do
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op6_int8_tiles": op6_int8_tiles,
     "op7_wu_manber": op7_wu_manber,
     "op8_substrings": op8_substrings,
     "op10_jaccard": op10_jaccard,
 }
-ORACLE_SQL: dict[str, str] = {"op7_wu_manber": OP7_SQL, "op8_substrings": OP8_SQL, "op10_jaccard": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_int8_tiles": OP6_SQL, "op7_wu_manber": OP7_SQL, "op8_substrings": OP8_SQL, "op10_jaccard": OP10_SQL}
