@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, jaccard, substrings, vectors
+from lodestone.llm import bpe, decontaminate, html_text, jaccard, licences, pii, quality, shards, substrings, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,33 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.train(docs, _read(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, _ = shards.reshard(_read(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op5_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text.extract(_read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
@@ -105,6 +132,44 @@ FROM d LEFT JOIN s USING (doc_id)
 """
 
 
+def op9_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        F.size("sentence_ids").cast("long").alias("n_sentences"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("licences", ",").alias("licences"),
+    )
+
+
+def _op9_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    table = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in licences.known().items())
+    steps, rest = [], "concat('|', array_to_string(ids, '||'), '|')"
+    for k, (_, ids) in enumerate(licences.RULES):
+        mark = quote("|" + "||".join(ids) + "|")
+        source = f"r{k - 1}" if k else "seq"
+        steps.append(f"r{k} AS (SELECT * EXCLUDE (rest), contains(rest, {mark}) AS h{k}, replace(rest, {mark}, '#') AS rest FROM {source})")
+    last = f"r{len(licences.RULES) - 1}"
+    hits = ", ".join(f"CASE WHEN h{k} THEN {quote(name)} END" for k, (name, _) in enumerate(licences.RULES))
+    order: dict[str, int] = {}
+    for name, _ in licences.RULES:
+        order.setdefault(name, len(order))
+    ranked = ", ".join(f"({quote(n)}, {k})" for n, k in order.items())
+    return f"""
+WITH known(s, id) AS (VALUES {table}), ranked(licence, k) AS (VALUES {ranked}),
+parts AS (SELECT doc_id, unnest(p) AS part, unnest(range(1, len(p) + 1)) AS i
+  FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{licences.ENDS}') AS p FROM documents)),
+ided AS (SELECT doc_id, i, id FROM parts JOIN known ON s = trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))),
+lists AS (SELECT doc_id, list(id ORDER BY i) AS ids FROM ided GROUP BY doc_id),
+seq AS (SELECT doc_id, ids, {rest} AS rest FROM lists), {", ".join(steps)},
+hit AS (SELECT DISTINCT doc_id, licence FROM (SELECT doc_id, unnest([{hits}]) AS licence FROM {last}) WHERE licence IS NOT NULL),
+named AS (SELECT doc_id, string_agg(licence, ',' ORDER BY k) AS licences FROM hit JOIN ranked USING (licence) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(licences, '') AS licences
+FROM documents LEFT JOIN lists USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "component_id", "n_links", "kept")
 
@@ -129,9 +194,14 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (k) LEFT JOIN comp USING (do
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_compression": op2_compression,
+    "op3_flow": op3_flow,
+    "op4_weak_supervision": op4_weak_supervision,
+    "op5_tag_paths": op5_tag_paths,
     "op6_int8_tiles": op6_int8_tiles,
     "op7_wu_manber": op7_wu_manber,
     "op8_substrings": op8_substrings,
+    "op9_sentence_rules": op9_sentence_rules,
     "op10_jaccard": op10_jaccard,
 }
-ORACLE_SQL: dict[str, str] = {"op6_int8_tiles": OP6_SQL, "op7_wu_manber": OP7_SQL, "op8_substrings": OP8_SQL, "op10_jaccard": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_int8_tiles": OP6_SQL, "op7_wu_manber": OP7_SQL, "op8_substrings": OP8_SQL, "op9_sentence_rules": _op9_sql(), "op10_jaccard": OP10_SQL}
