@@ -63,6 +63,12 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def redealt(df: DataFrame) -> DataFrame:
+    """df in a fresh round-robin partitioning. An aggregate's result is joined from
+    it by a shuffle of its own; only then can Spark split the other side's hot keys."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 # --------------------------------------------------------------- Arrow plumbing
 
 

@@ -10,9 +10,10 @@ equal anchors, so an anchor's count bounds its windows' counts from above.
    anchors up to `max_bits` cells a row, so the bits sent out have a fixed bound
    (2 x 32 MB); beyond it more windows pass, none is lost.
 2. Runs whose anchor may repeat are grouped exactly, by a 128-bit digest of their
-   words, to the smallest doc_id. Where an anchor has several different runs,
-   their windows are grouped too, by anchor and window hash (two independent
-   64-bit hashes), one representative for each distinct run.
+   words, to the smallest doc_id. Where an anchor has several different runs, one
+   document shows each run's windows; a second sketch of the same kind counts those, and the
+   ones that may repeat are grouped too, by anchor and window hash (two
+   independent 64-bit hashes).
 3. Word ranges of windows that a smaller doc_id holds go back to their documents.
 
 Copies of a passage cost one short row a run, not one a window, and no group is
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import SPACES, Words, arrow_map, byte_table, materialize, mix, pieces, rolling_hashes, text_bytes
+from lodestone.llm.common import SPACES, Words, arrow_map, byte_table, delete_path, materialize, mix, pieces, redealt, rolling_hashes, text_bytes
 
 WINDOW, GRAM = 50, 8
 #: Cells of a sketch row, as a power of two: the largest, and cells for an anchor.
@@ -74,42 +75,90 @@ def _cells(anchors: np.ndarray, row: int) -> np.ndarray:
     return (mix(anchors ^ np.uint64(_SEEDS[row])) >> np.uint64(64 - MAX_BITS)).astype(np.int64)
 
 
-def sketch(documents: DataFrame, text_col: str, window: int, gram: int) -> DataFrame:
+SKETCH = "line int, range int, cells binary, keys long"
+
+
+def packed_sketch(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A partition's count-min sketch: for each row and range, its cells that
     count, each with 1 in the lowest bit if it counts two or more."""
-    schema = "line int, range int, cells binary, anchors long"
+    low = MAX_BITS - _RANGE_BITS
+    for row in range(len(_SEEDS) if len(keys) else 0):
+        cells, counts = np.unique(_cells(keys, row), return_counts=True)
+        packed = (((cells & ((1 << low) - 1)) << 1) | (counts > 1)).astype("<u4")
+        cuts = np.searchsorted(cells >> low, np.arange((1 << _RANGE_BITS) + 1))
+        some = [r for r in range(1 << _RANGE_BITS) if cuts[r] < cuts[r + 1]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([row] * len(some), pa.int32()),
+                pa.array(some, pa.int32()),
+                pa.array([packed[cuts[r] : cuts[r + 1]].tobytes() for r in some], pa.binary()),
+                pa.array([cuts[r + 1] - cuts[r] for r in some], pa.int64()),
+            ],
+            names=["line", "range", "cells", "keys"],
+        )
+
+
+def anchor_sketch(documents: DataFrame, text_col: str, window: int, gram: int) -> DataFrame:
+    """Partition sketches of all runs' anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [runs(Words(*text_bytes(part.column(0)), TABLE), window, gram)[0] for batch in batches for part in pieces(batch, text_col, 2_000_000)]
+        yield from packed_sketch(np.concatenate(found) if found else np.zeros(0, np.uint64))
+
+    return documents.select(f"`{text_col}`").mapInArrow(run, SKETCH)
+
+
+def _window_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch (anchor, windows, ...): a key for each window, its row, its place in it."""
+    lists = batch.column(1)
+    hashes = lists.flatten().to_numpy().view(np.uint64)
+    n = lists.value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(n)), n)
+    anchor = batch.column(0).to_numpy().view(np.uint64)
+    return mix(hashes ^ mix(anchor)[row]), row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def window_sketch(shown: DataFrame) -> DataFrame:
+    """Partition sketches of the windows of runs (anchor, windows, ...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [_window_keys(batch)[0] for batch in batches]
+        yield from packed_sketch(np.concatenate(found) if found else np.zeros(0, np.uint64))
+
+    return shown.select("anchor", "windows").mapInArrow(run, SKETCH)
+
+
+def repeated_windows(shown: DataFrame, sent: Bits) -> DataFrame:
+    """(anchor, hash, off, run, least) of the windows that may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
         for batch in batches:
-            for part in pieces(batch, text_col, 2_000_000):
-                found.append(runs(Words(*text_bytes(part.column(0)), TABLE), window, gram)[0])
-        anchors = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        if not len(anchors):
-            return
-        low = MAX_BITS - _RANGE_BITS
+            keys, row, off = _window_keys(batch)
+            ok = np.flatnonzero(sent.may_repeat(keys))
+            at = pa.array(row[ok])
+            columns = [batch.column(0).take(at), batch.column(1).flatten().take(pa.array(ok)), pa.array(off[ok].astype(np.int32)), batch.column(2).take(at), batch.column(3).take(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "hash", "off", "run", "least"])
+
+    return shown.select("anchor", "windows", "run", "least").mapInArrow(run, "anchor long, hash long, off int, run binary, least long")
+
+
+class Bits:
+    """The merged sketch, one bit a cell: two or more. Held as a broadcast."""
+
+    def __init__(self, sent, bits: int):
+        self.sent, self.bits = sent, bits
+
+    def may_repeat(self, keys: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(keys), bool)
         for row in range(len(_SEEDS)):
-            cells, counts = np.unique(_cells(anchors, row), return_counts=True)
-            packed = (((cells & ((1 << low) - 1)) << 1) | (counts > 1)).astype("<u4")
-            ranges = cells >> low
-            cuts = np.searchsorted(ranges, np.arange((1 << _RANGE_BITS) + 1))
-            some = [r for r in range(1 << _RANGE_BITS) if cuts[r] < cuts[r + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row] * len(some), pa.int32()),
-                    pa.array(some, pa.int32()),
-                    pa.array([packed[cuts[r] : cuts[r + 1]].tobytes() for r in some], pa.binary()),
-                    pa.array([cuts[r + 1] - cuts[r] for r in some], pa.int64()),
-                ],
-                names=["line", "range", "cells", "anchors"],
-            )
-
-    return documents.select(f"`{text_col}`").mapInArrow(run, schema)
-
-
-def merged_bits(sketches: DataFrame) -> tuple[np.ndarray, int]:
-    """Bits "two or more" of each row of the merged sketch, and the row's size as a power of two."""
-    total = sketches.where("line = 0").agg(F.sum("anchors")).first()[0] or 0
+            c = _cells(keys, row) >> (MAX_BITS - self.bits)
+            ok &= (self.sent.value[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
+        return ok
+
+
+def merged_bits(sketches: DataFrame) -> Bits:
+    """Merge partition sketches, range by range."""
+    total = sketches.where("line = 0").agg(F.sum("keys")).first()[0] or 0
     bits = min(MAX_BITS, max(16, int(np.ceil(np.log2(max(1, total) * CELLS_AN_ANCHOR)))))
     fold, size = MAX_BITS - bits, 1 << (bits - _RANGE_BITS)
 
@@ -129,28 +178,19 @@ def merged_bits(sketches: DataFrame) -> tuple[np.ndarray, int]:
     # at most 2 x 32 MB, whatever the input
     for r in sketches.groupBy("line", "range").applyInArrow(merge, "line int, range int, bits binary").toLocalIterator():
         out[r["line"], r["range"] * step : (r["range"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
-    return out, bits
+    return Bits(sketches.sparkSession.sparkContext.broadcast(out), bits)
 
 
-def repeated_runs(documents: DataFrame, doc_col: str, text_col: str, bits, size_bits: int, window: int, gram: int) -> DataFrame:
+def repeated_runs(documents: DataFrame, doc_col: str, text_col: str, sent: Bits, window: int, gram: int) -> DataFrame:
     """Runs whose anchor may repeat, with the digest of their words and their windows' hashes."""
     schema = "doc long, tkey long, first int, n int, anchor long, run binary, windows array<long>"
-    down = MAX_BITS - size_bits
-
-    def may_repeat(anchors: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(anchors), bool)
-        for row in range(len(_SEEDS)):
-            c = _cells(anchors, row) >> down
-            ok &= (bits.value[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
-        return ok
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", 2_000_000):
                 data, offsets = text_bytes(part.column(2))
                 w = Words(data, offsets, TABLE)
                 anchor, first, n = runs(w, window, gram)
-                ok = may_repeat(anchor)
+                ok = sent.may_repeat(anchor)
                 anchor, first, n = anchor[ok], first[ok], n[ok]
                 if not len(first):
                     continue
@@ -179,27 +219,33 @@ def repeated_runs(documents: DataFrame, doc_col: str, text_col: str, bits, size_
 
 def removed_ranges(documents: DataFrame, doc_col: str, text_col: str, window: int, gram: int) -> DataFrame:
     """(doc, tkey, ranges): word ranges that windows of smaller documents cover."""
-    spark = documents.sparkSession
-    sketches, _ = materialize(sketch(documents, text_col, window, gram), "sketches")
-    found, size_bits = merged_bits(sketches)
-    rows, _ = materialize(repeated_runs(documents, doc_col, text_col, spark.sparkContext.broadcast(found), size_bits, window, gram), "runs")
-
-    classes, _ = materialize(rows.groupBy("anchor", "run").agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "run_classes")
-    several = classes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    mixed = classes.join(several, "anchor")
-    shown = rows.select("run", F.col("doc").alias("least"), "windows").join(mixed.select("anchor", "run", "least"), ["run", "least"])
-    shown = shown.select("anchor", "run", "least", F.posexplode("windows").alias("off", "hash"))
-    least = shown.groupBy("anchor", "hash").agg(F.min("least").alias("w"), F.max("least").alias("z")).where("w < z").select("anchor", "hash", "w")
-    inside = shown.select("anchor", "run", "hash", "off").distinct().join(least, ["anchor", "hash"]).groupBy("run").agg(F.collect_list(F.struct("off", "w")).alias("offs"))
+    sketches, sketch_path = materialize(anchor_sketch(documents, text_col, window, gram), "anchor_sketches")
+    rows, rows_path = materialize(repeated_runs(documents, doc_col, text_col, merged_bits(sketches), window, gram), "runs")
+    classes, classes_path = materialize(rows.groupBy("anchor", "run").agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "run_classes")
+
+    # anchors of several different runs: one document shows each run's windows
+    several = redealt(classes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))
+    mixed = classes.join(several, "anchor").select("anchor", "run", "least")
+    chosen = rows.select("run", F.col("doc").alias("least"), "windows").join(mixed, ["run", "least"])
+    shown, shown_path = materialize(chosen.select("anchor", "windows", "run", "least"), "shown_runs")
+    window_sketches, window_path = materialize(window_sketch(shown), "window_sketches")
+    again, again_path = materialize(repeated_windows(shown, merged_bits(window_sketches)), "repeated_windows")
+    least = redealt(again.groupBy("anchor", "hash").agg(F.min("least").alias("w"), F.max("least").alias("z")).where("w < z").select("anchor", "hash", "w"))
+    # a run that a document repeats is shown more than once: equal rows are one
+    inside = again.select("anchor", "run", "hash", "off").join(least, ["anchor", "hash"]).groupBy("run").agg(F.collect_set(F.struct("off", "w")).alias("offs"))
+
     # of a run's windows, `least` bounds those of equal runs, `offs` those of other runs with its anchor
-    useful = classes.join(inside, "run", "left").where("least < most OR offs IS NOT NULL").select("run", "least", "offs")
+    useful = redealt(classes.join(inside, "run", "left").where("least < most OR offs IS NOT NULL").select("run", "least", "offs"))
     hits = rows.select("doc", "tkey", "first", "n", "run").join(useful, "run")
     own = F.filter("offs", lambda x: x["w"] < F.col("doc"))
     spans = F.when(F.col("least") < F.col("doc"), F.array(F.struct(F.col("first").alias("s"), (F.col("first") + F.col("n") + window - 1).alias("e")))).otherwise(
         F.coalesce(F.transform(own, lambda x: F.struct((F.col("first") + x["off"]).alias("s"), (F.col("first") + x["off"] + window).alias("e"))), F.array())
     )
     hits = hits.select("doc", "tkey", spans.alias("spans")).where("size(spans) > 0")
-    return hits.groupBy("doc", "tkey").agg(F.flatten(F.collect_list("spans")).alias("ranges"))
+    ranges, _ = materialize(hits.groupBy("doc", "tkey").agg(F.flatten(F.collect_list("spans")).alias("ranges")), "ranges")
+    for path in (sketch_path, rows_path, classes_path, shown_path, window_path, again_path):
+        delete_path(documents.sparkSession, path)
+    return ranges
 
 
 RESULT = T.StructType(
