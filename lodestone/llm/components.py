@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import delete_path, materialize
+from lodestone.llm.common import delete_path, materialize, redealt
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -29,10 +29,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return spark.createDataFrame([], "node bigint, component bigint")
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        least = redealt(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(floor, "u")
+        joined = large.join(redealt(floor), "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(floor.select("u", F.col("m").alias("v"))).distinct()
         new, new_path = materialize(small, "edges")
         delete_path(spark, path)
