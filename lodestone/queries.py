@@ -323,7 +323,7 @@ def e4(spark, sf):
 
 _MD = """body AS (SELECT n_regionkey, CAST(n_nationkey AS VARCHAR) AS k, n_name AS v, n_nationkey AS o FROM nation UNION ALL SELECT DISTINCT n_regionkey, 'key', 'name', -1 FROM nation),
 wid AS (SELECT n_regionkey, max(len(k)) AS a, max(len(v)) AS b FROM body GROUP BY ALL),
-md AS (SELECT n_regionkey AS page, string_agg('| ' || rpad(k, a, ' ') || ' | ' || rpad(v, b, ' ') || ' |' || CASE WHEN o = -1 THEN chr(10) || '| ' || repeat('-', a) || ' | ' || repeat('-', b) || ' |' ELSE '' END, chr(10) ORDER BY o) AS markdown
+md AS (SELECT n_regionkey AS page, string_agg('| ' || rpad(k, CAST(a AS INTEGER), ' ') || ' | ' || rpad(v, CAST(b AS INTEGER), ' ') || ' |' || CASE WHEN o = -1 THEN chr(10) || '| ' || repeat('-', a) || ' | ' || repeat('-', b) || ' |' ELSE '' END, chr(10) ORDER BY o) AS markdown
   FROM body JOIN wid USING (n_regionkey) GROUP BY n_regionkey)"""
 
 
@@ -346,7 +346,7 @@ def e7(spark, sf):
 
 @query("e8_framing", f"WITH {_MD} SELECT page, chr(10) || '[TABLE]' || chr(10) || markdown || chr(10) || '[/TABLE]' AS framed FROM md")
 def e8(spark, sf):
-    return extract.page_tables(cells(spark, sf)).select("page", extract.framed(F.explode("markdowns")).alias("framed"))
+    return extract.page_tables(cells(spark, sf)).select("page", F.explode("markdowns").alias("md")).select("page", extract.framed(F.col("md")).alias("framed"))
 
 
 _IMAGES = "im AS (SELECT doc_id AS page, source, 1 AS image_ix, 50 + doc_id % 120 AS width, 80 + doc_id % 50 AS height, CASE WHEN doc_id % 4 > 0 THEN lang ELSE NULL END AS caption FROM documents)"
@@ -606,12 +606,12 @@ def a10(spark, sf):
 _LOG = "qs AS (SELECT conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS query_no, conv_id * 1000 + turn AS query_id, text AS raw FROM conversations WHERE role = 'user')"
 
 
-@query("a11_chat_log", f"WITH {_LOG} SELECT session_id, query_no * 2 AS turn, 'user' AS role, raw AS content FROM qs UNION ALL SELECT session_id, query_no * 2 + 1, 'assistant', upper(raw) FROM qs")
+@query("a11_chat_log", f"WITH {_LOG} SELECT session_id, query_no * 2 AS turn, 'user' AS role, raw AS content FROM qs UNION ALL SELECT session_id, query_no * 2 + 1, 'assistant', 're: ' || raw FROM qs")
 def a11(spark, sf):
     users = _table(spark, sf, "conversations").where("role = 'user'")
     order = (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("long")
     q = users.select(F.col("conv_id").alias("session_id"), order.alias("query_no"), (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("raw"))
-    return answer.chat_log(q, q.select("query_id", F.upper("raw").alias("answer")))
+    return answer.chat_log(q, q.select("query_id", F.concat(F.lit("re: "), "raw").alias("answer")))
 
 
 @query("stream_ingest", f"WITH RECURSIVE {_CHUNKS} SELECT source, page, chunk_no, n_words FROM chunks")
