@@ -168,7 +168,9 @@ def search(
 def _scan(df: DataFrame, block: dict, text_col: str, carry: list[str], first: bool) -> DataFrame:
     tables = build(block)
     new = T.StructType([T.StructField(f"__{f.name}", f.dataType) for f in RESULT])
-    before = [] if first else [f.name for f in new]
+    before = [] if first else [f"__old_{f.name}" for f in RESULT]
+    for f in [] if first else RESULT:
+        df = df.withColumnRenamed(f"__{f.name}", f"__old_{f.name}")
 
     def make():
         def work(part: pa.RecordBatch) -> list:
@@ -193,8 +195,8 @@ def _scan(df: DataFrame, block: dict, text_col: str, carry: list[str], first: bo
                     d = int(w.doc[s])
                     spans.setdefault(d, []).append({"first": s - int(w.first[d]), "end": e - int(w.first[d])})
             if before:
-                old = part.column(part.schema.get_field_index("__hit_spans")).to_pylist()
-                ids = part.column(part.schema.get_field_index("__item_ids")).to_pylist()
+                old = part.column(part.schema.get_field_index("__old_hit_spans")).to_pylist()
+                ids = part.column(part.schema.get_field_index("__old_item_ids")).to_pylist()
                 spans = {d: _union(old[d] + spans.get(d, [])) for d in range(part.num_rows)}
                 named = {d: set(ids[d]) | named.get(d, set()) for d in range(part.num_rows)}
             rows = range(part.num_rows)
@@ -202,7 +204,7 @@ def _scan(df: DataFrame, block: dict, text_col: str, carry: list[str], first: bo
 
         return work
 
-    return arrow_map(df, text_col, [*carry, *before], new, make, 4_000_000)
+    return arrow_map(df, text_col, [*carry, *before], new, make, 4_000_000).drop(*before)
 
 
 def _union(spans: list[dict]) -> list[dict]:

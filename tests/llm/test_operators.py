@@ -1,0 +1,506 @@
+"""Each corpus operator against brute force, and on odd tables: nulls, empty and very
+long texts, ties, repeated rows, no rows, extra columns with clashing names."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import bpe, components, decontaminate, html_text, jaccard, licences, pii, quality, shards, substrings, vectors
+from lodestone.llm.common import materialize
+from lodestone.llm.queries import tokenizer_path
+from tests.conftest import SF
+
+ROW = "doc_id long, text string, lang string"
+LONG = " ".join(f"w{i % 977}" for i in range(30_000))
+
+
+def prose(seed, n, words=200):
+    r = random.Random(seed)
+    return " ".join(f"{r.choice('abcdefgh')}{r.randrange(words)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, blank, very long, equal and repeated texts, a null id."""
+    shared = prose(1, 120)
+    rows = [(1, None, "en"), (2, "", "en"), (3, " \n\t ", None), (4, LONG, "en"), (5, shared, "en"), (6, shared, "fr"), (7, shared + " tail", "en"), (8, "one two", "en"), (9, "one two", "en"), (None, shared, "en"), (10, "x", "en"), (10, "x", "en")]
+    return spark.createDataFrame(rows, ROW)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], ROW)
+
+
+# ------------------------------------------------------------------------- BPE
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def test_bpe_equals_the_library(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").unionByName(odd)
+    odd_texts = ["<|endoftext|>a<|startoftext|> b", "ΣΑΣ İstanbul café ½ 1²", "a\x1cb\u0085c　d", "it's we'll THEY'D", "é é"]
+    docs = docs.unionByName(spark.createDataFrame([(100 + i, t, "xx") for i, t in enumerate(odd_texts)], ROW))
+    got = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path()).collect()
+    tok = library()
+    assert len(got) == docs.count()
+    for r in got:
+        want = tok.encode(r["text"] or "", add_special_tokens=False).ids
+        assert r["ids"] == want
+        assert r["decoded"] == tok.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_both_orders_of_merging_agree():
+    v = bpe.Vocabulary(tokenizer_path())
+    r = random.Random(5)
+    words = ["".join(r.choice("abcinthe") for _ in range(r.randrange(1, 14))) for _ in range(2000)] + ["a" * k for k in range(1, 20)]
+    assert v.ordered and v.merge_words(words) == v.merge_in_turn(words)
+
+
+def test_bpe_packed_and_clashing_columns(spark, odd, none):
+    clash = odd.withColumn("ids", F.lit("old")).withColumn("decoded", F.lit(7))
+    rows = bpe.decode(bpe.encode(clash, tokenizer_path(), packed=True), tokenizer_path()).where("doc_id = 8").collect()
+    assert len(rows[0]["ids"]) % 4 == 0 and rows[0]["decoded"] == "one</w> two</w>"
+    assert bpe.encode(none, tokenizer_path()).count() == 0
+
+
+# --------------------------------------------------------------------- quality
+
+
+def test_quality_on_held_out_labels(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model, keep=["doc_id"]).collect()}
+    known = [(r["doc_id"], r["quality"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    right = sum((got[d] >= 0.5) == (q == 1) for d, q in known)
+    assert right / len(known) >= 0.95
+    assert all(0 <= s <= 1 for s in got.values())
+
+
+def test_quality_never_learns_held_out_labels(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    flipped = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert quality.train(docs, labels) == quality.train(docs, flipped)
+
+
+def test_quality_on_odd_tables(spark, odd, none):
+    labels = spark.createDataFrame([(5, 1), (5, 1), (4, 0), (6, 1), (6, 0), (None, 1), (7, None)], "doc_id long, quality int")
+    for model in (quality.train(odd, labels), quality.train(odd, labels.limit(0))):
+        got = quality.score(odd.withColumn("score", F.lit("old")), model).collect()
+        assert len(got) == 12 and all(0 <= r["score"] <= 1 for r in got)
+        assert len({r["score"] for r in got if r["text"] and r["text"].startswith(prose(1, 120)) and len(r["text"]) == len(prose(1, 120))}) == 1
+    assert quality.train(odd, labels.limit(0)).weights == (0.0, 0.0, 0.0)
+    assert quality.score(none, quality.train(none, labels)).count() == 0
+
+
+# ---------------------------------------------------------------------- shards
+
+
+def test_flow_is_of_least_cost():
+    r = random.Random(2)
+    for _ in range(40):
+        n, m = r.randrange(1, 4), r.randrange(1, 4)
+        supply = [r.randrange(0, 4) for _ in range(n)]
+        capacity = [r.randrange(0, 5) for _ in range(m)]
+        if sum(supply) > sum(capacity):
+            continue
+        cost = [[r.randrange(0, 6) for _ in range(m)] for _ in range(n)]
+        flow = shards.minimum_cost_flow(supply, capacity, cost)
+        assert [sum(f) for f in flow] == supply
+        assert all(sum(f[j] for f in flow) <= capacity[j] for j in range(m))
+        units = [i for i, s in enumerate(supply) for _ in range(s)]
+        best = min((sum(cost[i][j] for i, j in zip(units, to, strict=True)) for to in itertools.product(range(m), repeat=len(units)) if all(to.count(j) <= capacity[j] for j in range(m))), default=0)
+        assert sum(cost[i][j] * flow[i][j] for i in range(n) for j in range(m)) == best
+
+
+def test_reshard_is_even_and_gapless(spark, odd, none):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text", "lang").unionByName(odd)
+    rows, made = shards.reshard(docs.withColumn("shard", F.lit("old")), 8, blocks=64)
+    rows = rows.collect()
+    assert len(rows) == docs.count()
+    largest = max(r["size"] for r in rows)
+    total = Counter()
+    slots = defaultdict(list)
+    for r in rows:
+        total[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert max(total.values()) - min(total.values()) <= 4 * largest
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    by = {r["doc_id"]: r for r in rows}
+    assert by[2]["size"] == 1 and by[8]["size"] == 8 and by[8]["text_crc32"] == zlib.crc32(b"one two")
+    moved = sum(r["size"] for r in rows if r["shard"] != r["old_shard"])
+    assert abs(moved - made.moved) <= 16 * largest
+    assert shards.reshard(none, 8)[0].count() == 0
+
+
+def test_only_affected_files_are_rewritten(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * 99, "en") for i in range(400)], ROW)
+    old = docs.withColumn("shard", F.when(F.col("doc_id") < 200, 0).when(F.col("doc_id") < 300, 1).otherwise(2))
+    old.write.partitionBy("shard").parquet(f"{tmp_path}/old")
+    rows, made = shards.reshard(old, 3, old_col="shard", old_shards=3, capacities=[15_000, 15_000, 10_000], blocks=16)
+    assert made.affected == {0, 1} and made.moved == 5_000
+    listed = {r["shard"]: r for r in shards.rewrite_affected(spark, f"{tmp_path}/old", f"{tmp_path}/new", made, rows).collect()}
+    assert {k: r["rewritten"] for k, r in listed.items()} == {0: True, 1: True, 2: False}
+    read = {k: spark.read.parquet(r["path"]).count() for k, r in listed.items()}
+    assert sum(read.values()) == 400 and read[2] == 100 and abs(read[0] - 150) <= 2
+
+
+# ------------------------------------------------------------------------- PII
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def test_emails_equal_the_pattern():
+    r = random.Random(3)
+    for _ in range(20_000):
+        s = "".join(r.choice("ab@@.. -+%é") for _ in range(r.randrange(25)))
+        assert list(pii.emails(s)) == [m.span() for m in EMAIL.finditer(s)]
+
+
+def test_base_patterns():
+    text = "mail a.b@c.example.com, ip 10.0.0.1 or 300.1.1.1, card 4111 1111 1111 1111, bad 4111111111111112, call +1 (499) 555-6503."
+    got = {k: [text[s:e] for s, e in v] for k, v in pii.base_spans(text).items()}
+    assert got == {"email": ["a.b@c.example.com"], "ip": ["10.0.0.1"], "card": ["4111 1111 1111 1111"], "phone": ["+1 (499) 555-6503"]}
+
+
+def test_labelers_and_classifier_add_spans(spark):
+    rows = [(i, f"Call me on +1 (212) 555-01{i:02d} or mail u{i}@site{i}.com, ip 10.1.2.{i}", "en") for i in range(60)]
+    rows += [(100, "phone: 212-555-0147 office", "en"), (101, "write to jane.doe (at) example (dot) com please", "en"), (102, "order 212 of 555 items", "en")]
+    docs = spark.createDataFrame(rows, ROW)
+    model = pii.train(docs)
+    got = {r["doc_id"]: r["spans"] for r in pii.find(docs, model).collect()}
+    assert [s["kind"] for s in got[100]] == ["phone"] and not got[100][0]["base"]
+    assert [s["kind"] for s in got[101]] == ["email"]
+    assert got[102] == []
+    assert [s["kind"] for s in got[5]] == ["email", "ip", "phone"]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs, model).collect()}
+    assert clean[5] == "Call me on [phone] or mail [email], ip [ip]" and clean[102] == rows[-1][1]
+
+
+def test_em_trusts_the_labeler_that_agrees():
+    votes = np.array([[1, 1, 1, -1], [-1, 1, 1, -1], [-1, 0, 0, 1], [-1, 0, 0, 0]])
+    posterior, rate = pii.expectation_maximisation(votes, np.array([500.0, 20, 5, 300]))
+    assert posterior[0] > 0.95 and posterior[1] > 0.7 and posterior[3] < 0.2
+    assert rate[1][0] > rate[1][1]
+
+
+def test_pii_on_odd_tables(odd, none):
+    model = pii.train(odd)
+    assert all(r["spans"] == [] for r in pii.find(odd.withColumn("spans", F.lit(1)), model).collect())
+    assert [r["text"] for r in pii.redact(odd.orderBy("doc_id", "lang"), model).collect()] == [r["text"] for r in odd.orderBy("doc_id", "lang").collect()]
+    assert pii.find(none, pii.train(none)).count() == 0
+
+
+# ------------------------------------------------------------------------ HTML
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body>
+<div id="cookie-notice"><p>We use cookies, lots of cookies, for all. Accept them now, please.</p></div>
+<header><h1>The Site</h1></header><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav>
+<aside><p>Side text that is long enough, with commas, to look like content. Yes.</p></aside>
+<article><header><h1>Title &amp; more</h1></header><p>First   para, with\n text. It goes on, and on.<p>Short.
+<div class="ad">Buy, buy, buy this now. It is cheap, really.</div><ul><li>one<li>two</ul>
+<p>Last <b>bold</b> para, with &lt;tag&gt; and &#8212; dash. End.</p><form><button>Go</button></form>
+<section class="comments"><p>Nice text, thank you. I liked it, a lot.</p></section></article>
+<footer>&copy; all of it, every year, forever. Contact us.</footer></body>"""
+
+
+def test_main_text():
+    want = ["Title & more", "First para, with text. It goes on, and on.", "Short.", "one", "two", "Last bold para, with <tag> and — dash. End."]
+    assert html_text.main_text(PAGE).split("\n\n") == want
+
+
+def test_main_text_without_an_article():
+    page = PAGE.replace("<article>", "<div class=wrap><div>").replace("</article>", "</div></div>").replace("<header><h1>Title &amp; more</h1></header>", "<h2>Title &amp; more</h2>")
+    assert html_text.main_text(page) == html_text.main_text(PAGE)
+
+
+def test_pages_template(spark):
+    import html
+
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"</?b>", "", re.sub("<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert html_text.main_text(r["html"]) == "\n\n".join(b for b in blocks if b)
+
+
+def test_broken_markup_never_fails():
+    r = random.Random(4)
+    for _ in range(3000):
+        html_text.main_text("".join(r.choice(["<", ">", "</", "<p>", "<div class='a", "<!--", "-->", "<script>", "</script>", "x y", "&amp", "&#", "<article>", "</article>", "<table><tr><td>", '"', "<li>", "<![CDATA[", "<br/>"]) for _ in range(r.randrange(12))))
+
+
+def test_html_on_odd_tables(spark, none):
+    rows = spark.createDataFrame([(1, None, "u"), (2, "", "u"), (3, "<p>" * 3000 + "deep", "u"), (4, "plain", None), (4, "plain", None)], "page_id long, html string, text string")
+    got = [r["text"] for r in html_text.extract(rows).orderBy("page_id").collect()]
+    assert got == ["", "", "deep", "plain", "plain"]
+    assert html_text.extract(none, html_col="text").count() == 0
+
+
+# --------------------------------------------------------------------- vectors
+
+
+def test_vectors_equal_brute_force(spark):
+    r = np.random.default_rng(7)
+    base = r.normal(size=(12, 16))
+    x = np.concatenate([b + 0.25 * r.normal(size=(20, 16)) for b in base]).astype(np.float32)
+    x = np.concatenate([x, x[:30], x[:5] * 3])
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, [1.0, 2.0]), (905, []), (None, rows[0][1]), (906, [1e30] * 16), (907, [2e30] * 16)]
+    got = {q["vec_id"]: q for q in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("kept", F.lit(1))).collect()}
+    valid = {i: np.array(v, np.float64) for i, v in rows if i is not None and i not in (900, 901, 902, 903, 905)}
+    links = defaultdict(set)
+    for a, b in itertools.combinations(valid, 2):
+        p, q = valid[a], valid[b]
+        if len(p) == len(q) and p @ q / np.sqrt((p @ p) * (q @ q)) >= 0.9:
+            links[a].add(b)
+            links[b].add(a)
+    reach = {i: i for i in valid}
+    for _ in range(300):
+        for a in links:
+            reach[a] = min([reach[a], *(reach[b] for b in links[a])])
+    assert len(got) == len(rows)
+    for i in valid:
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(links[i]), reach[i], reach[i] == i)
+    for i in (900, 901, 902, 903, 905):
+        assert (got[i]["n_links"], got[i]["component_id"]) == (0, i)
+    assert got[None]["n_links"] == 0
+
+
+def test_error_bound_holds():
+    r = np.random.default_rng(8)
+    x = r.normal(size=(400, 33))
+    s = vectors.Side(np.arange(400), np.ones(400, int), x)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    approx = (s.q.astype(float) @ s.q.T.astype(float)) * s.scale[:, None] * s.scale[None, :]
+    bound = s.rest[:, None] + s.rest[None, :] + 3 * s.rest[:, None] * s.rest[None, :]
+    assert (np.abs(u @ u.T - approx) <= bound).all()
+
+
+def test_vectors_over_many_strips(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LEAST_STRIP", 8)
+    monkeypatch.setattr(vectors, "TILE", 8)
+    r = np.random.default_rng(9)
+    x = np.repeat(r.normal(size=(6, 8)), 12, axis=0) + 0.05 * r.normal(size=(72, 8))
+    got = vectors.near_duplicates(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert [q["n_links"] for q in sorted(got)] == near.tolist()
+    assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+# --------------------------------------------------------------- decontamination
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {65 + i: 97 + i for i in range(26)}
+
+
+def fold(t):
+    return WORD.findall((t or "").translate(LOWER))
+
+
+def brute_hits(texts, items):
+    out = []
+    for t in texts:
+        w, hit, found = fold(t), set(), set()
+        for item, text in items:
+            iw = fold(text)
+            n = min(10, len(iw))
+            wins = {tuple(iw[i : i + n]) for i in range(len(iw) - n + 1)} if n else set()
+            for i in range(len(w) - n + 1) if n else ():
+                if tuple(w[i : i + n]) in wins:
+                    hit.update(range(i, i + n))
+                    if item is not None:
+                        found.add(str(item))
+        out.append((len(w), len(hit), sorted(found)))
+    return out
+
+
+@pytest.mark.parametrize("max_windows", [100_000, 7])
+def test_decontamination_equals_brute_force(spark, odd, max_windows):
+    items = [(1, prose(1, 30)), (2, "One, TWO!"), (3, "x"), (3, "x"), (4, ""), (5, None), (None, prose(1, 12)), (6, "Üb ßx"), (10, prose(2, 14)), (11, prose(2, 14))]
+    docs = odd.unionByName(spark.createDataFrame([(50, "a " + prose(2, 14).upper() + ". üb, ßx Üb-ßX", "de")], ROW))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(0))
+    got = decontaminate.search(docs.withColumn("n_words", F.lit("old")), bench, max_windows=max_windows).collect()
+    want = brute_hits([r["text"] for r in got], items)
+    assert [(r["n_words"], sum(s["end"] - s["first"] for s in r["hit_spans"]), r["item_ids"]) for r in got] == want
+    assert any(h for _, h, _ in want)
+
+
+def test_decontamination_of_nothing(spark, odd, none):
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert all(r["hit_spans"] == [] for r in decontaminate.search(odd, empty).collect())
+    assert decontaminate.search(none, empty).count() == 0
+
+
+def test_wu_manber_on_repetitive_words(spark):
+    docs = spark.createDataFrame([(i, " ".join("ab"[j % (1 + i % 3) % 2] for j in range(40 + i)), "") for i in range(12)], ROW)
+    items = [(1, " ".join("ababababab")), (2, " ".join("aaaaaaaaaaaa")), (3, "b b"), (4, "a b a")]
+    got = decontaminate.search(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r["n_words"], sum(s["end"] - s["first"] for s in r["hit_spans"]), r["item_ids"]) for r in got] == brute_hits([r["text"] for r in got], items)
+
+
+# ------------------------------------------------------------------- substrings
+
+
+def words(t):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
+
+
+def brute_removal(rows, n):
+    least = {}
+    for d, t in rows:
+        w = words(t)
+        for i in range(len(w) - n + 1):
+            if d is not None:
+                key = tuple(w[i : i + n])
+                least[key] = min(d, least.get(key, d))
+    out = []
+    for d, t in rows:
+        w = words(t)
+        gone = {k for i in range(len(w) - n + 1) if d is not None and least[tuple(w[i : i + n])] < d for k in range(i, i + n)}
+        out.append((len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return out
+
+
+def test_removal_equals_brute_force(spark, odd, none):
+    r = random.Random(11)
+    passages = [prose(100 + k, 90) for k in range(6)]
+    rows = [(20 + i, " ".join(itertools.chain.from_iterable((prose(i * 31 + k, r.randrange(0, 60)), r.choice(passages)[r.randrange(40) :]) for k in range(3))), "en") for i in range(60)]
+    rows += [(200, "spam " * 300, ""), (201, "spam " * 120 + "x", ""), (202, "a b " * 100, ""), (203, "b a " * 90, "")]
+    docs = odd.unionByName(spark.createDataFrame(rows, ROW)).withColumn("kept_text", F.lit(3))
+    got = substrings.remove_repeats(docs).collect()
+    assert [(r["n_words"], r["n_removed"], r["kept_text"]) for r in got] == brute_removal([(r["doc_id"], r["text"]) for r in got], 50)
+    assert len(got) == docs.count()
+    assert substrings.remove_repeats(none).count() == 0
+
+
+def test_sketch_loses_no_repeat(spark):
+    docs = spark.createDataFrame([(i, prose(i % 40, 150), "") for i in range(80)], ROW)
+    got = substrings.remove_repeats(docs).where("doc_id >= 40").collect()
+    assert all(r["n_removed"] == r["n_words"] == 150 for r in got)
+
+
+# --------------------------------------------------------------------- licences
+
+
+def test_rules_and_order(spark):
+    bsd = " ".join(licences.SENTENCES[k][0].rstrip(".:") + ". " for k in ("bsd-grant", "bsd-source", "bsd-binary"))
+    rows = [
+        (1, "Prose.\nLicensed under the Apache License, Version 2.0.\nMore."),
+        (2, bsd + licences.SENTENCES["bsd-endorse"][0] + "."),
+        (3, bsd),
+        (4, "Released under the MIT License. Licensed under CC BY-NC 4.0."),
+        (5, "the license of no one"),
+        (6, licences.SENTENCES["gpl3-line"][0].upper() + "."),
+        (7, licences.SENTENCES["bsd-source"][0] + "."),
+        (8, "MIT License\nMIT License"),
+    ]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["Apache-2.0"], 2: ["BSD-3-Clause"], 3: ["BSD-2-Clause"], 4: ["MIT", "CC-BY-NC-4.0"], 5: [], 6: ["GPL-3.0"], 7: [], 8: ["MIT"]}
+
+
+def test_every_known_sentence_holds_a_trigger():
+    assert all(re.search(licences.TRIGGER, s) for s in licences.known())
+
+
+def test_rules_name_known_sentences():
+    assert {i for _, ids in licences.RULES for i in ids} <= set(licences.SENTENCES)
+
+
+def test_licences_are_native_and_take_odd_tables(odd, none):
+    out = licences.scan(odd.withColumn("licences", F.lit(1)))
+    assert all(r["licences"] == [] and r["sentence_ids"] == [] for r in out.collect())
+    assert not re.search("Python|Pandas|Arrow|Exchange", out._jdf.queryExecution().executedPlan().toString())
+    assert licences.scan(none).count() == 0
+
+
+# ---------------------------------------------------------------------- Jaccard
+
+
+def shingles(t):
+    w = words(t)
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def brute_join(rows):
+    sets = [(d, shingles(t) if d is not None else set()) for d, t in rows]
+    links = [set() for _ in rows]
+    for (i, (_, a)), (j, (_, b)) in itertools.combinations(enumerate(sets), 2):
+        if a and b and len(a & b) / len(a | b) >= 0.8:
+            links[i].add(j)
+            links[j].add(i)
+    reach = [d for d, _ in sets]
+    for _ in range(len(rows)):
+        for i, near in enumerate(links):
+            reach[i] = min([reach[i], *(reach[j] for j in near)]) if near else reach[i]
+    return [(len(near), c) for near, c in zip(links, reach, strict=True)]
+
+
+def edited(text, seed, k):
+    r = random.Random(seed)
+    w = text.split(" ")
+    for _ in range(k):
+        w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_join_equals_brute_force(spark, odd, none):
+    rows = [(100 + i, edited(prose(500 + i % 25, 150), i, i % 6), "") for i in range(150)]
+    docs = odd.where("doc_id IS NULL OR doc_id <> 10").unionByName(spark.createDataFrame(rows, ROW)).withColumn("n_links", F.lit("old"))
+    got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in jaccard.join(docs).collect()}
+    plain = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert got == {d: x for (d, _), x in zip(plain, brute_join(plain), strict=True)}
+    assert jaccard.join(none).count() == 0
+
+
+def test_repeated_rows_link(spark, odd):
+    got = [r for r in jaccard.join(odd).collect() if r["doc_id"] == 10]
+    assert len(got) == 2 and all(r["n_links"] == 1 and r["component_id"] == 10 for r in got)
+
+
+def test_a_group_of_many_blocks(spark):
+    base = prose(9, 150)
+    rows = [(i, edited(base, i, 2), "") for i in range(300)]
+    got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(rows, ROW)).collect()}
+    assert got == {d: x for (d, _, _), x in zip(rows, brute_join([(d, t) for d, t, _ in rows]), strict=True)}
+
+
+def test_depth_follows_recall():
+    d = jaccard.choose_depth(0.8, jaccard.TREES, jaccard.MAX_DEPTH, jaccard.RECALL)
+    assert jaccard.recall_at(0.8, jaccard.TREES, d) >= jaccard.RECALL > jaccard.recall_at(0.8, jaccard.TREES, d + 1)
+
+
+def test_intersections():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 60, 25).astype(np.uint64)) for _ in range(20)]
+    got = jaccard.intersections(sets)
+    for i, j in itertools.combinations(range(20), 2):
+        assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
+# ------------------------------------------------------------------- components
+
+
+def test_components_of_paths_stars_and_nothing(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (None, 3), (5, 4)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_materialized_tables_are_in_the_shared_folder(spark, odd):
+    table, path = materialize(odd, "t")
+    assert table.count() == odd.count() and "lodestone" in path
