@@ -80,6 +80,16 @@ class Vocabulary:
         self.final = np.array([self.ids.get(s + self.suffix, -1) for s in bytes_as], np.int32)
         self.cache: dict[str | int, bytes] = {}
 
+    def pre_tokens(self, chunk: str) -> list[str]:
+        """Normalised pre-tokens of a chunk."""
+        if chunk.isascii() or not any(unicodedata.category(c) == "Cn" for c in chunk):
+            return self.split.findall(self.normalize(chunk))
+        from tokenizers.normalizers import Lowercase  # its tables know letters that Python's do not
+
+        text = Lowercase().normalize_str(unicodedata.normalize("NFC", chunk))
+        masked = "".join("\ue000" if c in later_letters() else c for c in text)
+        return [text[m.start() : m.end()] for m in self.split.finditer(masked)]
+
     def normalize(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each capital alone: no final sigma
@@ -104,7 +114,7 @@ class Vocabulary:
 
     def learn_chunks(self, chunks: list[str]) -> None:
         """Put the packed ids of chunks into the cache."""
-        split = [self.split.findall(self.normalize(c)) for c in chunks]
+        split = [self.pre_tokens(c) for c in chunks]
         words = list({w for s in split for w in s})
         learned = dict(zip(words, self.merge_words(words) if self.ordered else self.merge_in_turn(words), strict=True))
         self.cache.update((c, b"".join([learned[w] for w in s])) for c, s in zip(chunks, split, strict=True))
@@ -239,11 +249,13 @@ class Vocabulary:
         """Packed little-endian ids of each text."""
         split = [self.chunks(t) if t else [] for t in texts]
         fresh = set().union(*split)
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
+        new = [c for c in fresh if c not in self.cache]
+        if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
+            new = list(fresh)
         for i in self.special.values():
             self.cache[i] = int(i).to_bytes(4, "little")
-        self.learn_chunks([c for c in fresh if c not in self.cache])
+        self.learn_chunks([c for c in new if isinstance(c, str)])
         get = self.cache.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
@@ -255,6 +267,18 @@ class Vocabulary:
             return " ".join([t for i in ids if 0 <= i < len(self.tokens) and (t := self.tokens[i]) is not None])
 
 
+@lru_cache(maxsize=1)
+def later_letters() -> frozenset[str]:
+    """Letters and numbers that the regex package knows and the library's older
+    Unicode tables do not; the library is asked about those that Python's do not have."""
+    from tokenizers import Regex, pre_tokenizers
+
+    known = regex.compile(r"[\p{L}\p{N}]")
+    young = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn" and known.match(c)]
+    rest = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed").pre_tokenize_str("-" + "-".join(young))
+    return frozenset("".join(part for part, _ in rest).replace("-", ""))
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)

@@ -40,7 +40,7 @@ ENDS_P = BLOCK - frozenset("html body caption tbody td tfoot th thead tr option
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("table ul ol dl select html body article section main div td th".split())
 # Words of class, id and role that name something other than the text.
-ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side rail aside widget widgets footer masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion related recommended recommendations share sharing social newsletter subscribe subscription signup login search pagination pager skip complementary contentinfo search".split())
+ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side rail aside footer masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion related recommended recommendations share sharing social newsletter subscribe subscription signup login search pagination pager complementary contentinfo".split())
 HEAD_WORDS = frozenset("header head site-header page-header banner".split())
 ROOT_WORDS = frozenset("article main story post content entry".split())
 
