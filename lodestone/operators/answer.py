@@ -9,6 +9,25 @@ BROAD_BUDGET, LEAST_REST, SPECIFIC_CUT = 7000, 100, 1500
 NO_RESULT = "I couldn't find anything relevant in the indexed documents."
 ANSWER_TOKENS = {"broad": 1500, "specific": 1000}
 TEMPERATURE = 0.2
+#: Prompts by part; $ marks a column.
+BROAD_PROMPT = [
+    "Summarise the documents below for the reader.\n\nIndexed documents: ",
+    "$sources",
+    "\n\nUse every passage. Give each section that occurs its own heading, and in lists name every single item, without leaving any out.\n\nPassages:\n",
+    "$context",
+    "\n\nRequest: ",
+    "$raw",
+    "\n\nSummary:",
+]
+SPECIFIC_PROMPT = [
+    "Answer the question from the passages below.\n\nIndexed documents: ",
+    "$sources",
+    "\n\nRely on the passages alone, drawing conclusions where they allow it. Be direct, leave out file names and page numbers, give lists in full, and say that the answer was not found only if no passage bears on it.\n\nPassages:\n",
+    "$context",
+    "\n\nQuestion: ",
+    "$raw",
+    "\nAnswer:",
+]
 
 
 def _shown(text: Column) -> Column:
@@ -44,16 +63,8 @@ def source_list(chunks: DataFrame) -> DataFrame:
 def prompts(analysed: DataFrame, contexts: DataFrame, sources: DataFrame) -> DataFrame:
     """(query_id, prompt, max_tokens); questions without context have no prompt."""
     rows = analysed.join(contexts, "query_id").crossJoin(F.broadcast(sources))
-    broad = F.concat(
-        F.lit("Summarise the documents below for the reader.\n\nIndexed documents: "), F.col("sources"),
-        F.lit("\n\nUse every passage. Give each section that occurs its own heading, and in lists name every single item, without leaving any out.\n\nPassages:\n"), F.col("context"),
-        F.lit("\n\nRequest: "), F.col("raw"), F.lit("\n\nSummary:"),
-    )
-    specific = F.concat(
-        F.lit("Answer the question from the passages below.\n\nIndexed documents: "), F.col("sources"),
-        F.lit("\n\nRely on the passages alone, drawing conclusions where they allow it. Be direct, leave out file names and page numbers, give lists in full, and say that the answer was not found only if no passage bears on it.\n\nPassages:\n"), F.col("context"),
-        F.lit("\n\nQuestion: "), F.col("raw"), F.lit("\nAnswer:"),
-    )
+    filled = lambda parts: F.concat(*[F.col(p[1:]) if p.startswith("$") else F.lit(p) for p in parts])
+    broad, specific = filled(BROAD_PROMPT), filled(SPECIFIC_PROMPT)
     wide = F.col("intent") == "broad"
     return rows.select("query_id", F.when(wide, broad).otherwise(specific).alias("prompt"), F.when(wide, ANSWER_TOKENS["broad"]).otherwise(ANSWER_TOKENS["specific"]).alias("max_tokens"))
 

@@ -538,6 +538,51 @@ def r9(spark, sf):
     return found.select("query_id", "rank", "vector_score", "bm25_score", "final_score", "corrected_query", "source", "page", "chunk_ix", "text")
 
 
+_POLICY = [(intent, n, sources, single, k) for intent in ("broad", "specific") for n in (0, 5, 100, 1000) for sources in (1, 3, 20) for single in (False, True) for k in (6, 8)]
+
+
+@query(
+    "r8_depth_policy",
+    "WITH p(intent, n, sources, single, k) AS (VALUES " + ", ".join(f"({_lit(i)}, {n}, {s}, {str(b).lower()}, {k})" for i, n, s, b, k in _POLICY) + ") "
+    "SELECT intent, CAST(n AS BIGINT) AS n, CAST(sources AS BIGINT) AS sources, single, CAST(k AS BIGINT) AS k, CAST(greatest(1, CASE WHEN single THEN n WHEN intent = 'broad' THEN least(n, 15 * k) ELSE least(n, 10 * k) END) AS BIGINT) AS fetch_k, "
+    "CAST(CASE WHEN single THEN n WHEN intent = 'broad' THEN least(n, k * sources) ELSE k END AS BIGINT) AS final_k FROM p",
+)
+def r8(spark, sf):
+    rows = [(*p, *rank.depth(*p)) for p in _POLICY]
+    return spark.createDataFrame(rows, "intent string, n long, sources long, single boolean, k long, fetch_k long, final_k long")
+
+
+_PLACED_SQL = """WITH c AS (SELECT vec_id AS chunk_ix, 's' || label AS source, CAST(vec_id % 7 + 1 AS INTEGER) AS page, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.chunk_ix AS query_id, c.chunk_ix, c.source, c.page, list_inner_product(q.e, c.e) AS combined FROM c q, c WHERE q.chunk_ix < 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, {by} ORDER BY round(combined, 9) DESC, chunk_ix DESC) AS nth FROM s),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY ({late}), round(combined, 9) DESC, chunk_ix DESC) AS INTEGER) AS rank FROM k)
+SELECT query_id, chunk_ix, source, page, rank FROM r WHERE rank <= 25"""
+
+
+def _placed(spark, sf):
+    v = _table(spark, sf, "embeddings")
+    c = v.select(F.col("vec_id").alias("chunk_ix"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("source"), (F.col("vec_id") % 7 + 1).cast("int").alias("page"))
+    q = v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("variant_ix"), "embedding")
+    top = score.dense_top(q, v.withColumnRenamed("vec_id", "chunk_ix"), v.count())
+    return top.select("query_id", "chunk_ix", F.col("raw").alias("combined")), c
+
+
+@query("r7_rank", _PLACED_SQL.format(by="source", late="false"))
+def r7(spark, sf):
+    s, c = _placed(spark, sf)
+    return rank.ranked(s).where("rank <= 25").join(F.broadcast(c), "chunk_ix").select("query_id", "chunk_ix", "source", "page", "rank")
+
+
+@query("r10_diversify_by_source", _PLACED_SQL.format(by="source", late="nth > 1"))
+def r10(spark, sf):
+    return rank.diversified(*_placed(spark, sf), ["source"], 25).select("query_id", "chunk_ix", "source", "page", "rank")
+
+
+@query("r11_diversify_by_page", _PLACED_SQL.format(by="source, page", late="nth > 1"))
+def r11(spark, sf):
+    return rank.diversified(*_placed(spark, sf), ["source", "page"], 25).select("query_id", "chunk_ix", "source", "page", "rank")
+
+
 @query("r13_page_lookup", f"WITH RECURSIVE {_CHUNKS}, {_Q}, pg AS (SELECT query_id, {_PAGE_OF} AS page_num FROM q) SELECT query_id, CAST(r AS INTEGER) AS rank, chunk_ix, source, text FROM (SELECT query_id, chunks.*, row_number() OVER (PARTITION BY query_id ORDER BY chunk_ix) AS r FROM chunks JOIN pg ON page = page_num WHERE page_num <> 0) WHERE r <= 8")
 def r13(spark, sf):
     c = chunks(spark, sf)
@@ -579,6 +624,27 @@ def a4(spark, sf):
     return answer.source_list(_table(spark, sf, "documents"))
 
 
+def _prompt_sql(parts):
+    return " || ".join({"$context": "context", "$raw": "raw", "$sources": "sources"}.get(p) or _lit(p) for p in parts)
+
+
+@query(
+    "a5_prompts",
+    f"""WITH {_ANALYSED}, {_AS_RESULTS}, ctx AS (SELECT query_id, string_agg({_SHOW('substr(text, 1, 1500)')}, chr(10) || chr(10) ORDER BY rank) AS context FROM res GROUP BY query_id),
+src AS (SELECT string_agg(source, ', ' ORDER BY source) AS sources FROM (SELECT DISTINCT source FROM documents))
+SELECT query_id, CASE WHEN intent = 'broad' THEN {_prompt_sql(answer.BROAD_PROMPT)} ELSE {_prompt_sql(answer.SPECIFIC_PROMPT)} END AS prompt, CAST(CASE WHEN intent = 'broad' THEN 1500 ELSE 1000 END AS INTEGER) AS max_tokens FROM analysed JOIN ctx USING (query_id), src""",
+)
+def a5_prompts(spark, sf):
+    stats = pages(spark, sf).agg(F.countDistinct("source").alias("num_sources"), F.max("page").alias("last_page"))
+    return answer.prompts(qf.analyse(asked(spark), stats), a2(spark, sf), a4(spark, sf))
+
+
+@query("a9_fallback", f"SELECT conv_id * 1000 + turn AS query_id, CASE WHEN turn % 3 = 0 THEN text ELSE {_lit(answer.NO_RESULT)} END AS answer FROM conversations")
+def a9(spark, sf):
+    c = _table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "turn", F.col("text").alias("answer"))
+    return answer.with_fallback(c, c.where("turn % 3 = 0").select("query_id", "answer"))
+
+
 @query("a5_a6_a9_ask")
 def a5(spark, sf):
     """Prompts and stub answers of all questions, with the fixed message where nothing is found."""
