@@ -6,7 +6,7 @@ PDFs: `documents` are pages (source, running number, text).
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from lodestone.functions.text import sentences, tokens, word_count
 from lodestone.operators import answer, chunk, extract, hooks, index, rank, score
 from lodestone.plans import retrieve
 from lodestone.sources import documents as src
+from lodestone.sources.shared import put_file, saved, work_dir
 from lodestone.streaming import ingest
 
 # ------------------------------------------------------------------- test input
@@ -211,11 +212,10 @@ def query(name: str, sql: str | None = None):
 @query("s1_files_s2_hash", "SELECT n_name || '.txt' AS name, md5(n_name) AS doc_md5 FROM nation")
 def s1(spark, sf):
     """Files written from nation's names, read as binary with their hash."""
-    at = tempfile.mkdtemp(prefix="lodestone-files-")
+    at = f"{work_dir(spark)}/lodestone/files-{uuid.uuid4().hex}"
     for r in _table(spark, sf, "nation").select("n_name").collect():  # 25 rows: a fixture
-        with open(f"{at}/{r['n_name']}.txt", "w") as f:
-            f.write(r["n_name"])
-    return src.read_files(spark, f"file://{at}", "*.txt").select("name", "doc_md5")
+        put_file(spark, f"{at}/{r['n_name']}.txt", r["n_name"].encode())
+    return src.read_files(spark, at, "*.txt").select("name", "doc_md5")
 
 
 def _files(spark, sf):
@@ -279,10 +279,8 @@ def s8(spark, sf):
 
 @query("s9_peek", f"WITH RECURSIVE {_CHUNKS} SELECT chunk_ix, source, page, text FROM chunks ORDER BY chunk_ix LIMIT 3")
 def s9(spark, sf):
-    from lodestone.sources.shared import work_dir
-
-    at = f"{work_dir(spark)}/lodestone/peek"
-    chunks(spark, sf).write.mode("overwrite").parquet(at)
+    at = f"{work_dir(spark)}/lodestone/peek-{uuid.uuid4().hex}"
+    chunks(spark, sf).write.parquet(at)
     return src.peek(spark, at)[1].select("chunk_ix", "source", "page", "text")
 
 
@@ -683,13 +681,8 @@ def a11(spark, sf):
 @query("stream_ingest", f"WITH RECURSIVE {_CHUNKS} SELECT source, page, chunk_no, n_words FROM chunks")
 def stream(spark, sf):
     """Chunks of pages that arrive as a stream, appended batch by batch."""
-    from lodestone.sources.shared import saved, work_dir
-
-    base = f"{work_dir(spark)}/lodestone/stream-{abs(hash((sf, id(spark)))):x}"
+    base = f"{work_dir(spark)}/lodestone/stream-{uuid.uuid4().hex}"
     table = saved(pages(spark, sf), "stream_pages")
     arriving = spark.readStream.schema(table.schema).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
-    import uuid
-
-    run = uuid.uuid4().hex
-    ingest.append_chunks(arriving, f"{base}/{run}/chunks", f"{base}/{run}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/{run}/chunks").select("source", "page", "chunk_no", "n_words")
+    ingest.append_chunks(arriving, f"{base}/chunks", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/chunks").select("source", "page", "chunk_no", "n_words")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def work_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not own.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+        made = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(made)
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get().rstrip("/")
 
@@ -28,6 +32,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def put_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write one small file through Hadoop's file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(content))
+    out.close()
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with column `name`: 0, 1, 2, ... in the given total order.
 
