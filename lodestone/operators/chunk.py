@@ -40,9 +40,11 @@ def ranges(widths: str, chunk_words: int, overlap_words: int) -> Column:
 
 def chunk_pages(pages: DataFrame, chunk_words: int = CHUNK_WORDS, overlap_words: int = OVERLAP_WORDS) -> DataFrame:
     """(source, page, text) -> (source, page, chunk_no, text, n_words, first_sentence, last_sentence)."""
-    split = pages.select("source", "page", sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    # no filter on the sentences: pushed down, it would split every page a second time
+    split = pages.select("source", "page", sentences(F.col("text")).alias("s"))
     counted = split.withColumn("w", F.transform("s", word_count))
-    cut = counted.select("source", "page", "s", "w", F.posexplode(ranges("w", chunk_words, overlap_words)).alias("chunk_no", "r"))
+    found = F.when(F.size("w") > 0, ranges("w", chunk_words, overlap_words))
+    cut = counted.select("source", "page", "s", "w", F.posexplode(found).alias("chunk_no", "r"))
     part = lambda c: F.slice(c, F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo") + 1)
     return cut.select(
         "source",
