@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,26 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from lodestone.sources.shared import work_dir
+
 #: Text bytes handled at once inside a Python worker; a longer text is handled alone.
 PIECE_BYTES = 2_000_000
 
 # ---------------------------------------------------------------- shared tables
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the
-    context's own one; a temporary folder only where neither is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm_dir.isDefined():
-        return jvm_dir.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="lodestone-")
-    spark.sparkContext.setCheckpointDir(own)
-    return shared_dir(spark)
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -57,7 +44,7 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     and a lost executor loses nothing. Returns the table and its path. Tables
     left over go when the driver's Python ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _kept.append((spark, path))
     return spark.read.schema(df.schema).parquet(path), path
