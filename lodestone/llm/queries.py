@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, html_text, jaccard, licences, pii, quality, shards, substrings, vectors
+from lodestone.sources.shared import spread_small
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread_small(df) if table in ("documents", "pages") else df
 
 
 def tokenizer_path() -> str:
