@@ -45,5 +45,6 @@ def sentences(c: Column) -> Column:
     white space that follows . ! or ?; a line's end alone does not end one.
     """
     parts = F.split(F.regexp_replace(c, TABLE_BLOCK, f"{_MARK}$1{_MARK}"), _MARK)
-    plain = lambda p: F.filter(F.transform(F.split(strip(p), f"(?<=[.!?]){WS}+"), strip), lambda s: s != "")
+    # pieces of a stripped part have no white space at their ends
+    plain = lambda p: F.filter(F.split(strip(p), f"(?<=[.!?]){WS}+"), lambda s: s != "")
     return F.flatten(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit("[TABLE]")), F.array(strip(p))).otherwise(plain(p))))

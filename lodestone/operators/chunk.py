@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import sentences, word_count
-from lodestone.sources.shared import numbered
+from lodestone.sources.shared import numbered, saved
 
 CHUNK_WORDS, OVERLAP_WORDS = 200, 30
 
@@ -59,4 +59,5 @@ def chunk_pages(pages: DataFrame, chunk_words: int = CHUNK_WORDS, overlap_words:
 
 def indexed_chunks(pages: DataFrame, chunk_words: int = CHUNK_WORDS, overlap_words: int = OVERLAP_WORDS) -> DataFrame:
     """Chunks with chunk_ix, dense from 0 by (source, page, chunk_no)."""
-    return numbered(chunk_pages(pages, chunk_words, overlap_words), ["source", "page", "chunk_no"], "chunk_ix")
+    # written first: the range partitioning samples its input, and would chunk every page twice
+    return numbered(saved(chunk_pages(pages, chunk_words, overlap_words), "unnumbered_chunks"), ["source", "page", "chunk_no"], "chunk_ix")

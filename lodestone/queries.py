@@ -18,7 +18,7 @@ from lodestone.functions.text import sentences, tokens, word_count
 from lodestone.operators import answer, chunk, extract, hooks, index, rank, score
 from lodestone.plans import retrieve
 from lodestone.sources import documents as src
-from lodestone.sources.shared import put_file, saved, work_dir
+from lodestone.sources.shared import put_file, saved, spread_small, work_dir
 from lodestone.streaming import ingest
 
 # ------------------------------------------------------------------- test input
@@ -53,11 +53,14 @@ TABLES: list[tuple[str, int, int, list[list[str | None]]]] = [
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread_small(df) if name == "documents" else df
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return src.pages_of_documents(_table(spark, sf, "documents"))
+    numbered = src.pages_of_documents(spark.read.parquet(f"{sf}/documents.parquet"))
+    # the adapter's window leaves a source to a task: deal the pages anew before they are split
+    return numbered.repartition(2 * spark.sparkContext.defaultParallelism)
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:

@@ -32,6 +32,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if its files have fewer splits than there are cores.
+    Inputs of more splits, large ones that is, are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def put_file(spark: SparkSession, path: str, content: bytes) -> None:
     """Write one small file through Hadoop's file systems."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
