@@ -513,6 +513,38 @@ def r3(spark, sf):
     return grid.select("query_id", "chunk_ix", F.round(F.coalesce("dense", "dense_rest"), 4).alias("dense"))
 
 
+# The search query set: every row whose id is divisible by 100, against all rows.
+_SEARCH_SQL = _DENSE_SQL.replace("q.vec_id < 3", "q.vec_id % 100 = 0")
+
+
+def _search_set(v):
+    return v.where("chunk_ix % 100 = 0").select(F.col("chunk_ix").alias("query_id"), F.lit(0).alias("variant_ix"), "embedding")
+
+
+def _vectors_of(spark, sf):
+    return _table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_ix"), "embedding")
+
+
+@query("r2_dense_top_search_set", f"{_SEARCH_SQL} SELECT query_id, chunk_ix, round(raw, 4) AS raw FROM t")
+def r2_search(spark, sf):
+    v = _vectors_of(spark, sf)
+    return score.in_blocks(_search_set(v), lambda q: score.dense_top(q, v, 40).select("query_id", "chunk_ix", F.round("raw", 4).alias("raw")))
+
+
+@query("r3_dense_norm_search_set", ORACLE["r3_dense_norm"].replace(_DENSE_SQL, _SEARCH_SQL))
+def r3_search(spark, sf):
+    v = _vectors_of(spark, sf)
+    n = v.count()
+
+    def block(q):
+        inside, rest = score.dense_norm(score.dense_top(q, v, 40), n, 40)
+        # at most 40 rows a query of the block: the grid is not shuffled
+        grid = v.select("chunk_ix").crossJoin(F.broadcast(rest)).join(F.broadcast(inside), [*score.KEYS, "chunk_ix"], "left")
+        return grid.select("query_id", "chunk_ix", F.round(F.coalesce("dense", "dense_rest"), 4).alias("dense"))
+
+    return score.in_blocks(_search_set(v), block)
+
+
 @query("r4_bm25", f"WITH RECURSIVE {_CHUNKS}, {_INDEX}, {_ANALYSED}, {_VARIANTS}, {_BM25} SELECT query_id, variant_ix, chunk_ix, round(raw / (max(raw) OVER (PARTITION BY query_id, variant_ix)), 4) AS bm25 FROM bm")
 def r4(spark, sf):
     ix = built(spark, sf)
@@ -584,6 +616,32 @@ def r11(spark, sf):
     return rank.diversified(*_placed(spark, sf), ["source", "page"], 25).select("query_id", "chunk_ix", "source", "page", "rank")
 
 
+_SEARCH_PLACED_SQL = _PLACED_SQL.replace("q.chunk_ix < 3", "q.chunk_ix % 100 = 0")
+
+
+def _search_placed(spark, sf, rows):
+    """rows() of the scores of each block of the search query set, with source and page."""
+    v = _table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("chunk_ix"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("source"), (F.col("vec_id") % 7 + 1).cast("int").alias("page"), "embedding"
+    )
+    return score.in_blocks(_search_set(v), lambda q: rows(score.dense_all(q, v).withColumnRenamed("raw", "combined")).select("query_id", "chunk_ix", "source", "page", "rank"))
+
+
+@query("r7_rank_search_set", _SEARCH_PLACED_SQL.format(by="source", late="false"))
+def r7_search(spark, sf):
+    return _search_placed(spark, sf, lambda s: rank.ranked(s).where("rank <= 25"))
+
+
+@query("r10_diversify_by_source_search_set", _SEARCH_PLACED_SQL.format(by="source", late="nth > 1"))
+def r10_search(spark, sf):
+    return _search_placed(spark, sf, lambda s: rank.spread(s, ["source"], 25))
+
+
+@query("r11_diversify_by_page_search_set", _SEARCH_PLACED_SQL.format(by="source, page", late="nth > 1"))
+def r11_search(spark, sf):
+    return _search_placed(spark, sf, lambda s: rank.spread(s, ["source", "page"], 25))
+
+
 @query("r13_page_lookup", f"WITH RECURSIVE {_CHUNKS}, {_Q}, pg AS (SELECT query_id, {_PAGE_OF} AS page_num FROM q) SELECT query_id, CAST(r AS INTEGER) AS rank, chunk_ix, source, text FROM (SELECT query_id, chunks.*, row_number() OVER (PARTITION BY query_id ORDER BY chunk_ix) AS r FROM chunks JOIN pg ON page = page_num WHERE page_num <> 0) WHERE r <= 8")
 def r13(spark, sf):
     c = chunks(spark, sf)
