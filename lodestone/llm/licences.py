@@ -1,8 +1,11 @@
 """Licence recognition by sentences and rules, in DataFrame functions only.
 
-A text is split in sentences, each is normalised (lower case, runs of anything but
-a-z and 0-9 become one space) and looked up in the table of known licence
-sentences; the identifiers found, in text order, are the document's sequence. Rules
+A text is split in sentences and lines, each is normalised (lower case, runs of anything
+but a-z and 0-9 become one space, comment marks at its start go) and looked up in the
+table of known licence sentences. Lines that are none are joined with the lines after
+them, up to a sentence's end, a blank line or a line that is a known sentence, and
+looked up as well, so hard-wrapped texts are found; the longest match from a line
+counts, and its lines start no other. The identifiers found, in text order, are the document's sequence. Rules
 are ordered identifier sequences: they are tried in turn, each takes every place
 where its identifiers stand next to one another, and what a rule has taken no later
 rule sees (so three conditions are BSD-3-Clause, not BSD-2-Clause and a rest).
@@ -111,10 +114,14 @@ RULES: list[tuple[str, list[str]]] = [
     ("Proprietary", ["all-rights"]),
 ]
 
-#: A sentence ends at a full stop before white space, or at a line's end.
-ENDS = r"\.[^a-zA-Z0-9\s]*\s+|\n"
-#: Words of which each known sentence, normalised, holds one; the letters may have anything but letters and digits between words.
-TRIGGER = r"(?i)licen[sc]|redistribut|permission|warrant|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved|copyright|holder"
+#: A sentence ends at a full stop before white space.
+STOP = r"\.[^a-zA-Z0-9\s]*\s+"
+#: A sentence may also end at a line's end.
+ENDS = STOP + r"|\n"
+#: Words of which each known sentence, normalised, holds one; the letters may have anything but letters and digits, and a comment mark, between words.
+TRIGGER = r"(?i)licen[sc]|redistribut|permission|warrant|public[^a-z0-9]+((dnl|rem)[^a-z0-9]+)?domain|rights[^a-z0-9]+((dnl|rem)[^a-z0-9]+)?reserved|copyright|holder"
+#: Comment marks made of letters, at the start of a normalised line.
+MARKS = "^(dnl|rem) "
 
 
 def normalized(sentence: str) -> str:
@@ -128,9 +135,41 @@ def known() -> dict[str, str]:
 
 def sequence(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    ids = F.filter(F.transform(F.split(text, ENDS), lambda s: F.try_element_at(table, plain(s))), lambda x: x.isNotNull())
+    names = known()
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    listed = F.lit("|" + "|".join(names) + "|")
+    most = max(len(s.split()) for s in names)  # a line that is not blank has a word
+    plain = lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")), MARKS, "")
+    begins = lambda s: F.contains(listed, F.concat(F.lit("|"), s, F.lit(" ")))
+    hit = lambda name, n: F.struct(name.alias("id"), n.cast("int").alias("n"))
+
+    def joined(lines: Column, first: Column, i: Column) -> Column:
+        """The longest known sentence of several lines from line i on, and its number of lines."""
+        start = F.struct(first.alias("s"), F.lit(1).alias("n"), F.lit(True).alias("open"), F.lit(None).cast("string").alias("id"), F.lit(1).alias("upto"))
+
+        def extend(state: Column, line: Column) -> Column:
+            s = F.concat(state["s"], F.lit(" "), line)
+            # a blank line and a known sentence of its own end the run
+            more = (line != "") & F.try_element_at(table, line).isNull()
+            name = F.when(more, F.try_element_at(table, s))
+            longer = F.struct(
+                s.alias("s"), (state["n"] + 1).alias("n"), (more & begins(s)).alias("open"),
+                F.coalesce(name, state["id"]).alias("id"), F.when(name.isNotNull(), state["n"] + 1).otherwise(state["upto"]).alias("upto"),
+            )
+            return F.when(state["open"], longer).otherwise(state)
+
+        return F.aggregate(F.slice(lines, i + 2, most - 1), start, extend, lambda state: F.when(state["id"].isNotNull(), hit(state["id"], state["upto"])))
+
+    def found(lines: Column) -> Column:
+        at = F.transform(lines, lambda s, i: F.when(s != "", F.coalesce(F.when(F.try_element_at(table, s).isNotNull(), hit(F.try_element_at(table, s), F.lit(1))), F.when(begins(s), joined(lines, s, i)))))
+        placed = F.filter(F.transform(at, lambda x, i: F.when(x.isNotNull(), F.struct(x["id"].alias("id"), i.alias("first"), (i + x["n"]).alias("end")))), lambda x: x.isNotNull())
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("ids"))
+        take = lambda state, x: F.when(x["first"] < state["end"], state).otherwise(F.struct(x["end"].alias("end"), F.array_append(state["ids"], x["id"]).alias("ids")))
+        return F.aggregate(placed, start, take, lambda state: state["ids"])
+
+    # a sentence's end stands as a blank line; the array of one is there to split once
+    lines = F.transform(F.split(F.regexp_replace(text, STOP, "\n\n"), "\n"), plain)
+    ids = F.element_at(F.transform(F.array(lines), found), 1)
     return F.when(F.coalesce(text.rlike(TRIGGER), F.lit(False)), ids).otherwise(F.array().cast("array<string>"))
 
 

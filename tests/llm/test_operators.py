@@ -412,6 +412,40 @@ def test_rules_and_order(spark):
     assert got == {1: ["Apache-2.0"], 2: ["BSD-3-Clause"], 3: ["BSD-2-Clause"], 4: ["MIT", "CC-BY-NC-4.0"], 5: [], 6: ["GPL-3.0"], 7: [], 8: ["MIT"]}
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    said = lambda *ids: [licences.SENTENCES[k][0] for k in ids]
+    wrap = lambda s, width, mark="": "\n".join(mark + line for line in textwrap.wrap(s, width, break_long_words=False))
+    gpl3 = said("gpl3-later", "gpl-warranty", "gpl-details")
+    mit = said("mit-grant", "mit-notice", "mit-asis")
+    bsd = said("bsd-grant", "bsd-source", "bsd-binary")
+    apache = ["Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.", said("apache2-asis")[0] + "."]
+    rows = [
+        (1, wrap(". ".join(gpl3) + ".", 72, " *    ")),
+        (2, "\n\n".join(wrap(s.rstrip(".") + ("" if s.endswith(":") else "."), 70) for s in mit)),
+        (3, "Copyright (c) 2020, A. Person\nAll rights reserved.\n\n" + wrap(bsd[0], 60, "# ") + "\n#\n" + "\n".join(wrap(f"* {s}.", 60, "# ") for s in bsd[1:])),
+        (4, wrap(gpl3[0] + ".", 5)),
+        (5, wrap(said("unlicense-free")[0] + ".", 61, "dnl ")),
+        (6, wrap(apache[1], 50, "// ").replace("\n", "\r\n")),
+        (7, apache[0]),
+        (8, gpl3[0].replace(" it under", "\n\nit under")),
+        (9, "This work is licensed under the\nGNU General Public License, version\n3"),
+    ]
+    got = {r["doc_id"]: (r["sentence_ids"], r["licences"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {
+        1: (["gpl3-later", "gpl-warranty", "gpl-details"], ["GPL-3.0-or-later"]),
+        2: (["mit-grant", "mit-notice", "mit-asis"], ["MIT"]),
+        3: (["all-rights", "bsd-grant", "bsd-source", "bsd-binary"], ["BSD-2-Clause", "Proprietary"]),
+        4: (["gpl3-later"], ["GPL-3.0-or-later"]),
+        5: (["unlicense-free"], ["Unlicense"]),
+        6: (["apache2-asis"], []),
+        7: (["apache2-line", "apache2-comply"], ["Apache-2.0"]),
+        8: ([], []),
+        9: (["gpl3-line"], ["GPL-3.0"]),
+    }
+
+
 def test_every_known_sentence_holds_a_trigger():
     assert all(re.search(licences.TRIGGER, s) for s in licences.known())
 
