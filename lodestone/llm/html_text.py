@@ -8,7 +8,10 @@ a threshold set by the page's own spread are content nodes. The content's root i
 the article (or main) element that holds most of their weight, else the deepest
 element that holds nearly all of it, and every block inside is text, short ones
 too, except what markup names as something else: navigation, headers and footers
-outside the root, sidebars, notices, adverts, forms, comments.
+outside the root, sidebars, notices, adverts, forms, comments. A class or role that is
+such a name drops a block; an id, a part of a longer name or a word that is a topic too
+drops a container only if its tag-path ratio is below the threshold as well. Headings
+and inline elements are never dropped by name.
 
 Defined results: null or empty html, and pages without content, give ""; markup may
 be unclosed, misnested or cut off anywhere; entities are decoded; white space inside
@@ -41,12 +44,16 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = frozenset("table ul ol dl select html body article section main div td th".split())
 # Words of class, id and role that name something other than the text.
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side rail aside footer masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion related recommended recommendations share sharing social newsletter subscribe subscription signup login search pagination pager complementary contentinfo".split())
+#: Those that a section of a text may have for its topic.
+TOPIC_WORDS = frozenset("advertising promotion banner cookie cookies consent notice notices notification alert overlay navigation menu menus side rail reply replies respond discussion related recommended recommendations share sharing social subscription search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+NAMED = BLOCK - HEADINGS - frozenset("html body article main".split())
 HEAD_WORDS = frozenset("header head site-header page-header banner".split())
 ROOT_WORDS = frozenset("article main story post content entry".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Za-z0-9]+")
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?…。，！？¿¡]")
@@ -57,9 +64,12 @@ class Element:
     name: str
     parent: Element | None
     step: str  # its part of a tag path
-    out: bool  # marked as something other than text, or inside such
+    out: bool  # something other than text by its element or hidden, or inside such
     root: bool = False  # an article, a main, or named like one
     depth: int = 0
+    named: bool = False  # a block named as something other than text
+    surely: bool = False  # and that by a whole class or role
+    within: bool = False  # named, or inside such
 
 
 @dataclass
@@ -70,9 +80,10 @@ class Block:
     text: str = ""
 
 
-def _marks(attrs: str) -> tuple[set[str], bool]:
-    """Words of class, id and role; whether the element is hidden."""
+def _marks(attrs: str) -> tuple[set[str], set[str], bool]:
+    """Words of class, id and role; whole classes and roles; whether the element is hidden."""
     words: set[str] = set()
+    whole: set[str] = set()
     hidden = False
     for m in _ATTR.finditer(attrs):
         value = next((v for v in m.groups()[1:] if v is not None), "")
@@ -81,9 +92,11 @@ def _marks(attrs: str) -> tuple[set[str], bool]:
             hidden = True
         elif name == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-        else:
+        elif name in ("class", "id", "role"):
             words.update(w.lower() for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value)))
-    return words, hidden
+            if name != "id":
+                whole.update(value.lower().split())
+    return words, whole, hidden
 
 
 def scan(page: str) -> list[Block]:
@@ -165,14 +178,16 @@ def scan(page: str) -> list[Block]:
                 if e.name in SIBLINGS[name]:
                     at = e.parent
                 e = e.parent
-        words, hidden = _marks(m[3]) if m[3] and ("=" in m[3] or "hidden" in m[3]) else (set(), False)
+        words, whole, hidden = _marks(m[3]) if m[3] and ("=" in m[3] or "hidden" in m[3].lower()) else (set(), set(), False)
         root = name in ("article", "main") or name in ("div", "section") and bool(words & ROOT_WORDS) and not words & ASIDE_WORDS
         inside = at
         while inside is not None and not inside.root:
             inside = inside.parent
-        out = at.out or name in DROPPED or hidden or name not in ("html", "body", "article", "main") and bool(words & ASIDE_WORDS)
         # a header inside the article holds its title; one outside is the site's
-        out |= inside is None and not root and name not in ("html", "body") and (name == "header" or bool(words & HEAD_WORDS))
+        outside = inside is None and not root
+        out = at.out or name in DROPPED or hidden or outside and name == "header"
+        named = name in NAMED and bool(words & ASIDE_WORDS or outside and words & HEAD_WORDS)
+        surely = named and bool(whole & (ASIDE_WORDS - TOPIC_WORDS))
         step = name + "".join("." + w for w in sorted(words)[:3])
         if name in RAW:  # its content is not markup
             close = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, pos)
@@ -183,7 +198,7 @@ def scan(page: str) -> list[Block]:
                 end = page.find(">", pos)
                 pos = end + 1 if end >= 0 else size
             continue
-        at = Element(name, at, step, out, root, at.depth + 1)
+        at = Element(name, at, step, out, root, at.depth + 1, named, surely, at.within or named)
     for b in blocks:
         b.text = _SPACE.sub(" ", html_module.unescape("".join(b.parts))).strip()
     return [b for b in blocks if b.text]
@@ -210,8 +225,12 @@ def path_scores(blocks: list[Block]) -> np.ndarray:
     return smooth(text) * smooth(marked)
 
 
+def least_score(scores: np.ndarray) -> float:
+    return min(float(scores.std()), 0.5 * float(scores.max()))
+
+
 def content_root(blocks: list[Block], scores: np.ndarray) -> Element:
-    threshold = min(float(scores.std()), 0.5 * float(scores.max()))
+    threshold = least_score(scores)
     chosen = [b for b, s in zip(blocks, scores, strict=True) if s >= threshold] or blocks
     weight: dict[int, float] = {}
     element: dict[int, Element] = {}
@@ -235,22 +254,40 @@ def content_root(blocks: list[Block], scores: np.ndarray) -> Element:
     return element[max(near, key=lambda k: element[k].depth)]
 
 
+def asides(blocks: list[Block]) -> set[int]:
+    """Elements that are not text: surely named so, or named so and of a low ratio."""
+    named: dict[int, tuple[Element, list[int]]] = {}
+    for k, b in enumerate(blocks):
+        e = b.element
+        while e is not None and e.within:
+            if e.named:
+                named.setdefault(id(e), (e, []))[1].append(k)
+            e = e.parent
+    if not named:
+        return set()
+    scores = path_scores(blocks)
+    threshold = least_score(scores)
+    return {key for key, (e, at) in named.items() if e.surely or e.name != "p" and float(scores[at].mean()) < threshold}
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    blocks = [b for b in scan(page) if not b.element.out]
-    if not blocks:
-        return ""
-    root = content_root(blocks, path_scores(blocks))
+    blocks = scan(page)
+    dropped = asides(blocks)
 
-    def inside(e: Element | None) -> bool:
-        while e is not None:
-            if e is root:
-                return True
+    def inside(e: Element | None, root: Element | None) -> bool:
+        while e is not root and e is not None:
+            if id(e) in dropped:
+                return False
             e = e.parent
-        return False
+        return e is root
 
-    return "\n\n".join(b.text for b in blocks if inside(b.element))
+    plain = [b for b in blocks if not b.element.within] or [b for b in blocks if inside(b.element, None)]
+    if not plain:
+        return ""
+    root = content_root(plain, path_scores(plain))
+    return "\n\n".join(b.text for b in blocks if inside(b.element, root))
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None, text_col: str = "text") -> DataFrame:

@@ -227,6 +227,19 @@ def test_main_text_without_an_article():
     assert html_text.main_text(page) == html_text.main_text(PAGE)
 
 
+def test_attribute_values_and_topics_drop_no_text():
+    long = "It goes on, with commas, and on, for a good while, as articles do. It ends here, at last."
+    page = f"""<body><nav>Menu</nav><article><h1>Title</h1><p>{long}</p>
+<p>See <a href="/wiki/Hidden_Markov_model">hidden models</a>, <a href="/item?id=search">an item</a> and <a href=/item?id=search>one more</a>.</p>
+<p title="Hidden gems" data-id="sidebar">Gems, all of them.</p><h2 id="related-work">Related work</h2><p>{long}</p>
+<section id="discussion"><h2>Discussion</h2><p>{long}</p></section><section class="discussion"><p>{long}</p></section>
+<div class="ad">{long}</div><div id="share"><a>A</a></div><p hidden>Gone, all of it.</p><p HIDDEN>Gone.</p><p aria-hidden="true">Gone.</p></article></body>"""
+    want = ["Title", long, "See hidden models, an item and one more.", "Gems, all of them.", "Related work", long, "Discussion", long, long]
+    assert html_text.main_text(page).split("\n\n") == want
+    assert html_text.main_text('<div class="ad"><p>Buy, buy, buy this now.</p></div>') == ""
+    assert html_text.main_text(f'<div id="discussion"><p>{long}</p></div>') == long
+
+
 def test_pages_template(spark):
     import html
 
