@@ -171,9 +171,15 @@ def rewrite_affected(spark: SparkSession, old_root: str, new_root: str, made: Pl
     touched = sorted(made.affected)
     if touched:
         rows = old.where(F.col("shard").isin(touched)).withColumnRenamed("shard", "__old")
-        rows = rows.withColumn("__crc", F.crc32(F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8")))
-        to = assignment.where(F.col("old_shard").isin(touched)).groupBy("doc_id", "text_crc32", "old_shard").agg(F.min("shard").alias("shard"))
-        moved = rows.join(to, (rows["__old"] == to["old_shard"]) & rows[id_col].eqNullSafe(to["doc_id"]) & (rows["__crc"] == to["text_crc32"])).select(*[rows[c] for c in old.columns if c != "shard"], to["shard"])
+        text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+        rows = rows.withColumns({"__crc": F.crc32(F.encode(text, "UTF-8")), "__size": (F.octet_length(text) + 1).cast("long")})
+        # repeated rows that a cut divides: the nth of them goes where the nth slot is; ties of the hash are copies
+        hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in old.schema if "map<" not in f.dataType.simpleString() and f.name != "shard"])
+        rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__old", f"`{id_col}`", "__crc", "__size").orderBy(hashed)))
+        to = assignment.where(F.col("old_shard").isin(touched)).select("doc_id", "text_crc32", "size", "old_shard", "shard", "slot")
+        to = to.withColumn("nth", F.row_number().over(Window.partitionBy("old_shard", "doc_id", "text_crc32", "size").orderBy("shard", "slot")))
+        same = (rows["__old"] == to["old_shard"]) & rows[id_col].eqNullSafe(to["doc_id"]) & (rows["__crc"] == to["text_crc32"]) & (rows["__size"] == to["size"]) & (rows["__nth"] == to["nth"])
+        moved = rows.join(to, same).select(*[rows[c] for c in old.columns if c != "shard"], to["shard"])
         moved.write.mode("overwrite").partitionBy("shard").parquet(new_root)
     new = {j for row in made.flow for j, f in enumerate(row) if f}
     listed = [(k, f"{new_root if k in made.affected else old_root}/shard={k}", k in made.affected) for k in sorted(new)]

@@ -158,6 +158,18 @@ def test_only_affected_files_are_rewritten(spark, tmp_path):
     assert sum(read.values()) == 400 and read[2] == 100 and abs(read[0] - 150) <= 2
 
 
+def test_repeated_rows_are_rewritten_where_they_are_placed(spark, tmp_path):
+    copies = spark.createDataFrame([(None if i % 2 else 1, "x" * 99, "en") for i in range(400)], ROW)
+    old = copies.withColumn("shard", F.lit(0))
+    old.write.partitionBy("shard").parquet(f"{tmp_path}/old")
+    rows, made = shards.reshard(old, 2, old_shards=2, old_col="shard", capacities=[25_000, 15_000], blocks=16)
+    want = Counter((r["shard"], r["doc_id"]) for r in rows.collect())
+    assert len({k for k, _ in want}) == 2
+    listed = shards.rewrite_affected(spark, f"{tmp_path}/old", f"{tmp_path}/new", made, rows).collect()
+    got = Counter((r["shard"], x["doc_id"]) for r in listed for x in spark.read.parquet(r["path"]).collect())
+    assert got == want
+
+
 # ------------------------------------------------------------------------- PII
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
