@@ -537,9 +537,52 @@ def test_a_group_of_many_blocks(spark):
     assert got == {d: x for (d, _, _), x in zip(rows, brute_join([(d, t) for d, t, _ in rows]), strict=True)}
 
 
-def test_depth_follows_recall():
-    d = jaccard.choose_depth(0.8, jaccard.TREES, jaccard.MAX_DEPTH, jaccard.RECALL)
-    assert jaccard.recall_at(0.8, jaccard.TREES, d) >= jaccard.RECALL > jaccard.recall_at(0.8, jaccard.TREES, d + 1)
+def test_rows_that_share_an_id_keep_their_links(spark):
+    a, b = prose(31, 120), prose(32, 120)
+    rows = [(1, a, ""), (1, b, ""), (2, edited(a, 1, 1), ""), (3, edited(b, 2, 1), ""), (3, b, "")]
+    got = {(r["doc_id"], r["tkey"]): (r["n_links"], r["component_id"], r["kept"]) for r in jaccard.join(spark.createDataFrame(rows, ROW)).collect()}
+    key = {t: k for _, t, k in spark.createDataFrame(rows, ROW).select("doc_id", "text", F.xxhash64("text").alias("k")).collect()}
+    assert got == {(1, key[a]): (1, 1, True), (1, key[b]): (2, 1, True), (2, key[rows[2][1]]): (1, 1, False), (3, key[rows[3][1]]): (2, 1, False), (3, key[b]): (2, 1, False)}
+
+
+def test_near_copies_of_one_id_keep_one(spark):
+    a = prose(33, 120)
+    got = jaccard.join(spark.createDataFrame([(5, a, ""), (5, edited(a, 1, 1), "")], ROW)).collect()
+    assert sorted(r["kept"] for r in got) == [False, True] and all(r["n_links"] == 1 for r in got)
+
+
+def test_depth_follows_the_sample():
+    of = lambda agreed: jaccard.choose_depth(agreed, 192, 0.8, 24, 8, 4, 0.99999)
+    assert of({}) == of({20: 10**6}) < of({192: 100}) < of({192: 10**6}) == 8  # pairs below the threshold don't count
+    assert of({192: 10**6, 155: 10**6}) <= of({})
+
+
+def test_sorted_pass_finds_every_shared_prefix(spark):
+    r = random.Random(3)
+    labels = [b"".join(bytes([0, r.randrange(3)]) for _ in range(2 * 4)) for _ in range(300)] + [bytes(16)] * 50
+    classes = spark.createDataFrame([(i, 2 * i, x) for i, x in enumerate(labels)], "cls long, rep long, labels binary")
+    rows = jaccard.forest(classes, 2, 4, 2).collect()
+    kept = {(x["tree"], x["cls"]) for x in rows}
+    for tree in range(2):
+        of = [x[8 * tree : 8 * tree + 8] for x in labels]
+        count = Counter(x[:4] for x in of)
+        assert all((tree, i) in kept for i, x in enumerate(of) if count[x[:4]] > 1)
+    for x in rows:
+        if x["before"] is not None:
+            front = labels[x["before"]][8 * x["tree"] :]
+            assert x["matched"] == next((k for k in range(4) if front[2 * k : 2 * k + 2] != x["label"][2 * k : 2 * k + 2]), 4)
+
+
+def test_a_chain_of_weak_candidates_is_not_all_pairs(spark):
+    n = 4000
+    members = spark.range(n).select(F.col("id").alias("cls"), F.lit(0).cast("long").alias("comp"), F.lit(n).cast("long").alias("members"), F.floor(F.col("id") / 5).cast("long").alias("first"))
+    nodes = spark.range(n - 1).select(F.col("id").alias("node"), F.explode(F.array("id", F.col("id") + 1)).alias("cls")).where("node % 5 = 4")
+    placed, pairs = jaccard.blocked(members, nodes)
+    block = {r["cls"]: r["block"] for r in placed.collect()}
+    sizes = Counter(block.values())
+    assert max(sizes.values()) <= 4 * jaccard.LEAST_BLOCK
+    wanted = {(r["i"], r["j"]) for r in pairs.collect()}
+    assert all(tuple(sorted((block[5 * k + 4], block[5 * k + 5]))) in wanted for k in range(n // 5 - 1))
 
 
 def test_intersections():
