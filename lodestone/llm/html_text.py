@@ -1,29 +1,37 @@
 """Main text of web pages by tag-path ratios.
 
-A page is scanned once into text blocks, each with its root-to-leaf tag path. Per
-path, text length, punctuation and number of blocks are aggregated; a path's ratio
-is its text over its blocks, and its punctuation's ratio likewise. Ratios are
-smoothed over neighbouring blocks in page order and fused by product; blocks above
-a threshold set by the page's own spread are content nodes. The content's root is
-the article (or main) element that holds most of their weight, else the deepest
-element that holds nearly all of it, and every block inside is text, short ones
-too, except what markup names as something else: navigation, headers and footers
-outside the root, sidebars, notices, adverts, forms, comments. A class or role that is
-such a name drops a block; an id, a part of a longer name or a word that is a topic too
-drops a container only if its tag-path ratio is below the threshold as well. Headings
-and inline elements are never dropped by name.
-
-Defined results: null or empty html, and pages without content, give ""; markup may
-be unclosed, misnested or cut off anywhere; entities are decoded; white space inside
-a block becomes one space and empty blocks are left out; equal pages get equal texts; an
-empty table gives an empty table; extra columns are kept if named in `keep`, and a
-result column replaces a kept column of the same name.
+A page is scanned once into text blocks, each with its tag path from the root to the
+block element that holds the text (names and classes). Per path, text length, punctuation, linked
+text and number of blocks are aggregated. A path's ratios are its text, its
+punctuation marks, and its unlinked share, over its blocks. The first two are smoothed over
+neighbouring blocks in page order, and all are fused by product. What markup says of itself
+(nav, footer, aside, form; a class, id or role that is wholly a name such as `ad` or
+`comments`) is one more factor, `DOUBT`, which takes a path below the lower threshold: reader
+comments and notices are prose whose ratios are those of an article.
+
+Two thresholds come from the page's own scores. Blocks above the upper one are content
+nodes, and the deepest element that holds nearly all of their weight is the content's root;
+text under an article or main element weighs more. Inside the root a block goes only if
+its score is below the lower threshold and its path is doubtful: named as something else, or
+mostly links. All else in the root is text, short blocks, tables and lists too. An h1
+right before the root is its title.
+
+Every step is linear in the page: open paragraphs, items, scopes and paths are carried
+from element to element and never searched for.
+
+Defined results: null or empty html, and pages without content (all links, or all doubtful), give ""; hidden elements, scripts,
+styles and the like hold no text; markup may be unclosed, misnested or cut off
+anywhere; an attribute's quote that never closes ends at the next >; character
+references are decoded; white space inside a block becomes one space and empty blocks are left
+out; equal pages get equal texts; an empty table gives an empty table; extra columns are kept if
+named in `keep`, and a result column replaces a kept column of the same name.
 """
 
 from __future__ import annotations
 
 import html as html_module
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,93 +45,128 @@ from lodestone.llm.common import arrow_map
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math xmp".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("head nav footer aside form button select option script style noscript template textarea title iframe svg math object audio video canvas dialog menu".split())
+#: Never text.
+DROPPED = frozenset("head button select option object audio video canvas".split()) | RAW
 #: An open <p> ends where one of these begins.
 ENDS_P = BLOCK - frozenset("html body caption tbody td tfoot th thead tr option optgroup legend".split())
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("table ul ol dl select html body article section main div td th".split())
-# Words of class, id and role that name something other than the text.
-ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side rail aside footer masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion related recommended recommendations share sharing social newsletter subscribe subscription signup login search pagination pager complementary contentinfo".split())
-#: Those that a section of a text may have for its topic.
-TOPIC_WORDS = frozenset("advertising promotion banner cookie cookies consent notice notices notification alert overlay navigation menu menus side rail reply replies respond discussion related recommended recommendations share sharing social subscription search".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-NAMED = BLOCK - HEADINGS - frozenset("html body article main".split())
-HEAD_WORDS = frozenset("header head site-header page-header banner".split())
-ROOT_WORDS = frozenset("article main story post content entry".split())
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+#: Open items by group, and the elements inside which none of the group is open yet.
+ITEM = {"li": "li", "dt": "d", "dd": "d", "td": "cell", "th": "cell", "tr": "row", "thead": "rows", "tbody": "rows", "tfoot": "rows", "option": "option"}
+#: What an item closes: the first of these groups that is open.
+CLOSES = {"li": ("li",), "d": ("d",), "cell": ("cell",), "row": ("row", "cell"), "rows": ("rows", "row", "cell"), "option": ("option",)}
+FRESH = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dl": ("d",), "table": ("cell", "row", "rows"), "select": ("option",)}
+
+# What elements, and whole classes, ids or roles, say of themselves.
+DOUBTED = frozenset("nav footer aside form menu dialog".split())
+DOUBTED_NAMES = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo cookie-notice cookie-banner gdpr popup modal nav navbar breadcrumb breadcrumbs sidebar footer masthead topbar toolbar comments comment comment-list commentlist comments-area disqus newsletter signup login pagination pager complementary contentinfo navigation notice".split())
+#: Factors of doubtful markup, and of text under an article or main element in the root's choice.
+DOUBT, ARTICLE = 0.04, 2.0
+LOWER, UPPER, MOST = 0.1, 0.5, 0.9
+LINKED = 0.5
+KERNEL = (0.1, 0.2, 0.4, 0.2, 0.1)
+
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
-_WORD = re.compile(r"[A-Za-z0-9]+")
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
 _SPACE = re.compile(r"\s+")
+_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PUNCT = re.compile(r"[.,;:!?…。，！？¿¡]")
 
 
-@dataclass
 class Element:
-    name: str
-    parent: Element | None
-    step: str  # its part of a tag path
-    out: bool  # something other than text by its element or hidden, or inside such
-    root: bool = False  # an article, a main, or named like one
-    depth: int = 0
-    named: bool = False  # a block named as something other than text
-    surely: bool = False  # and that by a whole class or role
-    within: bool = False  # named, or inside such
+    __slots__ = ("name", "parent", "path", "out", "article", "doubt", "linked", "p", "items", "scope", "open", "depth")
+
+    def __init__(self, name: str, parent: Element | None, path: int):
+        self.name, self.parent, self.path = name, parent, path
+        self.out = self.article = self.doubt = self.linked = False
+        self.p: Element | None = None  # the open paragraph
+        self.items: dict[str, Element] = {}  # the open item of each group
+        self.scope: Element = self  # the nearest element that end tags of inline elements don't cross
+        self.open: Counter = Counter()  # of a scope: inline elements open in it
+        self.depth = 0
 
 
 @dataclass
 class Block:
     element: Element
-    path: str
     parts: list[str] = field(default_factory=list)
+    linked: int = 0
     text: str = ""
 
 
-def _marks(attrs: str) -> tuple[set[str], set[str], bool]:
-    """Words of class, id and role; whole classes and roles; whether the element is hidden."""
-    words: set[str] = set()
-    whole: set[str] = set()
-    hidden = False
+def _marks(attrs: str) -> tuple[list[str], bool, bool]:
+    """Classes; whether a class, id or role names something other than text; whether it is hidden."""
+    classes: list[str] = []
+    doubt = hidden = False
     for m in _ATTR.finditer(attrs):
         value = next((v for v in m.groups()[1:] if v is not None), "")
         name = m[1].lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             hidden = True
         elif name == "style":
-            hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            hidden |= bool(_HIDES.search(value))
         elif name in ("class", "id", "role"):
-            words.update(w.lower() for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value)))
-            if name != "id":
-                whole.update(value.lower().split())
-    return words, whole, hidden
+            words = value.lower().split()
+            doubt |= any(w in DOUBTED_NAMES for w in words)
+            if name == "class":
+                classes = words
+    return classes, doubt, hidden
+
+
+def _tag_end(page: str, pos: int, gone: set[str]) -> int:
+    """Where the tag whose name ends at pos ends: at the first > outside quotes. Quotes that never close don't count;
+    gone remembers which of them occur no more."""
+    while True:
+        gt = page.find(">", pos)
+        if gt < 0:
+            return len(page)
+        quotes = [q for q in (page.find('"', pos, gt), page.find("'", pos, gt)) if q >= 0]
+        if not quotes:
+            return gt
+        at = min(quotes)
+        if page[at] in gone or page[at - 1] not in "= \t\n\r\f":  # only a value begins with a quote
+            pos = at + 1
+            continue
+        close = page.find(page[at], at + 1)
+        if close < 0:
+            gone.add(page[at])
+        pos = close + 1 if close >= 0 else at + 1
 
 
 def scan(page: str) -> list[Block]:
     """Text blocks in page order."""
-    top = Element("", None, "", False)
+    paths: dict[tuple[int, str], int] = {}
+    top = Element("", None, 0)
     at, blocks = top, []
     current: Block | None = None
-
-    def path_of(e: Element) -> str:
-        steps = []
-        while e.parent is not None:
-            steps.append(e.step)
-            e = e.parent
-        return "/".join(reversed(steps))
+    opened: Counter = Counter()
+    gone: set[str] = set()
+    ends: dict[str, re.Pattern] = {}
+
+    def close(e: Element) -> None:
+        """Leave e and all in it."""
+        nonlocal at
+        while True:
+            opened[at.name] -= 1
+            at.scope.open[at.name] -= 1
+            last, at = at, at.parent
+            if last is e:
+                return
 
     def add(raw: str) -> None:
         nonlocal current
-        if at.out and not at.name == "":
-            if raw.strip():
+        if at.out:
+            if not raw.isspace():
                 current = None
             return
         if current is None:
-            if not raw.strip():
+            if not raw or raw.isspace():
                 return
-            current = Block(at, path_of(at))
+            current = Block(at)
             blocks.append(current)
-        current.parts.append(raw)
+        text = html_module.unescape(raw) if "&" in raw else raw
+        current.parts.append(text)
+        if at.linked:
+            current.linked += len("".join(text.split()))
 
     pos, size = 0, len(page)
     while pos < size:
@@ -133,31 +176,41 @@ def scan(page: str) -> list[Block]:
             break
         if lt > pos:
             add(page[pos:lt])
-        m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
-        if m is None:  # a bare <
-            add("<")
-            pos = lt + 1
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            pos = size if end < 0 else end + 3
+            continue
+        if page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt)
+            add(html_module.escape(page[lt + 9 : size if end < 0 else end], quote=False))
+            pos = size if end < 0 else end + 3
             continue
-        pos = m.end()
-        if m.group(2) is None:
-            if m[0].startswith("<![CDATA["):
-                add(html_module.escape(m[0][9:].removesuffix("]]>"), quote=False))
+        m = _NAME.match(page, lt + 1)
+        if m is None:
+            if page[lt + 1 : lt + 2] in ("!", "?", "/"):
+                end = page.find(">", lt)
+                pos = size if end < 0 else end + 1
+            else:  # a bare <
+                add("<")
+                pos = lt + 1
             continue
         name = m[2].lower()
+        gt = _tag_end(page, m.end(), gone)
+        attrs, pos = page[m.end() : gt], gt + 1
         if m[1]:  # an end tag
             if name == "br":
                 add(" ")
                 continue
             if name in BLOCK:
                 current = None
-            e = at
-            while e.parent is not None and e.name != name:
-                if name not in BLOCK and e.name in SCOPES:
-                    e = top
-                    break
-                e = e.parent
-            if e.parent is not None:
-                at = e.parent
+                known = opened[name] > 0
+            else:
+                known = at.scope.open[name] > 0
+            if known:
+                e = at
+                while e.name != name:
+                    e = e.parent
+                close(e)
             continue
         if name in ("br", "wbr"):
             add(" " if name == "br" else "")
@@ -166,128 +219,129 @@ def scan(page: str) -> list[Block]:
             current = None
         if name in VOID:
             continue
-        if name in ENDS_P:  # an open p ends here, with what it holds
-            e = at
-            while e.parent is not None and e.name not in SCOPES and e.name != "p":
-                e = e.parent
-            if e.name == "p":
-                at = e.parent
-        if name in SIBLINGS:
-            e = at
-            while e.parent is not None and e.name not in ("table", "ul", "ol", "dl", "select"):
-                if e.name in SIBLINGS[name]:
-                    at = e.parent
-                e = e.parent
-        words, whole, hidden = _marks(m[3]) if m[3] and ("=" in m[3] or "hidden" in m[3].lower()) else (set(), set(), False)
-        root = name in ("article", "main") or name in ("div", "section") and bool(words & ROOT_WORDS) and not words & ASIDE_WORDS
-        inside = at
-        while inside is not None and not inside.root:
-            inside = inside.parent
-        # a header inside the article holds its title; one outside is the site's
-        outside = inside is None and not root
-        out = at.out or name in DROPPED or hidden or outside and name == "header"
-        named = name in NAMED and bool(words & ASIDE_WORDS or outside and words & HEAD_WORDS)
-        surely = named and bool(whole & (ASIDE_WORDS - TOPIC_WORDS))
-        step = name + "".join("." + w for w in sorted(words)[:3])
         if name in RAW:  # its content is not markup
-            close = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, pos)
-            if m[3].endswith("/") and name in ("svg", "math", "iframe"):
+            if attrs.endswith("/") and name in ("svg", "math", "iframe"):
                 continue
-            pos = close.start() if close else size
-            if close:
-                end = page.find(">", pos)
-                pos = end + 1 if end >= 0 else size
+            if name not in ends:
+                ends[name] = re.compile(f"</{name}(?=[\\s/>])", re.I)
+            end = ends[name].search(page, pos)
+            gt = page.find(">", end.start()) if end else -1
+            pos = size if gt < 0 else gt + 1
             continue
-        at = Element(name, at, step, out, root, at.depth + 1, named, surely, at.within or named)
+        if name in ENDS_P and at.p is not None:  # an open p ends here, with what it holds
+            close(at.p)
+        group = ITEM.get(name)
+        if group:
+            for g in CLOSES[group]:
+                if g in at.items:
+                    close(at.items[g])
+                    break
+        classes, doubt, hidden = _marks(attrs) if attrs and not attrs.isspace() else ([], False, False)
+        step = name + "".join("." + c for c in classes)
+        e = Element(name, at, paths.setdefault((at.path, step), len(paths) + 1))
+        e.depth = at.depth + 1
+        e.out = at.out or name in DROPPED or hidden
+        e.article = at.article or name in ("article", "main")
+        # a header inside the article holds its title; one outside is the site's
+        e.doubt = at.doubt or doubt and name not in ("html", "body", "article", "main") or name in DOUBTED or name == "header" and not at.article
+        e.linked = at.linked or name == "a"
+        e.scope = e if name in SCOPES else at.scope
+        e.p = e if name == "p" else None if name in SCOPES else at.p
+        e.items = at.items
+        if group or name in FRESH:
+            e.items = {g: x for g, x in at.items.items() if g not in FRESH.get(name, ())}
+            if group:
+                e.items[group] = e
+        opened[name] += 1
+        e.scope.open[name] += 1
+        at = e
     for b in blocks:
-        b.text = _SPACE.sub(" ", html_module.unescape("".join(b.parts))).strip()
+        b.text = _SPACE.sub(" ", "".join(b.parts)).strip()
+        # text belongs to the block element around it
+        while b.element.name not in BLOCK and b.element.parent is not None and not b.element.parent.out:
+            b.element = b.element.parent
     return [b for b in blocks if b.text]
 
 
-def path_scores(blocks: list[Block]) -> np.ndarray:
-    """Each block's fused, smoothed tag-path ratio."""
-    length: dict[str, float] = {}
-    punct: dict[str, float] = {}
-    number: dict[str, int] = {}
-    marks = [len(_PUNCT.findall(b.text)) for b in blocks]
-    for b, k in zip(blocks, marks, strict=True):
-        length[b.path] = length.get(b.path, 0) + len(b.text)
-        punct[b.path] = punct.get(b.path, 0) + k
-        number[b.path] = number.get(b.path, 0) + 1
-    text = np.array([length[b.path] / number[b.path] for b in blocks])
-    marked = np.array([1 + punct[b.path] / number[b.path] for b in blocks])
-    kernel = np.array([0.1, 0.2, 0.4, 0.2, 0.1])
-
-    def smooth(x: np.ndarray) -> np.ndarray:
-        wide = np.pad(x, 2, mode="edge")
-        return np.convolve(wide, kernel, mode="valid")
-
-    return smooth(text) * smooth(marked)
+def smoothed(x: np.ndarray) -> np.ndarray:
+    return np.convolve(np.pad(x, len(KERNEL) // 2, mode="edge"), KERNEL, mode="valid")
 
 
-def least_score(scores: np.ndarray) -> float:
-    return min(float(scores.std()), 0.5 * float(scores.max()))
+def path_scores(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """Each block's fused, smoothed tag-path ratio without its markup's doubt, and its path's linked share."""
+    path = np.unique([b.element.path for b in blocks], return_inverse=True)[1]
+    number = np.bincount(path)
+    length = np.bincount(path, [len(b.text) for b in blocks])
+    marks = np.bincount(path, [len(_PUNCT.findall(b.text)) for b in blocks])
+    linked = np.minimum(1.0, np.bincount(path, [b.linked for b in blocks]) / np.bincount(path, [len(b.text) - b.text.count(" ") for b in blocks]))[path]
+    return smoothed((length / number)[path]) * smoothed((1 + marks / number)[path]) * (1 - linked), linked
 
 
-def content_root(blocks: list[Block], scores: np.ndarray) -> Element:
-    threshold = least_score(scores)
-    chosen = [b for b, s in zip(blocks, scores, strict=True) if s >= threshold] or blocks
-    weight: dict[int, float] = {}
+def content_root(blocks: list[Block], scores: np.ndarray, upper: float) -> Element:
+    """The deepest element that holds nearly all of the content nodes' weight."""
+    held: dict[int, float] = {}
     element: dict[int, Element] = {}
-    total = 0.0
-    for b in chosen:
-        w = float(len(b.text))
-        total += w
-        e = b.element
-        while e is not None:
-            weight[id(e)] = weight.get(id(e), 0.0) + w
-            element[id(e)] = e
-            e = e.parent
-    roots = [k for k, e in element.items() if e.root]
-    strong = [k for k in roots if element[k].name in ("article", "main")] or roots
-    if strong:  # the heaviest; of nested ones of (nearly) equal weight the innermost article
-        most = max(weight[k] for k in strong)
-        near = [k for k in strong if weight[k] >= 0.9 * most]
-        if most >= 0.2 * total:
-            return element[max(near, key=lambda k: (element[k].depth, -len(element[k].name)))]
-    near = [k for k, e in element.items() if weight[k] >= 0.9 * total and (e.name in BLOCK or e.parent is None) and e.name != "p"]
-    return element[max(near, key=lambda k: element[k].depth)]
-
-
-def asides(blocks: list[Block]) -> set[int]:
-    """Elements that are not text: surely named so, or named so and of a low ratio."""
-    named: dict[int, tuple[Element, list[int]]] = {}
-    for k, b in enumerate(blocks):
-        e = b.element
-        while e is not None and e.within:
-            if e.named:
-                named.setdefault(id(e), (e, []))[1].append(k)
-            e = e.parent
-    if not named:
-        return set()
-    scores = path_scores(blocks)
-    threshold = least_score(scores)
-    return {key for key, (e, at) in named.items() if e.surely or e.name != "p" and float(scores[at].mean()) < threshold}
+    for b, s in zip(blocks, scores.tolist(), strict=True):
+        if s >= upper:
+            held[id(b.element)] = held.get(id(b.element), 0.0) + len(b.text) * (ARTICLE if b.element.article else 1.0)
+            element[id(b.element)] = b.element
+    total = sum(held.values())
+    # children before parents, each once
+    levels: dict[int, list[Element]] = {}
+    for e in element.values():
+        levels.setdefault(e.depth, []).append(e)
+    best: Element | None = None
+    for depth in range(max(levels), -1, -1):
+        for e in levels.get(depth, []):
+            if held[id(e)] >= MOST * total and e.name != "p" and (e.name in BLOCK or e.parent is None):
+                best = e
+                break
+            if e.parent is not None:
+                if id(e.parent) not in held:
+                    levels.setdefault(depth - 1, []).append(e.parent)
+                held[id(e.parent)] = held.get(id(e.parent), 0.0) + held[id(e)]
+        if best is not None:
+            break
+    # the root of an article's text is the article, its heading and short parts included
+    e = best
+    while e.article and e.name not in ("article", "main"):
+        e = e.parent
+    return e
 
 
 def main_text(page: str | None) -> str:
-    if not page:
+    blocks = scan(page) if page else []
+    if not blocks:
         return ""
-    blocks = scan(page)
-    dropped = asides(blocks)
-
-    def inside(e: Element | None, root: Element | None) -> bool:
-        while e is not root and e is not None:
-            if id(e) in dropped:
-                return False
-            e = e.parent
-        return e is root
-
-    plain = [b for b in blocks if not b.element.within] or [b for b in blocks if inside(b.element, None)]
-    if not plain:
+    plain, linked = path_scores(blocks)
+    doubt = np.array([b.element.doubt for b in blocks])
+    scores = np.where(doubt, DOUBT * plain, plain)
+    if doubt.all():
+        return ""
+    lower = LOWER * max(float(plain[~doubt].max()), UPPER * float(plain.max()))
+    good = scores >= lower
+    if not plain.any():  # nothing but links
         return ""
-    root = content_root(plain, path_scores(plain))
-    return "\n\n".join(b.text for b in blocks if inside(b.element, root))
+    best = float(scores.max())
+    upper = min(best, max(lower, min(float(scores.std()), UPPER * best)))
+    root = content_root(blocks, scores, upper)
+    seen = {id(root): True, id(None): False}
+
+    def inside(e: Element) -> bool:
+        trail = []
+        while id(e) not in seen and e is not None:
+            trail.append(id(e))
+            e = e.parent
+        found = e is not None and seen[id(e)]
+        seen.update(dict.fromkeys(trail, found))
+        return found
+
+    within = [inside(b.element) for b in blocks]
+    kept = [w and (g or not d and k < LINKED) for w, g, d, k in zip(within, good.tolist(), doubt.tolist(), linked.tolist(), strict=True)]
+    first = kept.index(True) if True in kept else 0
+    if first and not within[first - 1] and blocks[first - 1].element.name == "h1" and not doubt[first - 1]:
+        kept[first - 1] = True
+    return "\n\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None, text_col: str = "text") -> DataFrame:

@@ -261,6 +261,124 @@ def test_pages_template(spark):
         assert html_text.main_text(r["html"]) == "\n\n".join(b for b in blocks if b)
 
 
+def brute_main_text(page):
+    """The operator's rules on well-formed pages, by html.parser and plain loops."""
+    import statistics
+    from html.parser import HTMLParser
+
+    class Node:
+        def __init__(self, tag, attrs, parent):
+            self.tag, self.parent, self.kids = tag, parent, []
+            self.cls = (attrs.get("class") or "").lower().split()
+            names = {*self.cls, *(attrs.get("id") or "").lower().split(), *(attrs.get("role") or "").lower().split()}
+            self.up = [self, *(parent.up if parent else [])]
+            article = any(x.tag in ("article", "main") for x in self.up)
+            self.doubt = bool(parent and parent.doubt) or tag in html_text.DOUBTED or tag == "header" and not article or bool(names & html_text.DOUBTED_NAMES) and tag not in ("html", "body", "article", "main")
+
+    found, top = [], Node("", {}, None)
+
+    class Reader(HTMLParser):
+        at, open_block = top, None
+
+        def handle_starttag(self, tag, attrs):
+            self.open_block = self.open_block if tag not in html_text.BLOCK else None
+            self.at = Node(tag, dict(attrs), self.at)
+
+        def handle_endtag(self, tag):
+            self.open_block = self.open_block if tag not in html_text.BLOCK else None
+            self.at = self.at.parent
+
+        def handle_data(self, data):
+            if any(x.tag in html_text.DROPPED for x in self.at.up):
+                return
+            if self.open_block is None:
+                if not data.strip():
+                    return
+                home = next(x for x in self.at.up if x.tag in html_text.BLOCK or x.parent is None)
+                self.open_block = {"home": home, "text": "", "linked": 0}
+                found.append(self.open_block)
+            self.open_block["text"] += data
+            if any(x.tag == "a" for x in self.at.up):
+                self.open_block["linked"] += len("".join(data.split()))
+
+    Reader(convert_charrefs=True).feed(page)
+    for b in found:
+        b["text"] = " ".join(b["text"].split())
+        b["path"] = tuple((x.tag, *x.cls) for x in b["home"].up)
+    if not found or all(b["home"].doubt for b in found):
+        return ""
+    for b in found:
+        same = [x for x in found if x["path"] == b["path"]]
+        b["ratio"] = sum(len(x["text"]) for x in same) / len(same)
+        b["marks"] = 1 + sum(sum(c in ".,;:!?…。，！？¿¡" for c in x["text"]) for x in same) / len(same)
+        b["share"] = min(1.0, sum(x["linked"] for x in same) / sum(len(x["text"].replace(" ", "")) for x in same))
+
+    def smooth(key, k):
+        near = [found[min(max(k + d, 0), len(found) - 1)][key] for d in range(-2, 3)]
+        return sum(w * x for w, x in zip((0.1, 0.2, 0.4, 0.2, 0.1), near, strict=True))
+
+    plain = [smooth("ratio", k) * smooth("marks", k) * (1 - b["share"]) for k, b in enumerate(found)]
+    if not any(plain):
+        return ""
+    score = [x * (html_text.DOUBT if b["home"].doubt else 1) for x, b in zip(plain, found, strict=True)]
+    lower = 0.1 * max(max(x for x, b in zip(plain, found, strict=True) if not b["home"].doubt), 0.5 * max(plain))
+    upper = min(max(score), max(lower, min(statistics.pstdev(score), 0.5 * max(score))))
+    weight = lambda b: len(b["text"]) * (html_text.ARTICLE if any(x.tag in ("article", "main") for x in b["home"].up) else 1)
+    seeds = [b for b, s in zip(found, score, strict=True) if s >= upper]
+    held = Counter()
+    for b in seeds:
+        for x in b["home"].up:
+            held[x] += weight(b)
+    total = sum(weight(b) for b in seeds)
+    root = max((x for x in held if held[x] >= 0.9 * total and x.tag != "p"), key=lambda x: len(x.up))
+    root = next((x for x in root.up if x.tag in ("article", "main")), root)
+    kept = [root in b["home"].up and (s >= lower or not b["home"].doubt and b["share"] < 0.5) for b, s in zip(found, score, strict=True)]
+    first = kept.index(True) if True in kept else 0
+    if first and root not in found[first - 1]["home"].up and found[first - 1]["home"].tag == "h1" and not found[first - 1]["home"].doubt:
+        kept[first - 1] = True
+    return "\n\n".join(b["text"] for b, k in zip(found, kept, strict=True) if k)
+
+
+def random_page(seed):
+    r = random.Random(seed)
+    say = lambda a, b: " ".join(f"{prose(r.random(), r.randint(a, b))}{r.choice('.,!')}" for _ in range(r.randint(1, 4)))
+    menu = lambda: "<ul>" + "".join(f'<li><a href="/{k}">{say(1, 2)}</a></li>' for k in range(r.randint(1, 8))) + "</ul>"
+    part = lambda: r.choice([lambda: f"<p>{say(2, 40)}</p>", lambda: f"<h2>{say(1, 3)}</h2>", menu, lambda: f'<div class="{r.choice(["ad", "note", "comments", "x y"])}"><p>{say(3, 20)}</p></div>', lambda: f"<p>{say(1, 9)} <a href='?a=b'>{say(1, 2)}</a> &amp; <b>so</b></p>", lambda: "<table><tr><td>1</td><td>2</td></tr></table>"])()
+    body = "".join(part() for _ in range(r.randint(1, 9)))
+    wrap = r.choice(["<article>{}</article>", "<main><h1>T x</h1>{}</main>", "<h1>T x</h1><div class='c'>{}</div>", "<div><div>{}</div></div>"]).format(body)
+    return f"<html><head><title>t</title></head><body><{(k := r.choice(['nav', 'div']))}>{menu()}</{k}>{part()}{wrap}<footer><p>{say(1, 12)}</p></footer></body></html>"
+
+
+def test_main_text_equals_brute_force():
+    for seed in range(400):
+        assert html_text.main_text(random_page(seed)) == brute_main_text(random_page(seed)), seed
+
+
+def test_ratios_decide(monkeypatch):
+    pages = [random_page(seed) for seed in range(200)]
+    real = [html_text.main_text(p) for p in pages]
+    r = np.random.default_rng(3)
+    for other in (lambda b: (np.ones(len(b)), np.zeros(len(b))), lambda b: (r.random(len(b)), np.zeros(len(b)))):
+        monkeypatch.setattr(html_text, "path_scores", other)
+        assert sum(html_text.main_text(p) != x for p, x in zip(pages, real, strict=True)) > 60
+
+
+def test_a_link_menu_is_no_text():
+    long = "It goes on, with commas, and on, for a good while, as texts do. It ends here, at last."
+    page = f"<body><div><a>Home</a> <a>About</a> <a>Contact us</a></div><div><h1>Title</h1><p>{long}</p><p>{long}</p><table><tr><td>1</td><td>2</td></tr></table><p>{long}</p></div></body>"
+    assert html_text.main_text(page).split("\n\n") == ["Title", long, long, "1", "2", long]
+
+
+def test_deep_and_unclosed_markup_takes_linear_time():
+    import time
+
+    for part in ("<div>x", "<table><tr><td>", "<p>x</p><a href='>", "<b><p>x</p>", "<b></i>", "<div><li>x", '<a b="', "<i>x</b>", "<!--x", "<dl><dt>x", "<ul><li><ol>x"):
+        page = part * (1_000_000 // len(part))
+        begin = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - begin < 20, part
+
+
 def test_broken_markup_never_fails():
     r = random.Random(4)
     for _ in range(3000):
