@@ -1,18 +1,21 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a classifier decides.
 
-Base patterns (email, ip, card, phone) always yield spans. Looser patterns propose
-further candidates: spelt-out addresses, IPv6, national phone numbers, card numbers
-with other separators. On every candidate, base ones included, four labelers vote
-yes, no or nothing: strict pattern, shape, gazetteer (top-level domains, issuer and
-country prefixes, address blocks) and context (words nearby). Expectation-
-maximisation (Dawid-Skene) over the whole corpus' votes estimates each labeler's
-reliability and each vote pattern's posterior; a logistic span classifier is
-trained on those posteriors with surface features, and accepts or rejects the
-candidates beyond the base.
+Base patterns (email, ip, card, phone) always yield spans. Beside them every looser form
+is a candidate: spelt-out addresses, IPv6, national phone numbers, card numbers with
+other separators; and every near miss: matches of the base patterns that fail their
+checks, addresses without a dot, dotted numbers of three parts, bare runs of digits. On each
+candidate four labelers vote yes, no or nothing: strict pattern (nothing on the looser
+forms), shape, gazetteer (top-level domains, issuer and country prefixes, address blocks)
+and context (words nearby, and whether the candidate stands free). Near misses are mostly
+false, so the labelers disagree. Expectation-maximisation (Dawid-Skene) over the whole
+corpus' votes estimates each labeler's reliability, strict included, by kind, with the labeler's rates
+over all kinds as the prior; a logistic span classifier is trained on the
+posteriors with surface features, and accepts or rejects the candidates beyond the base.
 
 One pass counts (kind, votes, features) patterns: at most a few thousand distinct
 rows whatever the corpus, summed before the shuffle and collected. A second pass
-applies the model. Positions are code points, ends exclusive.
+applies the model. All patterns run in time linear in the text. Positions are code points, ends
+exclusive.
 
 Defined results: null and empty texts have no spans; spans of one kind never
 overlap, an added span overlaps no base span; without candidates the model accepts
@@ -24,6 +27,7 @@ kept column of the same name.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,7 +44,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 # The base patterns.
 EMAIL_END = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")  # the ip pattern takes its parts four by four
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -61,7 +65,9 @@ FOR = {
     "card": re.compile(r"card|visa|credit|debit|karte|carte|tarjeta|amex|payment", re.I),
     "phone": re.compile(r"phone|call|tel|mobile|cell|fax|ruf|appel|llam", re.I),
 }
-AGAINST = re.compile(r"version|order|invoice|isbn|issn|serial|chapter|section|page|figure|build|release|revision|rechnung|bestell|facture|pedido", re.I)
+AGAINST = re.compile(r"version|order|invoice|isbn|issn|serial|chapter|section|page|figure|build|release|revision|rechnung|bestell|facture|pedido|token|key|secret|hash|commit|id\b", re.I)
+DATE = re.compile(r"(?:[12][0-9]{3}[-. ][0-9]{1,2}[-. ][0-9]{1,2}|[0-9]{1,2}[-. ][0-9]{1,2}[-. ][12][0-9]{3})")
+HANDLE = re.compile(r"[A-Za-z0-9-]++")
 NEAR = 30
 
 
@@ -96,29 +102,75 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", end)
 
 
-def base_spans(text: str, has_at: bool = True, has_digit: bool = True) -> dict[str, list[tuple[int, int]]]:
+def dotted(text: str) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
+    """Runs of numbers joined by dots, cut in matches of four parts as the base pattern
+    `[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)` finds them, and a rest of three at most."""
+    for m in DOTTED.finditer(text):
+        parts, at = [], m.start()
+        for p in m[0].split("."):
+            parts.append((at, at + len(p)))
+            at += len(p) + 1
+        for k in range(0, len(parts), 4):
+            four = parts[k : k + 4]
+            yield four, four[0][0], four[-1][1]
+
+
+def octet(digits: str) -> bool:
+    small = digits.lstrip("0")
+    return len(small) <= 3 and int(small or 0) <= 255
+
+
+def found_spans(text: str, has_at: bool = True, has_digit: bool = True) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int, int]]]:
+    """Base spans by kind, and near misses (kind, start, end, form 2)."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+    near: list[tuple[str, int, int, int]] = []
     if has_at:
         out["email"] = list(emails(text))
+        ends = {e for _, e in out["email"]}
+        for at in range(len(text)) if text.count("@") > len(ends) else ():
+            if text[at] == "@" and at and text[at - 1] in LOCAL and (m := HANDLE.match(text, at + 1)) and not text.startswith(".", m.end()):
+                start = at
+                while start and at - start < 64 and text[start - 1] in LOCAL:
+                    start -= 1
+                near.append(("email", start, m.end(), 2))
     if has_digit:
-        out["ip"] = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        for parts, s, e in dotted(text):
+            if len(parts) == 4 and all(octet(text[a:b]) for a, b in parts):
+                out["ip"].append((s, e))
+            elif len(parts) > 2:
+                near.append(("ip", s, e, 2))
         for m in CARD.finditer(text):
-            if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and luhn(d):
+            if m.end() - m.start() < 7:
+                continue
+            n = len(d := _digits(m[0]))
+            if 13 <= n <= 19 and luhn(d):
                 out["card"].append(m.span())
+            elif 12 <= n <= 20:
+                near.append(("card", *m.span(), 2))
+            elif 7 <= n <= 11:
+                near.append(("phone", *m.span(), 2))
         if "+" in text:
-            out["phone"] = [m.span() for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
-    return out
+            for m in PHONE.finditer(text):
+                if 9 <= len(_digits(m[0])) <= 15:
+                    out["phone"].append(m.span())
+                else:
+                    near.append(("phone", *m.span(), 2))
+    return out, near
 
 
-def loose_spans(text: str, has_digit: bool) -> list[tuple[str, int, int]]:
+def base_spans(text: str, has_at: bool = True, has_digit: bool = True) -> dict[str, list[tuple[int, int]]]:
+    return found_spans(text, has_at, has_digit)[0]
+
+
+def loose_spans(text: str, has_digit: bool) -> list[tuple[str, int, int, int]]:
     out = []
     if "at)" in (low := text.lower()) or "at]" in low or "at}" in low:
-        out += [("email", *m.span()) for m in SPELT.finditer(text)]
+        out += [("email", *m.span(), 1) for m in SPELT.finditer(text)]
     if has_digit:
         if text.count(":") >= 7:
-            out += [("ip", *m.span()) for m in IPV6.finditer(text)]
-        out += [("card", *m.span()) for m in DOTTED_CARD.finditer(text)]
-        out += [("phone", *m.span()) for m in NATIONAL.finditer(text)]
+            out += [("ip", *m.span(), 1) for m in IPV6.finditer(text)]
+        out += [("card", *m.span(), 1) for m in DOTTED_CARD.finditer(text)]
+        out += [("phone", *m.span(), 1) for m in NATIONAL.finditer(text)]
     return out
 
 
@@ -127,60 +179,88 @@ class Candidate:
     kind: str
     start: int
     end: int
-    base: bool
+    form: int  # 0: base, 1: a looser form, 2: a near miss
     votes: tuple[int, ...] = field(default=())  # 1 yes, 0 no, -1 nothing: strict, shape, gazetteer, context
     features: tuple[int, ...] = field(default=())  # form, length bucket, separators
 
+    @property
+    def base(self) -> bool:
+        return self.form == 0
+
     def key(self) -> str:
         return f"{self.kind}|{','.join(map(str, self.votes))}|{','.join(map(str, self.features))}"
 
 
+def _context(text: str, c: Candidate) -> int:
+    """1 or 0 by the words in front; else 0 if it is glued to a word or assigned to a name, 1 if it stands free."""
+    near = text[max(0, c.start - NEAR) : c.start]
+    if FOR[c.kind].search(near):
+        return 1
+    if AGAINST.search(near):
+        return 0
+    front, behind = text[c.start - 1 : c.start] if c.start else " ", text[c.end : c.end + 1] or " "
+    glued = front.isalnum() or behind.isalnum() or front in "_=#/\\-\"'" or behind in "_=/\\"
+    return int(not glued)
+
+
 def _describe(text: str, c: Candidate) -> Candidate:
     s, digits = text[c.start : c.end], _digits(text[c.start : c.end])
     if c.kind == "email":
         tail = re.split(r"[^A-Za-z0-9-]+", s)[-1].lower()
-        shape, known = int(2 <= len(tail) <= 24), int(tail in TOP_LEVEL)
-        form = int("@" not in s)
+        shape, known = int(c.form < 2 and 2 <= len(tail) <= 24), int(c.form < 2 and tail in TOP_LEVEL)
+    elif c.kind == "ip" and ":" in s:
+        shape, known = 1, int(bool(re.match(r"[23]|f[cde]", s.lower())))
     elif c.kind == "ip":
-        form = int(":" in s)
-        shape = 1 if form else int(not any(len(p) > 1 and p[0] == "0" for p in s.split(".")))
-        known = int(bool(re.match(r"[23]|f[cde]", s.lower()))) if form else int(0 < int(s.split(".")[0]) < 224)
+        parts = s.split(".")
+        shape = int(len(parts) == 4 and not any(len(p) > 1 and p[0] == "0" for p in parts) and all(octet(p) for p in parts))
+        known = int(octet(parts[0]) and 0 < int(parts[0].lstrip("0") or 0) < 224)
     elif c.kind == "card":
-        form = int(not c.base)
         shape = int(13 <= len(digits) <= 16 and luhn(digits))
         known = int(bool(ISSUERS.match(digits)))
     else:
-        form = 1 if not c.base else 0
-        shape = int(9 <= len(digits) <= 13)
-        known = int(bool(CALLING.match(digits))) if c.base else (1 if s[0] in "(0" else -1)
-    near = text[max(0, c.start - NEAR) : c.start]
-    context = 1 if FOR[c.kind].search(near) else 0 if AGAINST.search(near) else -1
-    seps = min(2, len(set(s) & set(" -.()/")))
-    c.votes = (1 if c.base else -1, shape, known, context)
-    c.features = (form, min(5, (c.end - c.start) // 6), seps)
+        shape = int((9 if c.base else 7) <= len(digits) <= 13 and len(digits) < len(s) and not DATE.fullmatch(s))
+        known = int(bool(CALLING.match(digits))) if s[0] == "+" else 1 if s[0] in "(0" else 0 if c.form == 2 else -1
+    strict = 1 if c.base else -1 if c.form == 1 else 0
+    c.votes = (strict, shape, known, _context(text, c))
+    c.features = (c.form, min(5, len(s) // 6), min(2, len(set(s) & set(" -.()/"))))
     return c
 
 
 def candidates(text: str, has_at: bool = True, has_digit: bool = True) -> list[Candidate]:
-    """All candidates, by kind as listed, then start."""
-    base = base_spans(text, has_at, has_digit)
-    taken = sorted(s for spans in base.values() for s in spans)
-    out = [Candidate(k, s, e, True) for k in KINDS for s, e in base[k]]
-    begins = [s for s, _ in taken]
-    reach, most = [], 0  # the farthest end of the spans up to each
-    for _, e in taken:
-        most = max(most, e)
-        reach.append(most)
-    last: dict[str, int] = {}
-    for kind, s, e in sorted(loose_spans(text, has_digit), key=lambda x: (x[1], -x[2])):
-        k = int(np.searchsorted(begins, e, "left"))  # base spans that begin before e
-        if (k == 0 or reach[k - 1] <= s) and s >= last.get(kind, 0):
-            out.append(Candidate(kind, s, e, False))
-            last[kind] = e
+    """All candidates, by kind as listed, then start. Those beyond the base overlap no base span, nor
+    one of their kind; a looser form goes before a near miss."""
+    base, near = found_spans(text, has_at, has_digit)
+    out = [Candidate(k, s, e, 0) for k in KINDS for s, e in base[k]]
+    taken = {kind: Cover() for kind in KINDS}
+    all_base = Cover((c.start, c.end) for c in out)
+    for kind, s, e, form in [*loose_spans(text, has_digit), *sorted(near, key=lambda x: (x[1], -x[2]))]:
+        if not all_base.meets(s, e) and taken[kind].add(s, e):
+            out.append(Candidate(kind, s, e, form))
     out.sort(key=lambda c: (KINDS.index(c.kind), c.start))
     return [_describe(text, c) for c in out]
 
 
+class Cover:
+    """Spans by start, asked whether one meets another. Spans of a kind come in order, or a few forms of them."""
+
+    def __init__(self, spans=()):
+        self.spans: list[tuple[int, int]] = []
+        reach = 0
+        for s, e in sorted(spans):
+            reach = max(reach, e)  # the farthest end up to each
+            self.spans.append((s, reach))
+
+    def meets(self, s: int, e: int) -> bool:
+        k = bisect_left(self.spans, (e, -1))
+        return k > 0 and self.spans[k - 1][1] > s
+
+    def add(self, s: int, e: int) -> bool:
+        if self.meets(s, e):
+            return False
+        insort(self.spans, (s, e))
+        return True
+
+
 def _flags(part: pa.RecordBatch, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Which texts hold an @ or an (at), and which a digit."""
     data, offsets = text_bytes(part.column(part.schema.get_field_index(text_col)))
@@ -210,32 +290,36 @@ class Model:
 
 
 def _inputs(kind: str, votes: tuple[int, ...], features: tuple[int, ...]) -> list[str]:
-    return [kind, *(f"{kind}:vote{k}={v}" for k, v in enumerate(votes)), *(f"{kind}:feature{k}={v}" for k, v in enumerate(features))]
-
-
-def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Dawid-Skene with two classes over vote patterns: posterior of each pattern,
-    and for each labeler the probabilities of a yes where it votes, (true, false)."""
-    n, m = votes.shape
-    yes, no = (votes == 1), (votes == 0)
-    rate = np.tile([0.8, 0.2], (m, 1))
-    rate[0] = [0.95, 0.02]  # the strict pattern votes yes or nothing
-    prior = 0.5
-    posterior = np.full(n, 0.5)
+    return ["", kind, *(f"vote{k}={v}" for k, v in enumerate(votes)), *(f"{kind}:vote{k}={v}" for k, v in enumerate(votes)), *(f"{kind}:feature{k}={v}" for k, v in enumerate(features))]
+
+
+def _rates(yes: np.ndarray, no: np.ndarray, weight: np.ndarray, prior: np.ndarray, strength: float) -> np.ndarray:
+    """Probability of a yes for each labeler, pulled towards the prior."""
+    return np.clip((weight @ yes + strength * prior) / (weight @ (yes | no) + strength), 1e-3, 1 - 1e-3)
+
+
+def expectation_maximisation(kinds: np.ndarray, votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, dict]:
+    """Dawid-Skene with two classes over vote patterns: posterior of each pattern, and for
+    each kind the labelers' probabilities of a yes, given true and given false, (2, labelers)."""
+    yes, no = votes == 1, votes == 0
+    voted = (yes | no).sum(axis=1)
+    posterior = np.clip(np.where(voted > 0, yes.sum(axis=1) / np.maximum(voted, 1), 0.5), 0.05, 0.95)
+    rate: dict = {}
     for _ in range(rounds):
-        ll = np.stack([yes @ np.log(rate[:, y]) + no @ np.log(1 - rate[:, y]) for y in (0, 1)])
-        new = 1 / (1 + np.exp(np.clip(np.log((1 - prior) / prior) + ll[1] - ll[0], -50, 50)))
+        rate, new = {}, posterior.copy()
+        # labelers are somewhat better than chance until the votes say otherwise
+        over_all = [_rates(yes, no, counts * p, np.full(votes.shape[1], start), 2.0) for p, start in ((posterior, 0.7), (1 - posterior, 0.3))]
+        for kind in np.unique(kinds):
+            of = kinds == kind
+            y, n, c, p = yes[of], no[of], counts[of], posterior[of]
+            rate[kind] = np.stack([_rates(y, n, c * q, pooled, 5.0) for q, pooled in zip((p, 1 - p), over_all, strict=True)])
+            prior = np.clip((c @ p + 1) / (c.sum() + 2), 0.02, 0.98)
+            ll = [y @ np.log(r) + n @ np.log(1 - r) for r in rate[kind]]
+            new[of] = 1 / (1 + np.exp(np.clip(np.log((1 - prior) / prior) + ll[1] - ll[0], -50, 50)))
         done = np.abs(new - posterior).max() < 1e-9
         posterior = new
         if done:
             break
-        for y, p in enumerate((posterior, 1 - posterior)):
-            w = counts * p
-            # beta prior: labelers are better than chance until the votes say otherwise
-            a, b = (8.0, 2.0) if y == 0 else (2.0, 8.0)
-            rate[1:, y] = ((w @ yes)[1:] + a) / ((w @ (yes | no))[1:] + a + b)
-        rate = np.clip(rate, 1e-3, 1 - 1e-3)
-        prior = float(np.clip((counts @ posterior + 2) / (counts.sum() + 4), 0.02, 0.98))
     return posterior, rate
 
 
@@ -246,13 +330,8 @@ def fit(patterns: Counter) -> Model:
     keys = sorted(patterns)
     parsed = [(k.split("|")[0], *(tuple(map(int, x.split(","))) for x in k.split("|")[1:])) for k in keys]
     counts = np.array([patterns[k] for k in keys], float)
-    target = np.zeros(len(keys))
-    reliability = {}
-    for kind in KINDS:
-        of = [i for i, p in enumerate(parsed) if p[0] == kind]
-        if of:
-            target[of], rate = expectation_maximisation(np.array([parsed[i][1] for i in of]), counts[of])
-            reliability |= {(kind, k): tuple(r) for k, r in enumerate(rate.tolist())}
+    target, rate = expectation_maximisation(np.array([p[0] for p in parsed]), np.array([p[1] for p in parsed]), counts)
+    reliability = {(str(kind), k): (float(r[0, k]), float(r[1, k])) for kind, r in rate.items() for k in range(r.shape[1])}
     names = sorted({f for p in parsed for f in _inputs(*p)})
     at = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(keys), len(names)))
