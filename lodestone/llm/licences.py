@@ -1,11 +1,11 @@
 """Licence recognition by sentences and rules, in DataFrame functions only.
 
-A text is split in sentences and lines, each is normalised (lower case, runs of anything
-but a-z and 0-9 become one space, comment marks at its start go) and looked up in the
-table of known licence sentences. Lines that are none are joined with the lines after
-them, up to a sentence's end, a blank line or a line that is a known sentence, and
-looked up as well, so hard-wrapped texts are found; the longest match from a line
-counts, and its lines start no other. The identifiers found, in text order, are the document's sequence. Rules
+A text is cut in pieces, at line feeds and behind . : or ; before a blank. A piece is
+normalised: lower case, runs of anything but a-z and 0-9 become one space, a comment mark of
+letters at its start goes. A piece without words (a blank line) ends a paragraph. A known sentence
+is found where its words are those of a run of whole pieces of one paragraph, so
+hard-wrapped and commented texts are found as those on one line are. Runs are taken from the
+left, the longest first, and share no piece. The identifiers found, in text order, are the document's sequence. Rules
 are ordered identifier sequences: they are tried in turn, each takes every place
 where its identifiers stand next to one another, and what a rule has taken no later
 rule sees (so three conditions are BSD-3-Clause, not BSD-2-Clause and a rest).
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 # Known sentences by identifier (public licence texts and notices).
 SENTENCES: dict[str, list[str]] = {
     "apache2-line": ["Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0", "This work is licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\")"],
-    "apache2-comply": ["you may not use this file except in compliance with the License", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License"],
+    "apache2-comply": ["you may not use this file except in compliance with the License"],
+    "apache2-title": ["Apache License Version 2.0, January 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
     "apache2-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at"],
     "apache2-asis": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
     "apache2-see": ["See the License for the specific language governing permissions and limitations under the License"],
@@ -41,22 +42,37 @@ SENTENCES: dict[str, list[str]] = {
     "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
     "mit-asis": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"],
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "isc-asis": ["THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"],
     "isc-line": ["Licensed under the ISC License", "Released under the ISC License", "ISC License"],
     "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
-    "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
-    "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
-    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
+    "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
+    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-asis": ["THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"],
     "bsd2-line": ["Licensed under the BSD 2-Clause License", "Released under the BSD 2-Clause License", "BSD 2-Clause License"],
     "bsd3-line": ["Licensed under the BSD 3-Clause License", "Released under the BSD 3-Clause License", "BSD 3-Clause License"],
     "gpl2-line": ["This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2", "GNU General Public License, version 2"],
     "gpl3-line": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "GNU General Public License, version 3"],
     "gpl2-later": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
     "gpl3-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "gpl2-title": ["GNU General Public License Version 2, June 1991"],
+    "gpl3-title": ["GNU General Public License Version 3, 29 June 2007"],
     "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
     "gpl-details": ["See the GNU General Public License for more details"],
     "lgpl21-line": ["Licensed under the GNU Lesser General Public License, version 2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1"],
     "lgpl3-line": ["Licensed under the GNU Lesser General Public License, version 3", "This work is licensed under the GNU Lesser General Public License, version 3"],
     "agpl3-line": ["Licensed under the GNU Affero General Public License, version 3", "This work is licensed under the GNU Affero General Public License, version 3"],
+    "lgpl21-title": ["GNU Lesser General Public License Version 2.1, February 1999"],
+    "lgpl21-later": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3-title": ["GNU Lesser General Public License Version 3, 29 June 2007"],
+    "lgpl3-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "lgpl-warranty": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
+    "lgpl-details": ["See the GNU Lesser General Public License for more details"],
+    "agpl3-title": ["GNU Affero General Public License Version 3, 19 November 2007"],
+    "agpl3-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl-details": ["See the GNU Affero General Public License for more details"],
+    "mpl2-title": ["Mozilla Public License Version 2.0"],
+    "mpl2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"],
     "mpl2-terms": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, Version 2.0", "Licensed under the Mozilla Public License 2.0"],
     "ccbync4-line": ["Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "ccbyncsa4-line": ["Licensed under CC BY-NC-SA 4.0", "This work is licensed under CC BY-NC-SA 4.0"],
@@ -79,30 +95,48 @@ RULES: list[tuple[str, list[str]]] = [
     ("Apache-2.0", ["apache2-line", "apache2-comply"]),
     ("Apache-2.0", ["apache2-comply"]),
     ("Apache-2.0", ["apache2-line"]),
+    ("Apache-2.0", ["apache2-title"]),
     ("Apache-2.0", ["spdx-apache2"]),
     ("MIT", ["mit-line", "mit-grant", "mit-notice", "mit-asis"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-asis"]),
     ("MIT", ["mit-grant"]),
     ("MIT", ["mit-line"]),
     ("MIT", ["spdx-mit"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-asis"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-3-Clause", ["bsd3-line"]),
     ("BSD-3-Clause", ["spdx-bsd3"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-asis"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("BSD-2-Clause", ["bsd2-line"]),
+    ("ISC", ["isc-grant", "isc-asis"]),
     ("ISC", ["isc-grant"]),
     ("ISC", ["isc-line"]),
+    ("AGPL-3.0-or-later", ["agpl3-later", "gpl-warranty", "agpl-details"]),
+    ("AGPL-3.0-or-later", ["agpl3-later"]),
     ("AGPL-3.0", ["agpl3-line"]),
+    ("AGPL-3.0", ["agpl3-title"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later", "gpl-warranty", "lgpl-details"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later", "lgpl-warranty", "lgpl-details"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later"]),
     ("LGPL-3.0", ["lgpl3-line"]),
+    ("LGPL-3.0", ["lgpl3-title"]),
+    ("LGPL-2.1-or-later", ["lgpl21-later", "lgpl-warranty", "lgpl-details"]),
+    ("LGPL-2.1-or-later", ["lgpl21-later"]),
     ("LGPL-2.1", ["lgpl21-line"]),
+    ("LGPL-2.1", ["lgpl21-title"]),
     ("GPL-3.0-or-later", ["gpl3-later", "gpl-warranty", "gpl-details"]),
     ("GPL-3.0-or-later", ["gpl3-later"]),
     ("GPL-2.0-or-later", ["gpl2-later", "gpl-warranty", "gpl-details"]),
     ("GPL-2.0-or-later", ["gpl2-later"]),
     ("GPL-3.0", ["gpl3-line"]),
+    ("GPL-3.0", ["gpl3-title"]),
     ("GPL-3.0", ["spdx-gpl3"]),
     ("GPL-2.0", ["gpl2-line"]),
+    ("GPL-2.0", ["gpl2-title"]),
+    ("MPL-2.0", ["mpl2-terms", "mpl2-copy"]),
     ("MPL-2.0", ["mpl2-terms"]),
+    ("MPL-2.0", ["mpl2-title"]),
     ("MPL-2.0", ["spdx-mpl2"]),
     ("CC-BY-NC-SA-4.0", ["ccbyncsa4-line"]),
     ("CC-BY-NC-4.0", ["ccbync4-line"]),
@@ -114,12 +148,10 @@ RULES: list[tuple[str, list[str]]] = [
     ("Proprietary", ["all-rights"]),
 ]
 
-#: A sentence ends at a full stop before white space.
-STOP = r"\.[^a-zA-Z0-9\s]*\s+"
-#: A sentence may also end at a line's end.
-ENDS = STOP + r"|\n"
+#: Where a line is cut in pieces: behind a mark that may end a sentence, before a blank.
+STOP = r"[.:;][^a-zA-Z0-9\s]*[ \t]+"
 #: Words of which each known sentence, normalised, holds one; the letters may have anything but letters and digits, and a comment mark, between words.
-TRIGGER = r"(?i)licen[sc]|redistribut|permission|warrant|public[^a-z0-9]+((dnl|rem)[^a-z0-9]+)?domain|rights[^a-z0-9]+((dnl|rem)[^a-z0-9]+)?reserved|copyright|holder"
+TRIGGER = r"(?i)licen[sc]|redistribut|permission|warrant|mozilla|public[^a-z0-9]+((dnl|rem)[^a-z0-9]+)?domain|rights[^a-z0-9]+((dnl|rem)[^a-z0-9]+)?reserved|copyright|holder"
 #: Comment marks made of letters, at the start of a normalised line.
 MARKS = "^(dnl|rem) "
 
@@ -138,19 +170,19 @@ def sequence(text: Column) -> Column:
     names = known()
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     listed = F.lit("|" + "|".join(names) + "|")
-    most = max(len(s.split()) for s in names)  # a line that is not blank has a word
+    most = max(len(s.split()) for s in names)  # a piece that is not blank has a word
     plain = lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")), MARKS, "")
     begins = lambda s: F.contains(listed, F.concat(F.lit("|"), s, F.lit(" ")))
     hit = lambda name, n: F.struct(name.alias("id"), n.cast("int").alias("n"))
 
-    def joined(lines: Column, first: Column, i: Column) -> Column:
-        """The longest known sentence of several lines from line i on, and its number of lines."""
-        start = F.struct(first.alias("s"), F.lit(1).alias("n"), F.lit(True).alias("open"), F.lit(None).cast("string").alias("id"), F.lit(1).alias("upto"))
+    def longest(pieces: Column, first: Column, i: Column) -> Column:
+        """The longest known sentence of whole pieces from piece i on, and its number of pieces."""
+        name = F.try_element_at(table, first)
+        start = F.struct(first.alias("s"), F.lit(1).alias("n"), begins(first).alias("open"), name.alias("id"), F.lit(1).alias("upto"))
 
-        def extend(state: Column, line: Column) -> Column:
-            s = F.concat(state["s"], F.lit(" "), line)
-            # a blank line and a known sentence of its own end the run
-            more = (line != "") & F.try_element_at(table, line).isNull()
+        def extend(state: Column, piece: Column) -> Column:
+            s = F.concat(state["s"], F.lit(" "), piece)
+            more = piece != ""  # a blank piece ends the paragraph
             name = F.when(more, F.try_element_at(table, s))
             longer = F.struct(
                 s.alias("s"), (state["n"] + 1).alias("n"), (more & begins(s)).alias("open"),
@@ -158,18 +190,19 @@ def sequence(text: Column) -> Column:
             )
             return F.when(state["open"], longer).otherwise(state)
 
-        return F.aggregate(F.slice(lines, i + 2, most - 1), start, extend, lambda state: F.when(state["id"].isNotNull(), hit(state["id"], state["upto"])))
+        folded = F.aggregate(F.slice(pieces, i + 2, most - 1), start, extend, lambda state: F.when(state["id"].isNotNull(), hit(state["id"], state["upto"])))
+        return F.when(begins(first), folded).otherwise(F.when(name.isNotNull(), hit(name, F.lit(1))))
 
-    def found(lines: Column) -> Column:
-        at = F.transform(lines, lambda s, i: F.when(s != "", F.coalesce(F.when(F.try_element_at(table, s).isNotNull(), hit(F.try_element_at(table, s), F.lit(1))), F.when(begins(s), joined(lines, s, i)))))
+    def found(pieces: Column) -> Column:
+        at = F.transform(pieces, lambda s, i: F.when(s != "", longest(pieces, s, i)))
         placed = F.filter(F.transform(at, lambda x, i: F.when(x.isNotNull(), F.struct(x["id"].alias("id"), i.alias("first"), (i + x["n"]).alias("end")))), lambda x: x.isNotNull())
         start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("ids"))
         take = lambda state, x: F.when(x["first"] < state["end"], state).otherwise(F.struct(x["end"].alias("end"), F.array_append(state["ids"], x["id"]).alias("ids")))
         return F.aggregate(placed, start, take, lambda state: state["ids"])
 
-    # a sentence's end stands as a blank line; the array of one is there to split once
-    lines = F.transform(F.split(F.regexp_replace(text, STOP, "\n\n"), "\n"), plain)
-    ids = F.element_at(F.transform(F.array(lines), found), 1)
+    # the array of one is there to split once
+    pieces = F.transform(F.split(F.regexp_replace(text, STOP, "\n"), "\n"), plain)
+    ids = F.element_at(F.transform(F.array(pieces), found), 1)
     return F.when(F.coalesce(text.rlike(TRIGGER), F.lit(False)), ids).otherwise(F.array().cast("array<string>"))
 
 

@@ -145,6 +145,7 @@ def op9_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op9_sql() -> str:
+    """From the rule in words: a known sentence is a run of whole pieces of a paragraph, the longest first from the left."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     table = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in licences.known().items())
     steps, rest = [], "concat('|', array_to_string(ids, '||'), '|')"
@@ -159,11 +160,22 @@ def _op9_sql() -> str:
         order.setdefault(name, len(order))
     ranked = ", ".join(f"({quote(n)}, {k})" for n, k in order.items())
     return f"""
-WITH known(s, id) AS (VALUES {table}), ranked(licence, k) AS (VALUES {ranked}),
-parts AS (SELECT doc_id, unnest(p) AS part, unnest(range(1, len(p) + 1)) AS i
-  FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{licences.ENDS}') AS p FROM documents)),
-ided AS (SELECT doc_id, i, id FROM parts JOIN known ON s = trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))),
-lists AS (SELECT doc_id, list(id ORDER BY i) AS ids FROM ided GROUP BY doc_id),
+WITH RECURSIVE known AS (SELECT s, id, string_split(s, ' ') AS k, len(string_split(s, ' ')) AS n FROM (VALUES {table}) t(s, id)), ranked(licence, k) AS (VALUES {ranked}),
+pieces AS (SELECT doc_id, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS i
+  FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\n|[.:;][^a-zA-Z0-9\\s]*[ \\t]+') AS p FROM documents)),
+words AS (SELECT doc_id, i, regexp_replace(trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')), '^(dnl|rem) ', '') AS w FROM pieces),
+para AS (SELECT *, CASE WHEN w = '' THEN 0 ELSE len(string_split(w, ' ')) END AS n, sum(CAST(w = '' AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM words),
+ends AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, p ORDER BY i) AS upto FROM para WHERE w <> ''),
+line AS (SELECT doc_id, p, string_split(string_agg(w, ' ' ORDER BY i), ' ') AS ws, list(upto ORDER BY i) AS stops FROM ends GROUP BY doc_id, p),
+runs AS (SELECT e.doc_id, e.i, known.id, known.n, list_position(stops, e.upto - e.n + known.n) - list_position(stops, e.upto) + 1 AS m FROM ends e JOIN line USING (doc_id, p)
+  JOIN known ON known.k[1] = ws[CAST(e.upto - e.n + 1 AS BIGINT)] AND list_contains(stops, e.upto - e.n + known.n) AND ws[CAST(e.upto - e.n + 1 AS BIGINT):CAST(e.upto - e.n + known.n AS BIGINT)] = known.k),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY n DESC) = 1),
+taken AS (
+  SELECT doc_id, i, m, id FROM best QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1
+  UNION ALL
+  SELECT b.doc_id, b.i, b.m, b.id FROM taken t JOIN best b ON b.doc_id = t.doc_id AND b.i >= t.i + t.m QUALIFY row_number() OVER (PARTITION BY b.doc_id ORDER BY b.i) = 1
+),
+lists AS (SELECT doc_id, list(id ORDER BY i) AS ids FROM taken GROUP BY doc_id),
 seq AS (SELECT doc_id, ids, {rest} AS rest FROM lists), {", ".join(steps)},
 hit AS (SELECT DISTINCT doc_id, licence FROM (SELECT doc_id, unnest([{hits}]) AS licence FROM {last}) WHERE licence IS NOT NULL),
 named AS (SELECT doc_id, string_agg(licence, ',' ORDER BY k) AS licences FROM hit JOIN ranked USING (licence) GROUP BY doc_id)

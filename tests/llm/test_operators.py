@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, components, decontaminate, html_text, jaccard, licences, pii, quality, shards, substrings, vectors
 from lodestone.llm.common import materialize
-from lodestone.llm.queries import tokenizer_path
+from lodestone.llm.queries import ORACLE_SQL, tokenizer_path
 from tests.conftest import SF
 
 ROW = "doc_id long, text string, lang string"
@@ -639,6 +639,8 @@ def test_wrapped_licences(spark):
     gpl3 = said("gpl3-later", "gpl-warranty", "gpl-details")
     mit = said("mit-grant", "mit-notice", "mit-asis")
     bsd = said("bsd-grant", "bsd-source", "bsd-binary")
+    lgpl, agpl, mpl = said("lgpl21-later", "lgpl-warranty", "lgpl-details"), said("agpl3-later", "gpl-warranty", "agpl-details"), said("mpl2-terms", "mpl2-copy")
+    isc = said("isc-grant", "isc-asis")
     apache = ["Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.", said("apache2-asis")[0] + "."]
     rows = [
         (1, wrap(". ".join(gpl3) + ".", 72, " *    ")),
@@ -650,6 +652,16 @@ def test_wrapped_licences(spark):
         (7, apache[0]),
         (8, gpl3[0].replace(" it under", "\n\nit under")),
         (9, "This work is licensed under the\nGNU General Public License, version\n3"),
+        (10, " ".join(x.rstrip(".") + ("" if x.endswith(":") else ".") for x in mit)),
+        (11, "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrap(" ".join(x.rstrip(".") + ("" if x.endswith(":") else ".") for x in mit), 76)),
+        (12, wrap(". ".join(lgpl) + ".", 66, " * ") + "\n"),
+        (13, wrap(". ".join(agpl) + ".", 80, "# ")),
+        (14, wrap(". ".join(mpl) + ".", 70, "/* ")),
+        (15, wrap(". ".join(isc) + ".", 74)),
+        (16, "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS"),
+        (17, "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc."),
+        (18, wrap(". ".join(gpl3) + ".", 10**6)),
+        (19, "So: " + "; ".join(said("mit-notice", "all-rights")) + ": end"),
     ]
     got = {r["doc_id"]: (r["sentence_ids"], r["licences"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {
@@ -662,7 +674,25 @@ def test_wrapped_licences(spark):
         7: (["apache2-line", "apache2-comply"], ["Apache-2.0"]),
         8: ([], []),
         9: (["gpl3-line"], ["GPL-3.0"]),
+        10: (["mit-grant", "mit-notice", "mit-asis"], ["MIT"]),
+        11: (["mit-line", "mit-grant", "mit-notice", "mit-asis"], ["MIT"]),
+        12: (["lgpl21-later", "lgpl-warranty", "lgpl-details"], ["LGPL-2.1-or-later"]),
+        13: (["agpl3-later", "gpl-warranty", "agpl-details"], ["AGPL-3.0-or-later"]),
+        14: (["mpl2-terms", "mpl2-copy"], ["MPL-2.0"]),
+        15: (["isc-grant", "isc-asis"], ["ISC"]),
+        16: (["apache2-title"], ["Apache-2.0"]),
+        17: (["gpl3-title"], ["GPL-3.0"]),
+        18: (["gpl3-later", "gpl-warranty", "gpl-details"], ["GPL-3.0-or-later"]),
+        19: (["mit-notice", "all-rights"], ["Proprietary"]),
     }
+    # the query's SQL, on the same texts
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [*rows, (90, None), (91, ""), (92, mit[0] + " " + mit[0])])
+    want = {d: (i.split(",") if i else [], x.split(",") if x else []) for d, _, i, x in con.execute(ORACLE_SQL["op9_sentence_rules"]).fetchall()}
+    assert want == got | {90: ([], []), 91: ([], []), 92: (["mit-grant", "mit-grant"], ["MIT"])}
 
 
 def test_every_known_sentence_holds_a_trigger():
