@@ -1,18 +1,19 @@
 """Quality classifier by compression against two dictionaries.
 
 A zstandard dictionary is trained on texts labelled good, another on bad ones. A
-text is cut in blocks of `BLOCK` bytes, each block is compressed with either
-dictionary, and the difference of the summed sizes over their sum is the text's
-main feature: its language and length cancel out. How well the better dictionary
-does is a second one, for texts that repeat themselves. A logistic curve fitted to
-texts that the dictionaries have not seen turns them into a probability.
-
-Training sees at most `MAX_TEXTS` labelled texts of each class (those with the
-least hash of their id), and at most `MAX_TEXT_BYTES` of each, taken as blocks
-spread evenly over the text; scoring covers every byte of every text. Half of the sample builds dictionaries and half
-calibrates, each in turn; the final dictionaries hold both halves.
-
-Defined results: null and empty texts score as two features of 0 do; without usable
+text is cut in blocks of `BLOCK` bytes and each block is compressed with either
+dictionary; what the bad one needs more than the good one, over the text's length, is
+the text's normalised difference: high for texts like the good ones, low for texts like the
+bad ones and for those that repeat themselves, which either compresses well. A
+logistic curve turns it into a probability.
+
+Training sees at most `MAX_TEXTS` labelled rows of each class (those with the least
+hash of their id), and all of each. The sample is dealt to `FOLDS` folds: a fold's texts are
+scored with dictionaries of the other folds, and the curve is fitted to those scores; the
+final dictionaries hold all folds. Dictionaries are trained and texts scored on the
+executors; the driver holds dictionaries and one number a sampled text.
+
+Defined results: null and empty texts score as a difference of 0 does; without usable
 labels of both classes every score is 0.5; labels that are null or neither 0 nor 1,
 and ids labelled both ways, are not used; repeated labels count once; equal texts
 get equal scores; an empty table gives an empty table; extra columns are kept if
@@ -21,54 +22,50 @@ named in `keep`, and a result column replaces a kept column of the same name.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import arrow_map
+from lodestone.llm.common import arrow_map, delete_path, materialize
 
-BLOCK = 1024
-MAX_TEXTS, MAX_TEXT_BYTES = 600, 8192
-DICTIONARY_BYTES, LEVEL = 65536, 3
+BLOCK = 512
+#: The bound of the labelled sample: rows of each class.
+MAX_TEXTS = 1200
+FOLDS = 5
+DICTIONARY_BYTES, LEVEL = 262144, 3
 
 
 @dataclass(frozen=True)
 class Model:
     good: bytes
     bad: bytes
-    weights: tuple[float, float, float]  # of the difference, of the ratio's logarithm, and the offset
+    weight: float  # of the difference
+    offset: float
 
 
 def blocks(text: bytes) -> list[bytes]:
     return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
 
 
-def spread(text: bytes) -> list[bytes]:
-    """At most MAX_TEXT_BYTES of a text, as blocks from all over it."""
-    all_blocks = blocks(text)
-    most = MAX_TEXT_BYTES // BLOCK
-    if len(all_blocks) <= most:
-        return all_blocks
-    return [all_blocks[int(i)] for i in np.linspace(0, len(all_blocks) - 1, most)]
-
-
 def dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; the raw samples where there are too few to train on."""
-    samples = [b for t in texts for b in spread(t) if len(b) >= 8]
-    raw = b"".join(samples)[-DICTIONARY_BYTES:]
-    if len(samples) < 32:
-        return raw
+    """A dictionary trained on whole texts; the texts themselves where zstandard finds too little to train on."""
+    all_bytes = b"\n".join(sorted(texts))
+    if not all_bytes:
+        return b""
+    samples = blocks(all_bytes)
+    if len(samples) > 1 and len(samples[-1]) < 8:  # the library's least sample
+        samples[-2:] = [samples[-2] + samples[-1]]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too little variety to train on
-        return raw
+    except zstandard.ZstdError:
+        return all_bytes
 
 
 class Compressor:
@@ -87,22 +84,17 @@ class Compressor:
         return sum(len(compress(b)) for b in blocks(text))
 
 
-def features(good: Compressor, bad: Compressor, text: bytes) -> tuple[float, float]:
-    """The normalised size difference, above 0 if the good dictionary compresses
-    the text better; and the logarithm of the better ratio, low for texts that
-    repeat themselves (0 for those too short to tell)."""
-    if not text:
-        return 0.0, 0.0
-    a, b = good.size(text), bad.size(text)
-    return (b - a) / (a + b), min(0.0, np.log(min(a, b) / len(text)) + 1.0)
+def difference(good: Compressor, bad: Compressor, text: bytes) -> float:
+    """The normalised size difference, above 0 if the good dictionary compresses the text better."""
+    return (bad.size(text) - good.size(text)) / len(text) if text else 0.0
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
-    """Weights of the features and an offset by damped Newton steps, with a slight pull to 0."""
-    scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
-    z = np.concatenate([x / scale, np.ones((len(x), 1))], axis=1)
-    pull = np.array([0.02, 0.02, 1e-6])
-    beta = np.zeros(3)
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Weight and offset by damped Newton steps, with a slight pull to 0."""
+    scale = max(float(np.abs(x).max()), 1e-9)
+    z = np.stack([x / scale, np.ones(len(x))], axis=1)
+    pull = np.array([0.02, 1e-6])
+    beta = np.zeros(2)
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         grad = z.T @ (weight * (y - p)) - pull * beta
@@ -111,58 +103,54 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
         beta += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0] / scale[0]), float(beta[1] / scale[1]), float(beta[2])
+    return float(beta[0] / scale), float(beta[1])
 
 
 def probability(model: Model, x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights[:2]) + model.weights[2], -500, 500)))
-
-
-def fit(sample: list[tuple[bytes, int]], totals: dict[int, int] | None = None) -> Model:
-    """sample: (text, label), in a fixed order; totals: how many labels of each
-    class there are in all, so that a capped class counts in full in the calibration."""
-    by = {y: [t for t, label in sample if label == y] for y in (0, 1)}
-    if not by[0] or not by[1]:
-        return Model(b"", b"", (0.0, 0.0, 0.0))
-    totals = totals or {y: len(by[y]) for y in (0, 1)}
-    xs, ys = [], []
-    if min(len(by[0]), len(by[1])) >= 4:
-        for half in (0, 1):
-            good, bad = (Compressor(dictionary(by[y][half::2])) for y in (1, 0))
-            for y in (0, 1):
-                for t in by[y][1 - half :: 2]:
-                    xs.append(features(good, bad, t))
-                    ys.append(y)
-        y = np.array(ys)
-        weight = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
-        weights = logistic(np.array(xs), y, weight * len(y) / weight.sum())
-    else:
-        weights = (50.0, 0.0, 0.0)
-    return Model(dictionary(by[1]), dictionary(by[0]), weights)
-
-
-def training_sample(documents: DataFrame, labels: DataFrame, allowed: Column, doc_col: str, text_col: str, label_col: str, max_texts: int) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
-    """At most max_texts texts of each class, of ids for which allowed holds; and how many each class has."""
+    return 1 / (1 + np.exp(-np.clip(x * model.weight + model.offset, -500, 500)))
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, allowed: Column, doc_col: str, text_col: str, label_col: str, max_texts: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, y, fold, text) of at most max_texts rows of each class, of ids for which allowed holds; and
+    how many labels each class has."""
     known = labels.select(F.col(f"`{doc_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("y")).where(allowed & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     once = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", "y")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = once.where("y = 0").orderBy(*order).limit(max_texts).union(once.where("y = 1").orderBy(*order).limit(max_texts))
-    # at most 2 x max_texts ids: a proven size
+    least = lambda df, *more: df.where("y = 0").orderBy(*order, *more).limit(max_texts).union(df.where("y = 1").orderBy(*order, *more).limit(max_texts))
     texts = documents.select(F.col(f"`{doc_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("length(text) > 0")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", _spread_bytes("text").alias("text"))
-    out = sorted({(r["doc_id"], bytes(r["text"]), int(r["y"])) for r in rows.toLocalIterator()})
+    # at most 2 x max_texts ids: a proven size; ids that documents repeat don't widen the sample
+    rows = least(texts.join(F.broadcast(least(once)), "doc_id").select("doc_id", "y", "text"), F.xxhash64("text"))
     totals = {int(r["y"]): r["count"] for r in once.groupBy("y").count().collect()}
-    return [(t, y) for _, t, y in out], totals
+    return rows.select("doc_id", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), F.encode("text", "UTF-8").alias("text")), totals
+
+
+def dictionaries(sample: DataFrame) -> dict[tuple[int, int], bytes]:
+    """(fold, class) -> dictionary of the class without that fold; fold FOLDS: of all."""
+    without = F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda f: f != F.col("fold"))
+    spread = sample.select(F.explode(without).alias("without"), "y", "text")
+
+    def train_group(key, table):
+        data = dictionary(table.column("text").to_pylist())
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([data], pa.binary())], names=["without", "y", "data"])
+
+    trained = spread.groupBy("without", "y").applyInArrow(train_group, "without int, y int, data binary")
+    return {(r["without"], r["y"]): bytes(r["data"]) for r in trained.collect()}  # 2 x (FOLDS + 1) of a fixed size
 
 
-def _spread_bytes(col: str) -> Column:
-    """spread() before the text leaves its executor."""
+def differences(sample: DataFrame, found: dict[tuple[int, int], bytes]) -> list[tuple[int, float]]:
+    """(class, difference) of each sampled text, under the dictionaries that have not seen it."""
 
-    @F.pandas_udf(T.BinaryType())
-    def take(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: b"".join(spread(t.encode("utf-8"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: dict[int, tuple[Compressor, Compressor]] = {}
+        for batch in batches:
+            out = []
+            for fold, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if fold not in pairs:
+                    pairs[fold] = tuple(Compressor(found.get((fold, y), b"")) for y in (1, 0))
+                out.append(difference(*pairs[fold], text))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["y", "x"])
 
-    return take(F.col(col))
+    return sorted((r["y"], r["x"]) for r in sample.select("y", "fold", "text").mapInArrow(run, "y int, x double").collect())
 
 
 @lru_cache(maxsize=2)
@@ -178,7 +166,7 @@ def score(documents: DataFrame, model: Model, text_col: str = "text", keep: list
 
         def work(part: pa.RecordBatch) -> list:
             raw = part.column(part.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
-            return [probability(model, np.array([features(good, bad, t or b"") for t in raw]).reshape(-1, 2))]
+            return [probability(model, np.array([difference(good, bad, t or b"") for t in raw]))]
 
         return work
 
@@ -191,4 +179,14 @@ def held_out(doc_col: str = "doc_id") -> Column:
 
 
 def train(documents: DataFrame, labels: DataFrame, doc_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_texts: int = MAX_TEXTS) -> Model:
-    return fit(*training_sample(documents, labels, ~held_out("doc_id"), doc_col, text_col, label_col, max_texts))
+    drawn, totals = labelled_sample(documents, labels, ~held_out("doc_id"), doc_col, text_col, label_col, max_texts)
+    sample, path = materialize(drawn, "labelled")
+    found = dictionaries(sample)
+    seen = differences(sample, found)
+    delete_path(documents.sparkSession, path)
+    y, x = np.array([k for k, _ in seen]), np.array([v for _, v in seen])
+    if len(np.unique(y)) < 2:
+        return Model(b"", b"", 0.0, 0.0)
+    # a class of which not all rows are in the sample counts in full
+    weight = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
+    return Model(found[FOLDS, 1], found[FOLDS, 0], *logistic(x, y, weight * len(y) / weight.sum()))

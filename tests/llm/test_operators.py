@@ -89,6 +89,44 @@ def test_quality_on_held_out_labels(spark):
     assert all(0 <= s <= 1 for s in got.values())
 
 
+def test_scores_are_calibrated(spark):
+    sf = SF.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    rows = quality.score(docs.where(quality.held_out()), model, keep=["doc_id"]).join(labels, "doc_id").select("score", "quality").collect()
+    s, y = np.array([r["score"] for r in rows]), np.array([r["quality"] for r in rows])
+    assert len(s) > 1000 and ((s >= 0.5) == (y == 1)).mean() >= 0.985
+    assert ((s - y) ** 2).mean() < 0.02
+    for low, high in ((0.0, 0.2), (0.2, 0.8), (0.8, 1.01)):
+        held = (s >= low) & (s < high)
+        assert abs(s[held].mean() - y[held].mean()) < 0.1 + 1 / np.sqrt(held.sum())
+
+
+def test_scores_equal_plain_compression(spark):
+    import zstandard
+
+    good, bad = quality.dictionary([prose(k, 400).encode() for k in range(40)]), quality.dictionary([b"@#!$ " * 40 + prose(k, 50, 9).encode() for k in range(40)])
+    model = quality.Model(good, bad, 30.0, -0.5)
+    rows = [(k, text, "") for k, text in enumerate([prose(90, 3000), "@#!$ " * 3000, "é" * 1000, "x", "", None, prose(91, 40) + "@#!$ " * 9000])]
+    sizes = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=3, write_checksum=False, write_content_size=False, write_dict_id=False) for d in (good, bad)]
+    for r in quality.score(spark.createDataFrame(rows, ROW), model).collect():
+        raw = (r["text"] or "").encode()
+        a, b = (sum(len(c.compress(raw[i : i + 512])) for i in range(0, len(raw), 512)) for c in sizes)
+        x = (b - a) / len(raw) if raw else 0.0
+        assert abs(r["score"] - 1 / (1 + np.exp(-(30 * x - 0.5)))) < 0.02
+
+
+def test_whole_texts_are_learned(spark):
+    """Good and bad texts that differ beyond their first 50,000 bytes only."""
+    r = random.Random(8)
+    front = lambda: " ".join("%d" % r.getrandbits(60) for _ in range(2700))
+    rows = [(i, f"{front()} {prose(i, 1500) if i % 2 else ' '.join(r.choice(['zap', 'zip', 'zup', 'win', 'now']) + '!' for _ in range(1500))}", "") for i in range(120)]
+    docs = spark.createDataFrame(rows, ROW)
+    model = quality.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+    got = quality.score(docs.where(quality.held_out()), model).collect()
+    assert np.mean([(x["score"] >= 0.5) == (x["doc_id"] % 2 == 1) for x in got]) > 0.9
+
+
 def test_quality_never_learns_held_out_labels(spark):
     sf = SF.replace("0.001", "0.01")
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -102,7 +140,8 @@ def test_quality_on_odd_tables(spark, odd, none):
         got = quality.score(odd.withColumn("score", F.lit("old")), model).collect()
         assert len(got) == 12 and all(0 <= r["score"] <= 1 for r in got)
         assert len({r["score"] for r in got if r["text"] and r["text"].startswith(prose(1, 120)) and len(r["text"]) == len(prose(1, 120))}) == 1
-    assert quality.train(odd, labels.limit(0)).weights == (0.0, 0.0, 0.0)
+    empty = quality.train(odd, labels.limit(0))
+    assert (empty.weight, empty.offset) == (0.0, 0.0)
     assert quality.score(none, quality.train(none, labels)).count() == 0
 
 
