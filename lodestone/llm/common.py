@@ -39,14 +39,20 @@ def _clear() -> None:
 atexit.register(_clear)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, cleared when the driver's Python ends."""
+    path = f"{work_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    _kept.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: lineage is cut,
     and a lost executor loses nothing. Returns the table and its path. Tables
     left over go when the driver's Python ends."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _kept.append((spark, path))
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, html_text, jaccard, licences, pii, quality, shards, substrings, vectors
+from lodestone.llm.common import scratch
 from lodestone.sources.shared import spread_small
 
 
@@ -40,8 +41,10 @@ def op2_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = shards.reshard(_read(spark, sf_dir, "documents"), shards=8)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """Files in five old shards by their names, uneven ones, to eight of equal size; read back as rewritten."""
+    rows, made = shards.reshard(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=8, old_shards=5)
+    new = shards.rewrite_affected(rows, made, scratch(spark, "new_shards"))
+    return new.select(*shards.measures("doc_id", "text"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:

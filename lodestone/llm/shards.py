@@ -1,34 +1,57 @@
 """Resharding by minimum-cost flow.
 
-Rows lie in old shards, each cut in blocks by a hash of id and text. From the old
-shards' bytes and the new shards' capacities a minimum-cost flow says how many bytes
-go from which old shard to which new one: keeping costs nothing, moving costs its
-bytes, so the fewest bytes move. An old shard's blocks are laid end to end; the
-flow cuts that line in stretches, whole blocks inside a stretch move (or stay)
-whole, and in the few blocks that a cut meets, rows are divided. The files of shards that
-nothing leaves or enters are kept as they are; the others are rewritten.
+The rows lie in files, each of one old shard. From the old shards' bytes and the new
+shards' capacities a minimum-cost flow says how many bytes go from which old shard to
+which new one: keeping costs nothing, moving costs its bytes, so the fewest bytes move. An old
+shard's files are laid end to end; the flow cuts that line in stretches, and files and
+blocks of rows inside a stretch move (or stay) whole. Only in the few blocks that a cut
+meets are rows looked at one by one. Files of shards that nothing leaves or enters are kept
+as they are; the others are rewritten.
 
 The law is `bytes`: a shard's size differs from its capacity by less than the rows
-that the cuts fall into. Only block sizes reach the driver (old shards x blocks
-rows, a fixed number); a group of equal texts is dealt over all blocks, and every window is inside one
-block.
-
-Defined results: a null text has size 1 and the checksum of the empty text; null ids are allowed; repeated
-rows each get their own slot; an empty table gives an empty table; extra columns
-are ignored.
+that the cuts fall into. A row is known by its file and its place there, so repeated rows, ids
+and texts are nothing special, and nothing is grouped by them. What reaches the driver is one
+row a file, and for each file that a cut meets one row for each `BLOCK` rows; each
+cut is placed in a window of one block.
+
+Defined results: a null text has size 1 and the checksum of the empty text; null ids are allowed;
+repeated rows each get their own slot; an empty table gives an empty table; extra columns are
+kept in rewritten files, but for `shard` and `slot`, which are the new ones.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import defaultdict
+from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialize
 
-#: Blocks of an old shard.
-BLOCKS = 512
+#: Rows of a block.
+BLOCK = 4096
+
+
+def fewest_bytes(supply: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
+    """The flow of least moved bytes. What fits stays; any way of dealing the surplus to the room
+    left is optimal then, as every shard must lose its surplus at least. Linear in the shards."""
+    if sum(supply) > sum(capacity):
+        raise ValueError("the capacities hold less than the supplies")
+    flow = {(i, i): min(s, capacity[i]) for i, s in enumerate(supply) if i < len(capacity) and min(s, capacity[i])}
+    room = [c - flow.get((j, j), 0) for j, c in enumerate(capacity)]
+    j = 0
+    for i, s in enumerate(supply):
+        left = s - flow.get((i, i), 0)
+        while left:
+            if room[j]:
+                push = min(left, room[j])
+                flow[i, j] = flow.get((i, j), 0) + push
+                left, room[j] = left - push, room[j] - push
+            else:
+                j += 1
+    return flow
 
 
 def minimum_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -72,36 +95,37 @@ def minimum_cost_flow(supply: list[int], capacity: list[int], cost: list[list[in
 
 @dataclass(frozen=True)
 class Plan:
-    flow: list[list[int]]  # bytes from each old shard to each new one
-    stretches: list[list[tuple[int, int]]]  # of each old shard: (end offset, new shard), in order
+    flow: dict[tuple[int, int], int]  # bytes from an old shard to a new one
+    segments: dict[str, list[tuple[int, int, int]]] = field(default_factory=dict)  # of each file: (end row, new shard, first slot less first row)
 
     @property
     def moved(self) -> int:
-        return sum(f for i, row in enumerate(self.flow) for j, f in enumerate(row) if i != j)
+        return sum(f for (i, j), f in self.flow.items() if i != j)
 
     @property
     def affected(self) -> set[int]:
         """Shards that something leaves or enters."""
-        pairs = {(i, j) for i, row in enumerate(self.flow) for j, f in enumerate(row) if f and i != j}
-        return {x for p in pairs for x in p}
+        return {x for i, j in self.flow if i != j for x in (i, j)}
 
 
 def equal_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (k < total % shards) for k in range(shards)]
 
 
-def plan(old_bytes: list[int], capacities: list[int]) -> Plan:
-    cost = [[int(i != j) for j in range(len(capacities))] for i in range(len(old_bytes))]
+def plan(old_bytes: list[int], capacities: list[int], cost: list[list[int]] | None = None) -> Plan:
+    """cost: of moving a byte from an old shard to a new one; 1 for every move by default."""
+    if cost is None:
+        return Plan(fewest_bytes(old_bytes, capacities))
     flow = minimum_cost_flow(old_bytes, capacities, cost)
-    stretches = []
-    for i, row in enumerate(flow):
-        order = sorted((j for j, f in enumerate(row) if f), key=lambda j: (i != j, j))  # what stays comes first
-        at, line = 0, []
-        for j in order:
-            at += row[j]
-            line.append((at, j))
-        stretches.append(line)
-    return Plan(flow, stretches)
+    return Plan({(i, j): f for i, row in enumerate(flow) for j, f in enumerate(row) if f})
+
+
+def stretches(made: Plan) -> dict[int, list[tuple[int, int]]]:
+    """Of each old shard: (end offset, new shard), in order; what stays comes first."""
+    out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for (i, j), f in sorted(made.flow.items(), key=lambda x: (x[0][0], x[0][0] != x[0][1], x[0][1])):
+        out[i].append(((out[i][-1][0] if out[i] else 0) + f, j))
+    return out
 
 
 def measures(id_col: str, text_col: str) -> list[Column]:
@@ -110,77 +134,112 @@ def measures(id_col: str, text_col: str) -> list[Column]:
     return [F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")]
 
 
-def row_hash() -> Column:
-    return F.xxhash64("doc_id", "text_crc32")
-
-
-def reshard(documents: DataFrame, shards: int, old_shards: int | None = None, old_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacities: list[int] | None = None, blocks: int = BLOCKS) -> tuple[DataFrame, Plan]:
-    """Each row's new shard and slot, and the plan.
-
-    The old shard (0 to old_shards - 1) is old_col, or else a hash of id and text.
-    Returns (doc_id, size, text_crc32, old_shard, block, shard, slot); slots of a
-    shard run from 0 without gaps. capacities: bytes by new shard, equal by default.
+def in_files(documents: DataFrame) -> DataFrame:
+    """documents as rows of Parquet files, which know their place; written out if they are not."""
+    try:
+        documents.select("_metadata.file_path", "_metadata.row_index").schema
+        return documents
+    except AnalysisException:
+        return materialize(documents, "resharded")[0]
+
+
+def _places(old_shards: int, old_col: str | None) -> list[Column]:
+    file = F.col("_metadata.file_path")
+    old = F.coalesce(F.col(f"`{old_col}`").try_cast("int"), F.lit(-1)) if old_col else F.pmod(F.xxhash64(F.element_at(F.split(file, "/"), -1)), F.lit(old_shards)).cast("int")
+    return [file.alias("__file"), F.col("_metadata.row_index").alias("__row"), old.alias("__old")]
+
+
+def reshard(
+    documents: DataFrame,
+    shards: int,
+    old_shards: int | None = None,
+    old_col: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    capacities: list[int] | None = None,
+    cost: list[list[int]] | None = None,
+    block: int = BLOCK,
+) -> tuple[DataFrame, Plan]:
+    """documents with __old, shard and slot, and the plan.
+
+    The old shard (0 to old_shards - 1) is old_col, the same for all rows of a file, or else a
+    hash of the file's name. Slots of a shard run from 0 without gaps. capacities: bytes by
+    new shard, equal by default.
     """
     spark = documents.sparkSession
     old_shards = old_shards or shards
-    base = documents.select(*measures(id_col, text_col), *([F.col(f"`{old_col}`").cast("int").alias("old_shard")] if old_col else []))
-    key = row_hash()
-    old = F.col("old_shard") if old_col else F.pmod(key, F.lit(old_shards)).cast("int").alias("old_shard")
-    rows, _ = materialize(base.select("doc_id", "size", "text_crc32", old, F.pmod(F.shiftright(key, 16), F.lit(blocks)).cast("int").alias("block")), "measured")
-
-    sizes = {(r["old_shard"], r["block"]): r["bytes"] for r in rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).collect()}  # at most old_shards x blocks rows
-    if bad := [s for s, _ in sizes if s is None or not 0 <= s < old_shards]:
-        raise ValueError(f"old shards outside 0 to {old_shards - 1}: {bad[:3]}")
-    totals = [sum(b for (s, _), b in sizes.items() if s == k) for k in range(old_shards)]
-    made = plan(totals, capacities or equal_capacities(sum(totals), shards))
-
-    table, at = [], [0] * old_shards
-    for s, b in sorted(sizes):
-        begin, end = at[s], at[s] + sizes[s, b]
-        at[s] = end
-        line = made.stretches[s]
-        met = [(cut, j) for k, (cut, j) in enumerate(line) if cut > begin and (k == 0 or line[k - 1][0] < end)]
-        table.append((s, b, begin, [cut for cut, _ in met[:-1]], [j for _, j in met]))
-    where = F.broadcast(spark.createDataFrame(table, "old_shard int, block int, begin long, cuts array<long>, targets array<int>"))
-    order = Window.partitionBy("old_shard", "block").orderBy("text_crc32", "doc_id", "size")
-    upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.withColumns({"upto": upto, "nth": F.row_number().over(order)}).join(where, ["old_shard", "block"])
-    middle = F.col("begin") + F.col("upto") - F.ceil(F.col("size") / 2)
-    shard = F.element_at("targets", 1 + F.size(F.filter("cuts", lambda c: c <= middle)))
-    placed, _ = materialize(placed.select("doc_id", "size", "text_crc32", "old_shard", "block", shard.alias("shard"), "nth"), "placed")
-
-    # at most a row for each block and one more for each cut
-    parts = sorted((r["shard"], r["old_shard"], r["block"], r["first"], r["n"]) for r in placed.groupBy("shard", "old_shard", "block").agg(F.min("nth").alias("first"), F.count("*").alias("n")).collect())
-    offsets, filled = [], [0] * shards
-    for k, s, b, first, n in parts:
-        offsets.append((k, s, b, filled[k] - first))
-        filled[k] += n
-    offset = F.broadcast(spark.createDataFrame(offsets, "shard int, old_shard int, block int, shift long"))
-    out = placed.join(offset, ["shard", "old_shard", "block"]).select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", (F.col("nth") + F.col("shift")).alias("slot"))
-    return out, made
-
-
-def rewrite_affected(spark: SparkSession, old_root: str, new_root: str, made: Plan, assignment: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rewrite the files of affected shards from old_root/shard=K to new_root/shard=K.
-
-    Returns the new data set's (shard, path, rewritten); shards that nothing leaves
-    or enters stay where they are. old_root must keep its files until the result is
-    in use, so that a failed run can be repeated.
-    """
-    old = spark.read.parquet(old_root)
+    documents = in_files(documents)
+    size = measures(id_col, text_col)[1]
+    rows = documents.select(*_places(old_shards, old_col), size)
+    files = sorted((r["old"], r["__file"], r["bytes"], r["n"], r["last"]) for r in rows.groupBy("__file").agg(F.min("__old").alias("old"), F.max("__old").alias("last"), F.sum("size").alias("bytes"), F.count("*").alias("n")).collect())
+    if bad := [f for f in files if f[0] != f[4] or not 0 <= f[0] < old_shards]:
+        raise ValueError(f"files of several old shards, or outside 0 to {old_shards - 1}: {bad[:3]}")
+    totals = [0] * old_shards
+    for old, _, n_bytes, _, _ in files:
+        totals[old] += n_bytes
+    made = plan(totals, capacities or equal_capacities(sum(totals), shards), cost)
+
+    line = stretches(made)
+    at, met = [0] * old_shards, {}  # of each file: the shards it goes to, and the cuts between them in bytes from its start
+    for old, file, n_bytes, _, _ in files:
+        begin, at[old] = at[old], at[old] + n_bytes
+        over = [(end, j) for k, (end, j) in enumerate(line[old]) if end > begin and (k == 0 or line[old][k - 1][0] < at[old])]
+        met[file] = ([j for _, j in over], [end - begin for end, _ in over[:-1]])
+    split = _split_rows(spark, rows, {f: cuts for f, (_, cuts) in met.items() if cuts}, block)
+    filled = [0] * shards
+    for _, file, _, n, _ in files:
+        first = 0
+        for j, end in zip(met[file][0], [*split.get(file, []), n], strict=True):
+            if end > first:
+                made.segments.setdefault(file, []).append((end, j, filled[j] - first))
+                filled[j] += end - first
+                first = end
+    return placed(documents, made, old_shards, old_col), made
+
+
+def _split_rows(spark: SparkSession, rows: DataFrame, cuts: dict[str, list[int]], block: int) -> dict[str, list[int]]:
+    """For each cut of a file, the first row whose middle lies behind it."""
+    if not cuts:
+        return {}
+    wanted = spark.createDataFrame([(f, n, c) for f, cs in cuts.items() for n, c in enumerate(cs)], "__file string, n int, cut long")
+    inside = rows.join(F.broadcast(wanted.select("__file").distinct()), "__file").withColumn("block", F.floor(F.col("__row") / block))  # one row a cut
+    sizes = sorted((r["__file"], r["block"], r["bytes"]) for r in inside.groupBy("__file", "block").agg(F.sum("size").alias("bytes")).collect())
+    begin, hit = dict.fromkeys(cuts, 0), []
+    for file, k, n_bytes in sizes:
+        end = begin[file] + n_bytes
+        hit += [(file, k, n, c - begin[file]) for n, c in enumerate(cuts[file]) if begin[file] < c <= end]
+        begin[file] = end
+    where = spark.createDataFrame(hit, "__file string, block long, n int, cut long")
+    near = inside.join(F.broadcast(where.select("__file", "block").distinct()), ["__file", "block"])
+    upto = F.sum("size").over(Window.partitionBy("__file", "block").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0))
+    middles = near.withColumn("upto", upto).select("__file", "block", "__row", (F.col("upto") - F.ceil(F.col("size") / 2)).alias("middle"))
+    # a block whose rows all lie in front of the cut ends there
+    found = middles.join(F.broadcast(where), ["__file", "block"]).groupBy("__file", "n").agg(F.min(F.when(F.col("middle") >= F.col("cut"), F.col("__row"))).alias("first"), (F.max("__row") + 1).alias("end"))
+    out: dict[str, list[int]] = {f: [0] * len(c) for f, c in cuts.items()}
+    for r in found.collect():
+        out[r["__file"]][r["n"]] = r["end"] if r["first"] is None else r["first"]
+    return {f: sorted(rows) for f, rows in out.items()}
+
+
+def placed(documents: DataFrame, made: Plan, old_shards: int, old_col: str | None) -> DataFrame:
+    """documents with __old, shard and slot: a projection, given one row a file."""
+    spark = documents.sparkSession
+    kept = [c for c in documents.columns if c.lower() not in ("shard", "slot")]
+    rows = documents.select(*[f"`{c}`" for c in kept], *_places(old_shards, old_col))
+    table = spark.createDataFrame(list(made.segments.items()), "__file string, segments array<struct<end:long,shard:int,shift:long>>")
+    own = F.element_at(F.filter("segments", lambda s: F.col("__row") < s["end"]), 1)
+    return rows.join(table, "__file").withColumn("__s", own).select(*[f"`{c}`" for c in kept], "__old", F.col("__s.shard").alias("shard"), (F.col("__row") + F.col("__s.shift")).alias("slot"))
+
+
+def rewrite_affected(rows: DataFrame, made: Plan, new_root: str) -> DataFrame:
+    """Write the rows of affected shards to new_root/shard=K and return all rows, affected ones as
+    they were written. Shards that nothing leaves or enters stay where they are. The old
+    files must be kept until the result is in use, so that a failed run can be repeated."""
+    spark = rows.sparkSession
     touched = sorted(made.affected)
-    if touched:
-        rows = old.where(F.col("shard").isin(touched)).withColumnRenamed("shard", "__old")
-        text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-        rows = rows.withColumns({"__crc": F.crc32(F.encode(text, "UTF-8")), "__size": (F.octet_length(text) + 1).cast("long")})
-        # repeated rows that a cut divides: the nth of them goes where the nth slot is; ties of the hash are copies
-        hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in old.schema if "map<" not in f.dataType.simpleString() and f.name != "shard"])
-        rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__old", f"`{id_col}`", "__crc", "__size").orderBy(hashed)))
-        to = assignment.where(F.col("old_shard").isin(touched)).select("doc_id", "text_crc32", "size", "old_shard", "shard", "slot")
-        to = to.withColumn("nth", F.row_number().over(Window.partitionBy("old_shard", "doc_id", "text_crc32", "size").orderBy("shard", "slot")))
-        same = (rows["__old"] == to["old_shard"]) & rows[id_col].eqNullSafe(to["doc_id"]) & (rows["__crc"] == to["text_crc32"]) & (rows["__size"] == to["size"]) & (rows["__nth"] == to["nth"])
-        moved = rows.join(to, same).select(*[rows[c] for c in old.columns if c != "shard"], to["shard"])
-        moved.write.mode("overwrite").partitionBy("shard").parquet(new_root)
-    new = {j for row in made.flow for j, f in enumerate(row) if f}
-    listed = [(k, f"{new_root if k in made.affected else old_root}/shard={k}", k in made.affected) for k in sorted(new)]
-    return spark.createDataFrame(listed, "shard int, path string, rewritten boolean")
+    if not touched:
+        return rows.drop("__old")
+    rows.where(F.col("shard").isin(touched)).drop("__old").write.mode("overwrite").partitionBy("shard").parquet(new_root)
+    schema = rows.drop("__old").schema
+    written = spark.read.schema(schema).parquet(new_root)
+    return written.select(schema.names).unionByName(rows.where(~F.col("shard").isin(touched)).drop("__old"))

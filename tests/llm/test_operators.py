@@ -165,10 +165,59 @@ def test_flow_is_of_least_cost():
         assert sum(cost[i][j] * flow[i][j] for i in range(n) for j in range(m)) == best
 
 
+def test_the_closed_form_moves_the_fewest_bytes():
+    r = random.Random(4)
+    for _ in range(300):
+        n, m = r.randrange(1, 7), r.randrange(1, 7)
+        supply = [r.randrange(0, 30) for _ in range(n)]
+        capacity = shards.equal_capacities(sum(supply), m) if r.random() < 0.5 else [r.randrange(0, 60) for _ in range(m)]
+        if sum(supply) > sum(capacity):
+            with pytest.raises(ValueError):
+                shards.plan(supply, capacity)
+            continue
+        cost = [[int(i != j) for j in range(m)] for i in range(n)]
+        made = shards.plan(supply, capacity)
+        assert [sum(f for (i, _), f in made.flow.items() if i == k) for k in range(n)] == supply
+        assert all(sum(f for (_, j), f in made.flow.items() if j == k) <= c for k, c in enumerate(capacity))
+        assert made.moved == shards.plan(supply, capacity, cost).moved
+    many = shards.plan([r.randrange(1, 10**9) for _ in range(5000)] + [0] * 3000, [10**9] * 8000)
+    assert len(many.flow) <= 13000
+
+
+def brute_place(files, capacities, made):
+    """files: (old shard, name, sizes), in order; each row's shard by its middle on its old shard's line."""
+    out, at = {}, Counter()
+    for old, name, sizes in files:
+        for k, size in enumerate(sizes):
+            at[old] += size
+            middle = at[old] - -(-size // 2)
+            out[name, k] = next(j for end, j in shards.stretches(made)[old] if middle < end)
+    return out
+
+
+def test_rows_lie_where_the_cuts_say(spark, tmp_path):
+    r = random.Random(6)
+    for old in range(3):
+        for part in range(2):
+            rows = [(100 * old + 50 * part + i, "x" * r.randrange(0, 400), "en") for i in range(r.randrange(1, 50))]
+            spark.createDataFrame(rows, ROW).coalesce(1).write.mode("append").parquet(f"{tmp_path}/old/shard={old}")
+    old = spark.read.parquet(f"{tmp_path}/old")
+    files = [(r0["s"], r0["f"], [x[1] for x in sorted(r0["z"])]) for r0 in old.select(F.col("shard").alias("s"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("k"), (F.octet_length("text") + 1).alias("z")).groupBy("s", "f").agg(F.collect_list(F.struct("k", "z")).alias("z")).orderBy("s", "f").collect()]
+    total = sum(sum(z) for _, _, z in files)
+    for block in (4096, 3):
+        rows, made = shards.reshard(old, 4, old_col="shard", old_shards=3, block=block)
+        got = {(x["f"], x["k"]): (x["shard"], x["slot"]) for x in rows.join(old.select("doc_id", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("k")), "doc_id").collect()}
+        assert {k: v[0] for k, v in got.items()} == brute_place(files, shards.equal_capacities(total, 4), made)
+        slots = defaultdict(list)
+        for shard, slot in got.values():
+            slots[shard].append(slot)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_reshard_is_even_and_gapless(spark, odd, none):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text", "lang").unionByName(odd)
-    rows, made = shards.reshard(docs.withColumn("shard", F.lit("old")), 8, blocks=64)
-    rows = rows.collect()
+    rows, made = shards.reshard(docs.withColumn("shard", F.lit("old")).withColumn("slot", F.lit(1)), 8, block=64)
+    rows = rows.select(*shards.measures("doc_id", "text"), "__old", "shard", "slot").collect()
     assert len(rows) == docs.count()
     largest = max(r["size"] for r in rows)
     total = Counter()
@@ -176,11 +225,11 @@ def test_reshard_is_even_and_gapless(spark, odd, none):
     for r in rows:
         total[r["shard"]] += r["size"]
         slots[r["shard"]].append(r["slot"])
-    assert max(total.values()) - min(total.values()) <= 4 * largest
+    assert len(total) == 8 and max(total.values()) - min(total.values()) <= 4 * largest
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     by = {r["doc_id"]: r for r in rows}
     assert by[2]["size"] == 1 and by[8]["size"] == 8 and by[8]["text_crc32"] == zlib.crc32(b"one two")
-    moved = sum(r["size"] for r in rows if r["shard"] != r["old_shard"])
+    moved = sum(r["size"] for r in rows if r["shard"] != r["__old"])
     assert abs(moved - made.moved) <= 16 * largest
     assert shards.reshard(none, 8)[0].count() == 0
 
@@ -189,24 +238,23 @@ def test_only_affected_files_are_rewritten(spark, tmp_path):
     docs = spark.createDataFrame([(i, "x" * 99, "en") for i in range(400)], ROW)
     old = docs.withColumn("shard", F.when(F.col("doc_id") < 200, 0).when(F.col("doc_id") < 300, 1).otherwise(2))
     old.write.partitionBy("shard").parquet(f"{tmp_path}/old")
-    rows, made = shards.reshard(old, 3, old_col="shard", old_shards=3, capacities=[15_000, 15_000, 10_000], blocks=16)
+    rows, made = shards.reshard(spark.read.parquet(f"{tmp_path}/old"), 3, old_col="shard", old_shards=3, capacities=[15_000, 15_000, 10_000], block=16)
     assert made.affected == {0, 1} and made.moved == 5_000
-    listed = {r["shard"]: r for r in shards.rewrite_affected(spark, f"{tmp_path}/old", f"{tmp_path}/new", made, rows).collect()}
-    assert {k: r["rewritten"] for k, r in listed.items()} == {0: True, 1: True, 2: False}
-    read = {k: spark.read.parquet(r["path"]).count() for k, r in listed.items()}
-    assert sum(read.values()) == 400 and read[2] == 100 and abs(read[0] - 150) <= 2
+    new = shards.rewrite_affected(rows, made, f"{tmp_path}/new")
+    assert Counter(r["shard"] for r in new.collect()) == {0: 150, 1: 150, 2: 100}
+    written = spark.read.parquet(f"{tmp_path}/new").collect()
+    assert Counter(r["shard"] for r in written) == {0: 150, 1: 150}
+    assert sorted(r["doc_id"] for r in new.collect()) == list(range(400))
+    with pytest.raises(ValueError):
+        shards.reshard(spark.read.parquet(f"{tmp_path}/new"), 2, old_col="lang", old_shards=2)
 
 
-def test_repeated_rows_are_rewritten_where_they_are_placed(spark, tmp_path):
+def test_repeated_rows_are_divided(spark, tmp_path):
     copies = spark.createDataFrame([(None if i % 2 else 1, "x" * 99, "en") for i in range(400)], ROW)
-    old = copies.withColumn("shard", F.lit(0))
-    old.write.partitionBy("shard").parquet(f"{tmp_path}/old")
-    rows, made = shards.reshard(old, 2, old_shards=2, old_col="shard", capacities=[25_000, 15_000], blocks=16)
-    want = Counter((r["shard"], r["doc_id"]) for r in rows.collect())
-    assert len({k for k, _ in want}) == 2
-    listed = shards.rewrite_affected(spark, f"{tmp_path}/old", f"{tmp_path}/new", made, rows).collect()
-    got = Counter((r["shard"], x["doc_id"]) for r in listed for x in spark.read.parquet(r["path"]).collect())
-    assert got == want
+    rows, made = shards.reshard(copies.coalesce(1), 2, capacities=[25_000, 15_000], block=16)
+    new = shards.rewrite_affected(rows, made, f"{tmp_path}/new").collect()
+    assert Counter(r["shard"] for r in new) == {0: 250, 1: 150}
+    assert sorted((r["shard"], r["slot"]) for r in new) == [(0, k) for k in range(250)] + [(1, k) for k in range(150)]
 
 
 # ------------------------------------------------------------------------- PII
