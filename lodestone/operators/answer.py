@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROAD_BUDGET, LEAST_REST, SPECIFIC_CUT = 7000, 100, 1500
-NO_RESULT = "I couldn't find anything relevant in the indexed documents."
+NO_RESULT = "None of the indexed documents bears on this question."
+BROAD_NOTICE = "Answered from all documents and sections"
 ANSWER_TOKENS = {"broad": 1500, "specific": 1000}
 TEMPERATURE = 0.2
 #: Prompts by part; $ marks a column.
@@ -90,7 +91,7 @@ def notices(analysed: DataFrame) -> DataFrame:
     return analysed.select(
         "query_id",
         F.when(hybrid & F.col("was_changed"), F.concat(F.lit("Query corrected: "), F.col("corrected"))).alias("corrected_notice"),
-        F.when(hybrid & (F.col("intent") == "broad"), F.lit("Broad query: scanning all sections and documents")).alias("broad_notice"),
+        F.when(hybrid & (F.col("intent") == "broad"), F.lit(BROAD_NOTICE)).alias("broad_notice"),
     )
 
 

@@ -60,7 +60,7 @@ def large_images(images: DataFrame) -> DataFrame:
 def captions(captioned: DataFrame) -> DataFrame:
     """(source, page, image_ix, caption) -> (source, page, captions); nulls and blanks give none."""
     some = captioned.where(F.coalesce(strip(F.col("caption")), F.lit("")) != "")
-    packed = F.array_sort(F.collect_list(F.struct("image_ix", F.concat(F.lit("[Image: "), F.col("caption"), F.lit("]")).alias("c"))))
+    packed = F.array_sort(F.collect_list(F.struct("image_ix", F.concat(F.lit("[Image: "), strip(F.col("caption")), F.lit("]")).alias("c"))))
     return some.groupBy(*PAGE).agg(F.transform(packed, lambda x: x["c"]).alias("captions"))
 
 

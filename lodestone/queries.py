@@ -58,9 +58,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    numbered = src.pages_of_documents(spark.read.parquet(f"{sf}/documents.parquet"))
-    # the adapter's window leaves a source to a task: deal the pages anew before they are split
-    return numbered.repartition(2 * spark.sparkContext.defaultParallelism)
+    return src.pages_of_documents(_table(spark, sf, "documents"))
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,7 +70,14 @@ def asked(spark: SparkSession) -> DataFrame:
 
 
 def built(spark: SparkSession, sf: str) -> index.Index:
-    return index.build(chunks(spark, sf))
+    """The index of sf's documents: built once for the same names and contents, then reused."""
+    files = _table(spark, sf, "documents").select(F.concat_ws("/", "source", "doc_id").alias("name"), F.md5(F.encode("text", "UTF-8")).alias("doc_md5"))
+    return index.reused(spark, f"{work_dir(spark)}/lodestone", src.fingerprint(files).first()["fingerprint"], lambda: index.build(chunks(spark, sf), keep=True))
+
+
+def all_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The literal questions and every user turn."""
+    return asked(spark).unionByName(_table(spark, sf, "conversations").where("role = 'user'").select((F.lit(1000) + F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("raw")))
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,20 +120,20 @@ walk AS (
     FROM walk WHERE i + 1 < len(w))
 ),
 cut AS (SELECT source, page, elo AS lo, ehi AS hi FROM walk WHERE elo IS NOT NULL UNION ALL SELECT source, page, lo, i FROM walk WHERE i + 1 = len(w)),
-chunks AS (
+chunks AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY source, page, hi) - 1 AS chunk_ix, source, page, CAST(row_number() OVER (PARTITION BY source, page ORDER BY hi) - 1 AS INTEGER) AS chunk_no,
     array_to_string(s[lo + 1:hi + 1], ' ') AS text, CAST(list_sum(w[lo + 1:hi + 1]) AS INTEGER) AS n_words, CAST(lo AS INTEGER) AS first_sentence, CAST(hi AS INTEGER) AS last_sentence
   FROM cut JOIN wide USING (source, page)
 )"""
 _TOKENS = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+')"
 _INDEX = f"""
-toks AS (SELECT chunk_ix, {_TOKENS('text')} AS t FROM chunks),
-postings AS (SELECT term, chunk_ix, count(*) AS tf FROM (SELECT chunk_ix, unnest(t) AS term FROM toks) GROUP BY ALL),
-doc_len AS (SELECT chunk_ix, len(t) AS dl FROM toks),
+toks AS MATERIALIZED (SELECT chunk_ix, {_TOKENS('text')} AS t FROM chunks),
+postings AS MATERIALIZED (SELECT term, chunk_ix, count(*) AS tf FROM (SELECT chunk_ix, unnest(t) AS term FROM toks) GROUP BY ALL),
+doc_len AS MATERIALIZED (SELECT chunk_ix, len(t) AS dl FROM toks),
 corpus AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM doc_len),
 dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
-raws AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, corpus),
-term_stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
+raws AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, corpus),
+term_stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raws, (SELECT avg(raw) AS mean FROM raws))"""
 _BUCKET = "CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 64"
 
 
@@ -138,6 +143,7 @@ def _vectors(name: str, source: str, keys: str) -> str:
 
 
 _Q = "q(query_id, raw) AS (VALUES " + ", ".join(f"({i}, {_lit(t)})" for i, t in QUESTIONS) + ")"
+_Q_ALL = "q AS MATERIALIZED (SELECT * FROM (VALUES " + ", ".join(f"({i}, {_lit(t)})" for i, t in QUESTIONS) + ") t(query_id, raw) UNION ALL SELECT 1000 + conv_id * 1000 + turn, text FROM conversations WHERE role = 'user')"
 _E = "[.,!?;:''\"()]"
 _ANALYSED = f"""{_Q},
 typos(typo, target) AS (VALUES {", ".join(f"({_lit(k)}, {_lit(v)})" for k, v in TYPOS.items())}),
@@ -151,6 +157,7 @@ analysed AS (SELECT query_id, raw, corrected, corrected <> raw AS was_changed,
   CASE WHEN len(list_filter([{", ".join(map(_lit, BROAD_PHRASES))}], lambda p : contains(c, p))) > 0
     OR len(list_filter([{", ".join(map(_lit, BARE_TRIGGERS))}], lambda t : starts_with(c, t) AND len(list_filter(string_split_regex(regexp_replace(substr(c, len(t) + 1), '^[ .,?!]+|[ .,?!]+$', '', 'g'), '\\s+'), lambda x : x <> '' AND NOT list_contains([{", ".join(map(_lit, STOP_WORDS))}], x))) = 0)) > 0
   THEN 'broad' ELSE 'specific' END AS intent FROM ints)"""
+_ANALYSED_ALL = _ANALYSED.replace(_Q, _Q_ALL)
 _VARIANTS = f"""lex(word, k, syn) AS (VALUES {", ".join(f"({_lit(k)}, {i}, {_lit(s)})" for k, v in SYNONYMS.items() for i, s in enumerate(v))}),
 vw AS (SELECT query_id, ws, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT query_id, list_filter(string_split_regex(lower(corrected), '\\s+'), lambda x : x <> '') AS ws FROM analysed)),
 vs AS (SELECT query_id, ws, i, k, syn FROM vw JOIN lex ON word = regexp_replace(regexp_replace(w, '^{_E}+', ''), '{_E}+$', '')),
@@ -173,7 +180,7 @@ grid AS (SELECT query_id, variant_ix, chunk_ix, coalesce(d.raw, 0) AS dot, coale
   FROM (SELECT query_id, variant_ix, chunk_ix FROM variants, chunks)
   LEFT JOIN (SELECT query_id, variant_ix, chunk_ix, sum(cv.v * qv.v) AS raw FROM cv JOIN qv USING (b) GROUP BY ALL) d USING (query_id, variant_ix, chunk_ix)
   LEFT JOIN bm USING (query_id, variant_ix, chunk_ix)),
-fetched AS (SELECT g.*, intent, CASE WHEN row_number() OVER (PARTITION BY query_id, variant_ix ORDER BY dot DESC, chunk_ix) <= least((SELECT n FROM corpus), CASE WHEN intent = 'broad' THEN 120 ELSE 80 END) THEN dot ELSE 0 END AS d FROM grid g JOIN analysed USING (query_id)),
+fetched AS (SELECT g.*, intent, CASE WHEN row_number() OVER (PARTITION BY query_id, variant_ix ORDER BY round(dot, 9) DESC, chunk_ix) <= least((SELECT n FROM corpus), CASE WHEN intent = 'broad' THEN 120 ELSE 80 END) THEN dot ELSE 0 END AS d FROM grid g JOIN analysed USING (query_id)),
 blend AS (SELECT query_id, chunk_ix, intent, CASE WHEN dx - dm > 1e-9 THEN (d - dm) / (dx - dm) ELSE d END AS dense, CASE WHEN bx - bl > 1e-9 THEN (b - bl) / (bx - bl) ELSE b END AS bm25
   FROM (SELECT *, min(d) OVER v AS dm, max(d) OVER v AS dx, min(b) OVER v AS bl, max(b) OVER v AS bx FROM fetched WINDOW v AS (PARTITION BY query_id, variant_ix))),
 best AS (SELECT query_id, chunk_ix, intent, greatest(max(dense), 0) AS dense, greatest(max(bm25), 0) AS bm25, greatest(max(0.6 * dense + 0.4 * bm25), 0) AS combined FROM blend GROUP BY ALL)"""
@@ -248,7 +255,7 @@ def s3_work(spark, sf):
 @query("s4_ingest", f"WITH RECURSIVE {_CHUNKS} SELECT source, page, chunk_no, n_words FROM chunks")
 def s4(spark, sf):
     d = _table(spark, sf, "documents")
-    numbered = d.select("source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page"), "text")
+    numbered = src.pages_of_documents(d)
     files = numbered.select("source", F.lit("k").alias("doc_md5")).distinct().select(F.col("source").alias("name"), F.col("source").alias("doc_md5"))
     read = lambda f: f.join(numbered, F.col("doc_md5") == numbered["source"]).select("doc_md5", "page", "text")
     files = files.withColumn("path", F.col("name"))
@@ -261,11 +268,24 @@ def s5(spark, sf):
     return src.require_chunks(src.union_all([p.where("page % 2 = 0"), p.where("page % 2 = 1").select("text", "page", "source")]))
 
 
-@query("s6_fingerprint", "SELECT md5(string_agg('file' || doc_id || '|' || md5(text), chr(10) ORDER BY 'file' || doc_id || '|' || md5(text))) AS fingerprint FROM documents")
+@query(
+    "s6_fingerprint",
+    """WITH h AS (SELECT md5('file' || doc_id || '|' || md5(text)) AS m FROM documents)
+SELECT CAST(count(*) AS VARCHAR) || '-' || CAST(sum(CAST(CAST(('0x' || substr(m, 1, 15)) AS BIGINT) AS HUGEINT)) AS VARCHAR) || '-' || CAST(sum(CAST(CAST(('0x' || substr(m, 16, 15)) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM h""",
+)
 def s6(spark, sf):
     return src.fingerprint(_files(spark, sf))
 
 
+@query("s6_index_reuse", f"WITH RECURSIVE {_CHUNKS}, {_INDEX} SELECT term, chunk_ix, CAST(tf AS INTEGER) AS tf, CAST(dl AS INTEGER) AS dl FROM postings JOIN doc_len USING (chunk_ix)")
+def s6_reuse(spark, sf):
+    """Postings of the index as it is found again under its inputs' fingerprint."""
+    first, again = built(spark, sf), built(spark, sf)
+    if first.postings.inputFiles() != again.postings.inputFiles():
+        raise RuntimeError("the index was built anew")
+    return again.postings.select("term", "chunk_ix", "tf", "dl")
+
+
 _STATS_SQL = f"WITH RECURSIVE {_CHUNKS}, names AS (SELECT DISTINCT source AS name FROM documents UNION ALL SELECT 'empty.pdf'), stats AS (SELECT name, count(chunk_ix) AS chunks FROM names LEFT JOIN chunks ON source = name GROUP BY name)"
 
 
@@ -316,10 +336,22 @@ def e3(spark, sf):
     return d.select("doc_id", extract.first_text(layer(0, "text", F.lit(" ")), layer(1, "lang", F.lit(None)), F.col("source")).alias("text"))
 
 
-@query("e4_ocr")
+@query("e4_ocr", "SELECT doc_id, 'scanned page ' || md5(text) AS ocr_text, CAST(NULL AS VARCHAR) AS hook_error FROM documents")
 def e4(spark, sf):
     d = _table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("image"))
-    return hooks.ocr(d).select("doc_id", "ocr_text", "hook_error")
+    return hooks.ocr(d, keys=["doc_id"]).select("doc_id", "ocr_text", "hook_error")
+
+
+_PDF_SQL = f"""lines AS (SELECT 'file' || doc_id AS name, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents),
+texts AS (SELECT name, string_agg({_STRIP('line')}, chr(10) ORDER BY k) AS text FROM lines WHERE {_STRIP('line')} <> '' GROUP BY name)"""
+
+
+@query("e1_e5_pdf_hook", f"WITH {_PDF_SQL} SELECT name, CAST(1 AS INTEGER) AS page, text FROM texts")
+def pdf_hook(spark, sf):
+    """Files through the PDF hook: blocks in reading order, each file's pages by name."""
+    files = _files(spark, sf).select(F.col("name").alias("source"), "content")
+    made = extract.block_text(hooks.blocks_of(hooks.pdf(files, keys=["source"]), ["source"]))
+    return made.select(F.col("source").alias("name"), "page", "text")
 
 
 _MD = """body AS (SELECT n_regionkey, CAST(n_nationkey AS VARCHAR) AS k, n_name AS v, n_nationkey AS o FROM nation UNION ALL SELECT DISTINCT n_regionkey, 'key', 'name', -1 FROM nation),
@@ -345,6 +377,13 @@ def e7(spark, sf):
     return t.select("source", "page", "table_ix", bad.alias("ragged"), F.when(~bad, to_markdown(F.col("cells"))).alias("markdown"))
 
 
+@query("e7_page_loss", "SELECT * FROM (VALUES ('a', 1, false, 2), ('a', 2, true, 0), ('b', 2, false, 0)) t(source, page, ragged, n)")
+def e7_page(spark, sf):
+    """One ragged table loses all tables of its page."""
+    t = spark.createDataFrame(TABLES, "source string, page int, table_ix int, cells array<array<string>>")
+    return extract.page_tables(t).select("source", "page", "ragged", F.size("markdowns").alias("n"))
+
+
 @query("e8_framing", f"WITH {_MD} SELECT page, chr(10) || '[TABLE]' || chr(10) || markdown || chr(10) || '[/TABLE]' AS framed FROM md")
 def e8(spark, sf):
     return extract.page_tables(cells(spark, sf)).select("page", F.explode("markdowns").alias("md")).select("page", extract.framed(F.col("md")).alias("framed"))
@@ -369,19 +408,26 @@ def e10(spark, sf):
     return extract.captions(extract.large_images(_images(spark, sf))).select("source", "page", F.explode("captions").alias("caption"))
 
 
-@query("e10_caption_hook")
+@query("e10_caption_hook", "SELECT doc_id, CASE WHEN text <> '' THEN 'image ' || md5(text) END AS caption, CAST(len(to_base64(encode(text))) AS INTEGER) AS n_encoded FROM documents")
 def e10_hook(spark, sf):
     d = _table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    return hooks.caption(hooks.encoded(d)).select("doc_id", "caption", F.length("encoded").alias("n_encoded"))
+    return hooks.caption(hooks.encoded(d), keys=["doc_id"]).select("doc_id", "caption", F.length(F.regexp_replace("encoded", "[\r\n]", "")).alias("n_encoded"))
 
 
 @query(
     "e11_e12_pages",
-    f"""{_E2}, {_IMAGES}, cap AS (SELECT source, page, '[Image: ' || caption || ']' AS c FROM im WHERE width >= 100 AND height >= 100 AND caption IS NOT NULL)
-SELECT source, page, {_STRIP("concat_ws(chr(10) || chr(10), text, c)")} AS text FROM texts FULL JOIN cap USING (source, page) WHERE {_STRIP("concat_ws(chr(10) || chr(10), text, c)")} <> ''""",
+    f"""{_E2}, {_IMAGES}, cap AS (SELECT source, page, '[Image: ' || caption || ']' AS c FROM im WHERE width >= 100 AND height >= 100 AND caption IS NOT NULL),
+tab AS (SELECT source, doc_id AS page, CASE WHEN doc_id % 5 > 0 THEN chr(10) || '[TABLE]' || chr(10) || '| id' || repeat(' ', greatest(len(CAST(doc_id AS VARCHAR)) - 2, 0)) || ' | lang |' || chr(10) || '| ' || repeat('-', greatest(len(CAST(doc_id AS VARCHAR)), 2)) || ' | ---- |' || chr(10)
+  || '| ' || rpad(CAST(doc_id AS VARCHAR), CAST(greatest(len(CAST(doc_id AS VARCHAR)), 2) AS INTEGER), ' ') || ' | ' || rpad(lang, 4, ' ') || ' |' || chr(10) || '[/TABLE]' END AS t FROM documents WHERE doc_id % 2 = 0),
+whole AS (SELECT source, page, {_STRIP("concat_ws(chr(10) || chr(10), text, t, c)")} AS text FROM texts FULL JOIN tab USING (source, page) FULL JOIN cap USING (source, page))
+SELECT * FROM whole WHERE text <> ''""",
 )
 def e11(spark, sf):
-    return extract.assemble(extract.block_text(blocks(spark, sf)), None, extract.captions(extract.large_images(_images(spark, sf))))
+    """Text, tables and captions of every page; every fifth table is ragged and loses its page's tables."""
+    d = _table(spark, sf, "documents").where("doc_id % 2 = 0")
+    body = F.when(F.col("doc_id") % 5 > 0, F.array(F.col("doc_id").cast("string"), "lang")).otherwise(F.array("lang"))
+    t = d.select("source", F.col("doc_id").alias("page"), F.lit(0).alias("table_ix"), F.array(F.array(F.lit("id"), F.lit("lang")), body).alias("cells"))
+    return extract.assemble(extract.block_text(blocks(spark, sf)), extract.page_tables(t), extract.captions(extract.large_images(_images(spark, sf))))
 
 
 # chunking
@@ -419,12 +465,15 @@ def i1(spark, sf):
     return t.select("doc_id", F.size("t").alias("n"), F.md5(F.encode(F.array_join("t", " "), "UTF-8")).alias("digest"))
 
 
-@query("i2_i3_embed_hook")
+@query(
+    "i2_i3_embed_hook",
+    """WITH d AS (SELECT doc_id, list_transform(range(1, 5), lambda k : instr('0123456789abcdef', substr(md5(text), k, 1))) AS v FROM documents)
+SELECT doc_id, CAST(k - 1 AS INTEGER) AS k, round(v[k] / sqrt(list_sum(list_transform(v, lambda x : x * x))), 4) AS x FROM (SELECT doc_id, v, unnest(range(1, 5)) AS k FROM d)""",
+)
 def i2_hook(spark, sf):
-    def load():
-        return lambda texts: [[float(len(t) % 7), 1.0] for t in texts]
-
-    return hooks.embed(_table(spark, sf, "documents").select("doc_id", "text"), load).select("doc_id", "embedding")
+    """A model whose vectors are not of unit length, through the hook."""
+    v = hooks.embed(_table(spark, sf, "documents").select("doc_id", "text"), hooks.stub_embed(), keys=["doc_id"])
+    return v.select("doc_id", F.posexplode("embedding").alias("k", "x")).select("doc_id", "k", F.round(F.col("x").cast("double"), 4).alias("x"))
 
 
 @query("i2_hashed_vectors", f"WITH RECURSIVE {_CHUNKS}, {_vectors('cv', 'chunks', 'chunk_ix')} SELECT chunk_ix, CAST(b AS INTEGER) AS b, round(v, 4) AS v FROM cv")
@@ -433,10 +482,13 @@ def i2(spark, sf):
     return v.where("v <> 0").select("chunk_ix", "b", F.round("v", 4).alias("v"))
 
 
-@query("i4_dense_index", "SELECT count(*) AS n, min(len(embedding)) AS dim FROM embeddings")
+@query("i4_dense_index", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x : x * x)), 4) AS norm FROM embeddings")
 def i4(spark, sf):
+    """The vectors as the flat index holds them, checked to be of one dimension."""
     v = _table(spark, sf, "embeddings")
-    return v.agg(F.count("*").alias("n"), F.lit(index.check_dimension(v)).cast("long").alias("dim"))
+    dim = index.check_dimension(v)
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return v.select("vec_id", F.lit(dim).alias("dim"), F.round(squares, 4).alias("norm"))
 
 
 @query("i5_term_stats", f"WITH RECURSIVE {_CHUNKS}, {_INDEX} SELECT term, df, round(idf, 4) AS idf FROM term_stats")
@@ -445,36 +497,44 @@ def i5(spark, sf):
     return index.term_stats(index.postings(c), c.count()).select("term", "df", F.round("idf", 4).alias("idf"))
 
 
-@query("i6_build", f"WITH RECURSIVE {_CHUNKS}, {_INDEX} SELECT (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM postings) AS postings, (SELECT count(*) FROM dfs) AS terms, (SELECT count(*) FROM doc_len) AS lengths, (SELECT count(*) FROM chunks) AS vectors")
+@query(
+    "i6_build",
+    f"""WITH RECURSIVE {_CHUNKS}, {_INDEX}, {_vectors('cv', 'chunks', 'chunk_ix')}
+SELECT chunk_ix, source, page, CAST(dl AS INTEGER) AS dl, n_terms, round(idf, 3) AS idf, coalesce(n_places, 0) AS n_places FROM chunks JOIN doc_len USING (chunk_ix)
+LEFT JOIN (SELECT chunk_ix, count(*) AS n_terms, sum(idf) AS idf FROM postings JOIN term_stats USING (term) GROUP BY chunk_ix) USING (chunk_ix) LEFT JOIN (SELECT chunk_ix, count(*) AS n_places FROM cv GROUP BY chunk_ix) USING (chunk_ix)""",
+)
 def i6(spark, sf):
+    """Every chunk with what each relation of the index says of it."""
     ix = built(spark, sf)
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    return n(ix.chunks, "chunks").crossJoin(n(ix.postings, "postings")).crossJoin(n(ix.term_stats, "terms")).crossJoin(n(ix.doc_len, "lengths")).crossJoin(n(ix.vectors, "vectors"))
+    terms = ix.postings.join(ix.term_stats, "term").groupBy("chunk_ix").agg(F.count("*").alias("n_terms"), F.round(F.sum("idf"), 3).alias("idf"))
+    places = ix.vectors.select("chunk_ix", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("n_places"))
+    whole = ix.chunks.select("chunk_ix", "source", "page").join(ix.doc_len, "chunk_ix").join(terms, "chunk_ix", "left").join(places, "chunk_ix", "left")
+    return whole.select("chunk_ix", "source", "page", "dl", "n_terms", "idf", F.coalesce("n_places", F.lit(0)).alias("n_places"))
 
 
 # questions
 
 
-@query("u1_correct", f"WITH {_ANALYSED} SELECT query_id, corrected, was_changed FROM analysed")
+@query("u1_correct", f"WITH {_ANALYSED_ALL} SELECT query_id, corrected, was_changed FROM analysed")
 def u1(spark, sf):
-    c = asked(spark).withColumn("corrected", qf.correct(F.col("raw")))
+    c = all_questions(spark, sf).withColumn("corrected", qf.correct(F.col("raw")))
     return c.select("query_id", "corrected", (F.col("corrected") != F.col("raw")).alias("was_changed"))
 
 
-@query("u2_intent", f"WITH {_ANALYSED} SELECT query_id, intent FROM analysed")
+@query("u2_intent", f"WITH {_ANALYSED_ALL} SELECT query_id, intent FROM analysed")
 def u2(spark, sf):
-    return asked(spark).select("query_id", qf.intent(qf.correct(F.col("raw"))).alias("intent"))
+    return all_questions(spark, sf).select("query_id", qf.intent(qf.correct(F.col("raw"))).alias("intent"))
 
 
-@query("u3_variants", f"WITH {_ANALYSED}, {_VARIANTS} SELECT query_id, variant_ix, text FROM variants")
+@query("u3_variants", f"WITH {_ANALYSED_ALL}, {_VARIANTS} SELECT query_id, variant_ix, text FROM variants")
 def u3(spark, sf):
-    return qf.explode_variants(asked(spark).withColumn("corrected", qf.correct(F.col("raw"))))
+    return qf.explode_variants(all_questions(spark, sf).withColumn("corrected", qf.correct(F.col("raw"))))
 
 
-@query("u4_page_reference", f"WITH {_PAGES}, {_Q} SELECT query_id, CAST({_PAGE_OF} AS INTEGER) AS page_num FROM q")
+@query("u4_page_reference", f"WITH {_PAGES}, {_Q_ALL} SELECT query_id, CAST({_PAGE_OF} AS INTEGER) AS page_num FROM q")
 def u4(spark, sf):
     stats = pages(spark, sf).agg(F.countDistinct("source").alias("num_sources"), F.max("page").alias("last_page"))
-    return qf.analyse(asked(spark), stats).select("query_id", "page_num")
+    return qf.analyse(all_questions(spark, sf), stats).select("query_id", "page_num")
 
 
 # scores
@@ -489,15 +549,19 @@ def r1(spark, sf):
     return s.select("n", F.round("avgdl", 4).alias("avgdl"), "num_sources", "has_single_page_source", "last_page")
 
 
+# The search query set: every row whose id is divisible by 100, against all rows.
 _DENSE_SQL = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_ix, list_inner_product(q.e, v.e) AS raw FROM v q, v WHERE q.vec_id < 3),
-t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_ix) AS r FROM s) WHERE r <= 40)"""
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_ix, list_inner_product(q.e, v.e) AS raw FROM v q, v WHERE q.vec_id % 100 = 0),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, chunk_ix) AS r FROM s) WHERE r <= 40)"""
+
+
+def _search_set(v):
+    return v.where("chunk_ix % 100 = 0").select(F.col("chunk_ix").alias("query_id"), F.lit(0).alias("variant_ix"), "embedding")
 
 
 def _dense(spark, sf):
     v = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_ix"), "embedding")
-    q = v.where("chunk_ix < 3").select(F.col("chunk_ix").alias("query_id"), F.lit(0).alias("variant_ix"), "embedding")
-    return v, score.dense_top(q, v, 40)
+    return v, score.dense_top(_search_set(v), v, 40)
 
 
 @query("r2_dense_top", f"{_DENSE_SQL} SELECT query_id, chunk_ix, round(raw, 4) AS raw FROM t")
@@ -505,64 +569,37 @@ def r2(spark, sf):
     return _dense(spark, sf)[1].select("query_id", "chunk_ix", F.round("raw", 4).alias("raw"))
 
 
-@query("r3_dense_norm", f"{_DENSE_SQL}, b AS (SELECT query_id, least(min(raw), 0) AS lo, greatest(max(raw), 0) AS hi FROM t GROUP BY ALL) SELECT query_id, s.chunk_ix, round(CASE WHEN hi - lo > 1e-9 THEN (coalesce(t.raw, 0) - lo) / (hi - lo) ELSE coalesce(t.raw, 0) END, 4) AS dense FROM s LEFT JOIN t USING (query_id, chunk_ix) JOIN b USING (query_id)")
+@query(
+    "r3_dense_norm",
+    f"""{_DENSE_SQL}, b AS (SELECT query_id, least(min(raw), 0) AS lo, greatest(max(raw), 0) AS hi FROM t GROUP BY ALL)
+SELECT query_id, chunk_ix, round(CASE WHEN hi - lo > 1e-9 THEN (raw - lo) / (hi - lo) ELSE raw END, 4) AS dense FROM t JOIN b USING (query_id)
+UNION ALL SELECT query_id, -1, round(CASE WHEN hi - lo > 1e-9 THEN (0 - lo) / (hi - lo) ELSE 0 END, 4) FROM b""",
+)
 def r3(spark, sf):
+    """The normalised top of each query, and under -1 the one score of all other vectors."""
     v, top = _dense(spark, sf)
     inside, rest = score.dense_norm(top, v.count(), 40)
-    grid = v.select("chunk_ix").crossJoin(F.broadcast(rest)).join(inside, [*score.KEYS, "chunk_ix"], "left")
-    return grid.select("query_id", "chunk_ix", F.round(F.coalesce("dense", "dense_rest"), 4).alias("dense"))
-
-
-# The search query set: every row whose id is divisible by 100, against all rows.
-_SEARCH_SQL = _DENSE_SQL.replace("q.vec_id < 3", "q.vec_id % 100 = 0")
-
-
-def _search_set(v):
-    return v.where("chunk_ix % 100 = 0").select(F.col("chunk_ix").alias("query_id"), F.lit(0).alias("variant_ix"), "embedding")
-
-
-def _vectors_of(spark, sf):
-    return _table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_ix"), "embedding")
-
-
-@query("r2_dense_top_search_set", f"{_SEARCH_SQL} SELECT query_id, chunk_ix, round(raw, 4) AS raw FROM t")
-def r2_search(spark, sf):
-    v = _vectors_of(spark, sf)
-    return score.in_blocks(_search_set(v), lambda q: score.dense_top(q, v, 40).select("query_id", "chunk_ix", F.round("raw", 4).alias("raw")))
-
-
-@query("r3_dense_norm_search_set", ORACLE["r3_dense_norm"].replace(_DENSE_SQL, _SEARCH_SQL))
-def r3_search(spark, sf):
-    v = _vectors_of(spark, sf)
-    n = v.count()
-
-    def block(q):
-        inside, rest = score.dense_norm(score.dense_top(q, v, 40), n, 40)
-        # at most 40 rows a query of the block: the grid is not shuffled
-        grid = v.select("chunk_ix").crossJoin(F.broadcast(rest)).join(F.broadcast(inside), [*score.KEYS, "chunk_ix"], "left")
-        return grid.select("query_id", "chunk_ix", F.round(F.coalesce("dense", "dense_rest"), 4).alias("dense"))
-
-    return score.in_blocks(_search_set(v), block)
+    others = rest.select("query_id", F.lit(-1).cast("long").alias("chunk_ix"), F.col("dense_rest").alias("dense"))
+    return inside.select("query_id", "chunk_ix", "dense").unionByName(others).withColumn("dense", F.round("dense", 4))
 
 
 @query("r4_bm25", f"WITH RECURSIVE {_CHUNKS}, {_INDEX}, {_ANALYSED}, {_VARIANTS}, {_BM25} SELECT query_id, variant_ix, chunk_ix, round(raw / (max(raw) OVER (PARTITION BY query_id, variant_ix)), 4) AS bm25 FROM bm")
 def r4(spark, sf):
     ix = built(spark, sf)
-    v = u3(spark, sf)
+    v = qf.explode_variants(asked(spark).withColumn("corrected", qf.correct(F.col("raw"))))
     return score.bm25_norm(score.bm25_raw(v, ix), v, ix.n)[0].withColumn("bm25", F.round("bm25", 4))
 
 
 _BEST_SQL = f"WITH RECURSIVE {_CHUNKS}, {_INDEX}, {_ANALYSED}, {_VARIANTS}, {_SCORES}"
 
 
-@query("r5_r6_r7_r8_scores", f"{_BEST_SQL} SELECT query_id, count(*) AS n, round(sum(dense), 2) AS dense, round(sum(bm25), 2) AS bm25, round(sum(combined), 2) AS combined, round(max(combined), 4) AS top FROM best WHERE intent = 'specific' GROUP BY query_id")
+@query("r5_r6_r7_r8_scores", f"{_BEST_SQL} SELECT query_id, chunk_ix, round(dense, 4) AS dense, round(bm25, 4) AS bm25, round(combined, 4) AS combined FROM best")
 def r5(spark, sf):
+    """Every chunk's scores for every question, both intents at their own depth."""
     ix = built(spark, sf)
-    q = qf.analyse(asked(spark), ix.stats).where("intent = 'specific'")
-    fetch_k, _ = rank.depth("specific", ix.n, ix.num_sources, ix.has_single_page_source, 8)
-    s = retrieve.hybrid_scores(q, ix, fetch_k)
-    total = lambda c: F.round(F.sum(c), 2).alias(c)
-    return s.groupBy("query_id").agg(F.count("*").alias("n"), total("dense"), total("bm25"), total("combined"), F.round(F.max("combined"), 4).alias("top"))
+    deep, fetch_k, _ = retrieve.with_depth(qf.analyse(asked(spark), ix.stats), ix, 8)
+    s = score.of_all_chunks(*retrieve.hybrid_scores(deep, ix, fetch_k), ix.chunks)
+    return s.select("query_id", "chunk_ix", *[F.round(c, 4).alias(c) for c in retrieve.SCORES])
 
 
 @query("r9_r10_r11_r12_retrieve", f"{RETRIEVE_SQL} SELECT query_id, rank, vector_score, bm25_score, final_score, corrected_query, source, page, chunk_ix, text FROM found")
@@ -586,60 +623,35 @@ def r8(spark, sf):
 
 
 _PLACED_SQL = """WITH c AS (SELECT vec_id AS chunk_ix, 's' || label AS source, CAST(vec_id % 7 + 1 AS INTEGER) AS page, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT q.chunk_ix AS query_id, c.chunk_ix, c.source, c.page, list_inner_product(q.e, c.e) AS combined FROM c q, c WHERE q.chunk_ix < 3),
+s AS (SELECT q.chunk_ix AS query_id, c.chunk_ix, c.source, c.page, list_inner_product(q.e, c.e) AS combined FROM c q, c WHERE q.chunk_ix % 100 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, {by} ORDER BY round(combined, 9) DESC, chunk_ix DESC) AS nth FROM s),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY ({late}), round(combined, 9) DESC, chunk_ix DESC) AS INTEGER) AS rank FROM k)
 SELECT query_id, chunk_ix, source, page, rank FROM r WHERE rank <= 25"""
 
 
-def _placed(spark, sf):
-    v = _table(spark, sf, "embeddings")
-    c = v.select(F.col("vec_id").alias("chunk_ix"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("source"), (F.col("vec_id") % 7 + 1).cast("int").alias("page"))
-    q = v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("variant_ix"), "embedding")
-    top = score.dense_top(q, v.withColumnRenamed("vec_id", "chunk_ix"), v.count())
-    return top.select("query_id", "chunk_ix", F.col("raw").alias("combined")), c
+def _placed(spark, sf, *by):
+    """Scores of the search query set as far as they can rank, and every vector's source and page."""
+    v = _table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("chunk_ix"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("source"), (F.col("vec_id") % 7 + 1).cast("int").alias("page"), "embedding"
+    )
+    top = score.nearest(_search_set(v), v, 25, F.xxhash64(*by) if by else None, small_first=False)
+    return top.select("query_id", "chunk_ix", F.col("raw").alias("combined")), v.drop("embedding")
 
 
 @query("r7_rank", _PLACED_SQL.format(by="source", late="false"))
 def r7(spark, sf):
     s, c = _placed(spark, sf)
-    return rank.ranked(s).where("rank <= 25").join(F.broadcast(c), "chunk_ix").select("query_id", "chunk_ix", "source", "page", "rank")
+    return rank.ranked(s).where("rank <= 25").join(c, "chunk_ix").select("query_id", "chunk_ix", "source", "page", "rank")
 
 
 @query("r10_diversify_by_source", _PLACED_SQL.format(by="source", late="nth > 1"))
 def r10(spark, sf):
-    return rank.diversified(*_placed(spark, sf), ["source"], 25).select("query_id", "chunk_ix", "source", "page", "rank")
+    return rank.diversified(*_placed(spark, sf, "source"), ["source"], 25).select("query_id", "chunk_ix", "source", "page", "rank")
 
 
 @query("r11_diversify_by_page", _PLACED_SQL.format(by="source, page", late="nth > 1"))
 def r11(spark, sf):
-    return rank.diversified(*_placed(spark, sf), ["source", "page"], 25).select("query_id", "chunk_ix", "source", "page", "rank")
-
-
-_SEARCH_PLACED_SQL = _PLACED_SQL.replace("q.chunk_ix < 3", "q.chunk_ix % 100 = 0")
-
-
-def _search_placed(spark, sf, rows):
-    """rows() of the scores of each block of the search query set, with source and page."""
-    v = _table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("chunk_ix"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("source"), (F.col("vec_id") % 7 + 1).cast("int").alias("page"), "embedding"
-    )
-    return score.in_blocks(_search_set(v), lambda q: rows(score.dense_all(q, v).withColumnRenamed("raw", "combined")).select("query_id", "chunk_ix", "source", "page", "rank"))
-
-
-@query("r7_rank_search_set", _SEARCH_PLACED_SQL.format(by="source", late="false"))
-def r7_search(spark, sf):
-    return _search_placed(spark, sf, lambda s: rank.ranked(s).where("rank <= 25"))
-
-
-@query("r10_diversify_by_source_search_set", _SEARCH_PLACED_SQL.format(by="source", late="nth > 1"))
-def r10_search(spark, sf):
-    return _search_placed(spark, sf, lambda s: rank.spread(s, ["source"], 25))
-
-
-@query("r11_diversify_by_page_search_set", _SEARCH_PLACED_SQL.format(by="source, page", late="nth > 1"))
-def r11_search(spark, sf):
-    return _search_placed(spark, sf, lambda s: rank.spread(s, ["source", "page"], 25))
+    return rank.diversified(*_placed(spark, sf, "source", "page"), ["source", "page"], 25).select("query_id", "chunk_ix", "source", "page", "rank")
 
 
 @query("r13_page_lookup", f"WITH RECURSIVE {_CHUNKS}, {_Q}, pg AS (SELECT query_id, {_PAGE_OF} AS page_num FROM q) SELECT query_id, CAST(r AS INTEGER) AS rank, chunk_ix, source, text FROM (SELECT query_id, chunks.*, row_number() OVER (PARTITION BY query_id ORDER BY chunk_ix) AS r FROM chunks JOIN pg ON page = page_num WHERE page_num <> 0) WHERE r <= 8")
@@ -704,7 +716,13 @@ def a9(spark, sf):
     return answer.with_fallback(c, c.where("turn % 3 = 0").select("query_id", "answer"))
 
 
-@query("a5_a6_a9_ask")
+@query(
+    "a5_a6_a9_ask",
+    f"""{RETRIEVE_SQL}, kinds AS (SELECT query_id, CASE WHEN coalesce(page_num, 0) <> 0 THEN 'specific' ELSE intent END AS kind FROM analysed JOIN pg USING (query_id)),
+firsts AS (SELECT query_id, kind, text, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN kind = 'broad' THEN source END, CASE WHEN kind = 'broad' THEN page END, rank) AS k FROM found JOIN kinds USING (query_id)),
+line1 AS (SELECT query_id, string_split(substr(text, 1, CASE WHEN kind = 'broad' THEN 7000 ELSE 1500 END), chr(10))[1] AS line FROM firsts WHERE k = 1)
+SELECT query_id, coalesce(regexp_replace(line, '`([^`]+)`', '\\1', 'g'), {_lit(answer.NO_RESULT)}) AS answer FROM analysed LEFT JOIN line1 USING (query_id)""",
+)
 def a5(spark, sf):
     """Prompts and stub answers of all questions, with the fixed message where nothing is found."""
     return retrieve.ask(asked(spark), built(spark, sf))
@@ -722,7 +740,7 @@ def a8(spark, sf):
     return answer.word_stream(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("answer")))
 
 
-@query("a10_notices", f"WITH {_PAGES}, {_ANALYSED}, pg AS (SELECT *, {_PAGE_OF} AS p FROM analysed) SELECT query_id, CASE WHEN coalesce(p, 0) = 0 AND was_changed THEN 'Query corrected: ' || corrected END AS corrected_notice, CASE WHEN coalesce(p, 0) = 0 AND intent = 'broad' THEN 'Broad query: scanning all sections and documents' END AS broad_notice FROM pg")
+@query("a10_notices", f"WITH {_PAGES}, {_ANALYSED}, pg AS (SELECT *, {_PAGE_OF} AS p FROM analysed) SELECT query_id, CASE WHEN coalesce(p, 0) = 0 AND was_changed THEN 'Query corrected: ' || corrected END AS corrected_notice, CASE WHEN coalesce(p, 0) = 0 AND intent = 'broad' THEN {_lit(answer.BROAD_NOTICE)} END AS broad_notice FROM pg")
 def a10(spark, sf):
     stats = pages(spark, sf).agg(F.countDistinct("source").alias("num_sources"), F.max("page").alias("last_page"))
     return answer.notices(qf.analyse(asked(spark), stats))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.chunk import chunk_pages
+from lodestone.sources.shared import numbered
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -31,10 +32,31 @@ def content_hash(col: str):
     return F.md5(col)
 
 
+#: Folders of the cache: the first digits of the hash.
+CACHE_PART = "substring(doc_md5, 1, 2)"
+
+
+def read_cache(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
+    """(doc_md5, page, text) of the cache. With files, only the folders that their hashes name are
+    read (256 at most), pruned before the scan."""
+    cache = spark.read.schema("doc_md5 string, page int, text string, part string").parquet(path)
+    if files is not None:
+        cache = cache.where(F.col("part").isin([r["p"] for r in files.selectExpr(f"{CACHE_PART} AS p").distinct().collect()]))
+    return cache.select("doc_md5", "page", "text")
+
+
+def write_cache(new: DataFrame, path: str) -> None:
+    """Append, in folders by the hash's first digits."""
+    new.withColumn("part", F.expr(CACHE_PART)).write.mode("append").partitionBy("part").parquet(path)
+
+
 def to_extract(files: DataFrame, cache: DataFrame | None) -> DataFrame:
-    """One file for each content that the cache does not hold."""
-    todo = files.join(cache.select("doc_md5").distinct(), "doc_md5", "left_anti") if cache is not None else files
-    return todo.withColumn("__r", F.row_number().over(Window.partitionBy("doc_md5").orderBy("name", "path"))).where("__r = 1").drop("__r")
+    """One file for each content that the cache does not hold. Contents are not shuffled: the
+    file of each hash is chosen by its name and path, and only those two go back to the files."""
+    keys = files.select("doc_md5", "name", "path")
+    todo = keys.join(cache.select("doc_md5").distinct(), "doc_md5", "left_anti") if cache is not None else keys
+    first = todo.groupBy("doc_md5").agg(F.min(F.struct("name", "path")).alias("first")).select("doc_md5", "first.name", "first.path")
+    return files.join(first, ["doc_md5", "name", "path"], "left_semi")
 
 
 def cached_pages(files: DataFrame, cache: DataFrame | None, extract: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -51,10 +73,6 @@ def cached_pages(files: DataFrame, cache: DataFrame | None, extract: Callable[[D
     return pages.select("source", "page", "text"), made
 
 
-def write_cache(new: DataFrame, path: str) -> None:
-    new.write.mode("append").parquet(path)
-
-
 def ingest(files: DataFrame, cache: DataFrame | None, extract: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pages, chunks, new cache rows) of files: extraction, then chunking."""
     pages, new = cached_pages(files, cache, extract)
@@ -76,8 +94,11 @@ def require_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """One row that changes if any file's name or content does; an index is reused while it is the same."""
-    return files.agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "name", "doc_md5"))), "\n")).alias("fingerprint"))
+    """One row that changes if any file's name or content does; an index is reused while it is the same.
+    The number of files, and the sums of two 60-bit pieces of each one's hash: partially aggregated, in any order."""
+    own = F.md5(F.concat_ws("|", "name", "doc_md5"))
+    piece = lambda at: F.sum(F.conv(F.substring(own, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return files.agg(F.concat_ws("-", F.count("*").cast("string"), piece(1), piece(16)).alias("fingerprint"))
 
 
 def file_stats(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -98,5 +119,11 @@ def peek(spark: SparkSession, path: str, rows: int = 3) -> tuple[int, DataFrame]
 
 
 def pages_of_documents(documents: DataFrame) -> DataFrame:
-    """Adapter for plain text tables: (source, page, text), pages numbered by doc_id in each source."""
-    return documents.select("source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page"), "text")
+    """Adapter for plain text tables: (source, page, text), pages numbered by doc_id in each source.
+
+    All rows are numbered at once, in ranges, so a large source is split; a source's pages count
+    from its least number, one row a source.
+    """
+    rows = numbered(documents.select("source", "doc_id", "text"), ["source", "doc_id"], "__n")
+    first = rows.groupBy(F.col("source").alias("__of")).agg(F.min("__n").alias("__first"))
+    return rows.join(first, F.col("source").eqNullSafe(F.col("__of"))).select("source", (F.col("__n") - F.col("__first") + 1).cast("int").alias("page"), "text")

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all machines share; a temporary folder only where it is unset (tests)."""
+    """spark.checkpoint.dir, which all machines share; a temporary folder only where it is unset and
+    the session is local (tests): on a cluster other machines would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not own.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         made = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(made)
@@ -25,9 +28,35 @@ def work_dir(spark: SparkSession) -> str:
     return own.get().rstrip("/")
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_kept: list[tuple[SparkSession, str]] = []
+
+
+def _clear() -> None:
+    for spark, path in _kept:
+        try:
+            delete_path(spark, path)
+        except Exception:  # the context is gone; the folder's owner clears it
+            return
+
+
+atexit.register(_clear)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the work folder, cleared when the driver's Python ends."""
+    path = f"{work_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    _kept.append((spark, path))
+    return path
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the work folder."""
-    path = f"{work_dir(df.sparkSession)}/lodestone/{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the work folder, cleared when the driver's Python ends."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -62,4 +91,5 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
         shifts.append((p, total))
         total += n
     table = df.sparkSession.createDataFrame(shifts, "__p int, __shift long")
-    return placed.join(F.broadcast(table), "__p").withColumn(name, F.col("__k") + F.col("__shift")).drop("__p", "__k", "__shift")
+    # one row a partition
+    return spread_small(placed).join(F.broadcast(table), "__p").withColumn(name, F.col("__k") + F.col("__shift")).drop("__p", "__k", "__shift")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -155,7 +156,8 @@ def test_cache_keeps_pages_of_renamed_files(spark, tmp_path):
     assert {r["source"] for r in pages.collect()} == {"a.txt", "b.txt", "c.txt"} and calls == [3]
     src.write_cache(new, f"{tmp_path}/cache")
     (tmp_path / "e.txt").write_text("same")
-    cache = spark.read.parquet(f"{tmp_path}/cache")
+    cache = src.read_cache(spark, f"{tmp_path}/cache", files)
+    assert re.search(r"PartitionFilters: \[[^\]]*part", cache._jdf.queryExecution().explainString(cache._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
     again, newer = src.cached_pages(src.read_files(spark, str(tmp_path), "*.txt"), cache, extract_text)
     assert again.where("source = 'e.txt'").count() == 1 and calls == [3, 0] and newer.count() == 0
 
@@ -309,6 +311,124 @@ def test_a_batch_equals_one_by_one(spark, corpus):
     assert whole == single
 
 
+def test_a_negative_product_in_the_top_ranks_below_chunks_outside(spark):
+    """Retained negatives score less than the constant of all other chunks, which then come first."""
+    texts = ["zzz"] * 12
+    vectors = spark.createDataFrame([(i, [1.0, 0.0] if i == 0 else [-0.5, 0.1 * i]) for i in range(12)], "chunk_ix long, embedding array<double>")
+    chunks = chunk_rows(spark, texts, source=[f"s{i % 2}" for i in range(12)], pages=[i // 4 + 1 for i in range(12)])
+    ix = index.build(chunks, vectors, keep=False)
+    one = lambda df: df.select(*score.KEYS, F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    q = spark.createDataFrame([(1, "word")], "query_id long, raw string").withColumns({"corrected": F.col("raw"), "was_changed": F.lit(False), "intent": F.lit("specific"), "page_num": F.lit(None).cast("int")})
+    got = [r["chunk_ix"] for r in retrieve.hybrid_retrieve(q, ix, top_k=1, embed=one).orderBy("rank").collect()]
+    assert got == [0]
+    deep = q.withColumn("fetch_k", F.lit(3))
+    hits, rest = retrieve.hybrid_scores(deep, ix, 3, embed=one)
+    for k in (1, 2, 5, 9, 12):
+        for by in (["source"], ["source", "page"]):
+            rows = retrieve.ranking_rows(hits, rest, q.select("query_id"), chunks, by, k)
+            got = [r["chunk_ix"] for r in rank.diversified(rows, chunks, by, k).orderBy("rank").collect()]
+            whole = rank.diversified(score.of_all_chunks(hits, rest, chunks), chunks, by, k)
+            assert got == [r["chunk_ix"] for r in whole.orderBy("rank").collect()], (k, by)
+
+
+def test_unheld_chunks_rank_as_in_the_whole_grid(spark):
+    r = random.Random(9)
+    chunks = chunk_rows(spark, ["t"] * 60, source=[f"s{r.randrange(4)}" for _ in range(60)], pages=[r.randrange(1, 9) for _ in range(60)])
+    for seed in range(4):
+        r = random.Random(seed)
+        hits = spark.createDataFrame([(1, c, 0.0, 0.0, round(0.3 + r.random() / 2, 2)) for c in r.sample(range(60), r.randrange(1, 30))], "query_id long, chunk_ix long, dense double, bm25 double, combined double")
+        rest = spark.createDataFrame([(1, 0.0, 0.0, 0.4 if seed % 2 else 0.3)], "query_id long, dense double, bm25 double, combined double")
+        asked = rest.select("query_id")
+        for k in (1, 3, 8, 40):
+            for by in (["source"], ["source", "page"]):
+                got = rank.diversified(retrieve.ranking_rows(hits, rest, asked, chunks, by, k), chunks, by, k).orderBy("rank").collect()
+                want = rank.diversified(score.of_all_chunks(hits, rest, chunks), chunks, by, k).orderBy("rank").collect()
+                assert [x["chunk_ix"] for x in got] == [x["chunk_ix"] for x in want], (seed, k, by)
+
+
+def test_thousands_of_variants_are_one_plan(spark, corpus):
+    texts, ix = corpus
+    words = "title heading model training network data the of result score".split()
+    r = random.Random(12)
+    rows = [(i, " ".join(r.choice(words) for _ in range(4))) for i in range(500)]
+    q = spark.createDataFrame(rows, "query_id long, raw string")
+    found, analysed = retrieve.retrieve(q, ix, top_k=1)
+    got = {}
+    for x in found.where("rank = 1").collect():
+        got[x["query_id"]] = x["chunk_ix"]
+    variants = {x["query_id"]: x["v"] for x in analysed.select("query_id", retrieve_variants("corrected").alias("v")).collect()}
+    assert sum(map(len, variants.values())) > 3000 and len(got) == 500
+    for i in (0, 77, 499):
+        best = model_scores(texts, variants[i], 10)
+        assert got[i] == max(range(40), key=lambda c: (round(best[c][2], 9), c))
+
+
+def test_nearest_in_blocks_equals_brute_force(spark, monkeypatch):
+    r = random.Random(3)
+    x = [[r.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)] for _ in range(90)]
+    v = spark.createDataFrame([(i, e) for i, e in enumerate(x)], "chunk_ix long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i, 0, x[i]) for i in range(0, 90, 7)], "query_id long, variant_ix int, embedding array<double>")
+    dot = lambda a, b: sum(p * s for p, s in zip(a, b, strict=True))
+    for vectors, queries in ((4096, 512), (8, 2)):
+        monkeypatch.setattr(score, "VECTOR_BLOCK", vectors)
+        monkeypatch.setattr(score, "QUERY_BLOCK", queries)
+        got = {}
+        for row in score.dense_top(q, v, 5).orderBy("r").collect():
+            got.setdefault(row["query_id"], []).append(row["chunk_ix"])
+        assert got == {i: sorted(range(90), key=lambda c: (-dot(x[i], x[c]), c))[:5] for i in range(0, 90, 7)}
+    assert score.nearest(q, v.limit(0), 5).count() == 0
+
+
+def test_a_saved_index_is_reused(spark, corpus, tmp_path):
+    texts, ix = corpus
+    made = []
+
+    def make():
+        made.append(1)
+        return ix
+
+    first = index.reused(spark, str(tmp_path), "abc", make)
+    again = index.reused(spark, str(tmp_path), "abc", make)
+    assert made == [1] and again.n == 40 and again.avgdl == first.avgdl
+    q = spark.createDataFrame([(1, "title of the data")], "query_id long, raw string")
+    rows = lambda i: sorted(map(str, retrieve.retrieve(q, i)[0].collect()))
+    assert rows(again) == rows(ix)
+
+
+def test_vectors_of_a_model_get_unit_length(spark):
+    v = hooks.embed(spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, text string"), hooks.stub_embed(6), keys=["k"])
+    assert all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-6 for r in v.collect())
+
+
+def test_models_load_once_a_process(spark, tmp_path):
+    import os
+    import uuid
+
+    at = str(tmp_path)
+
+    def load():
+        open(os.path.join(at, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return lambda texts: ["x"] * len(texts)
+
+    df = spark.range(40).select(F.col("id").cast("string").alias("prompt")).repartition(16)
+    assert hooks.answer(df, load).where("answer = 'x'").count() == 40
+    assert hooks.answer(df, load).count() == 40
+    loads = [n.split("-")[0] for n in os.listdir(at)]
+    assert len(loads) == len(set(loads)) > 0
+
+
+def test_pdf_hook_to_chunks(spark):
+    content = b"First line. It goes on.\n| a | b |\n| 1 | 2 |\fSecond page."
+    files = spark.createDataFrame([("d.pdf", bytearray(content)), ("bad.pdf", None)], "source string, content binary")
+    pages = hooks.pdf(files, keys=["source"])
+    assert pages.where("source = 'bad.pdf'").first()["page"] is None
+    text = extract.block_text(hooks.blocks_of(pages, ["source"]))
+    whole = extract.assemble(text, extract.page_tables(hooks.tables_of(pages, ["source"])))
+    got = {r["page"]: r["text"] for r in whole.collect()}
+    assert got == {1: "First line. It goes on.\n\n\n[TABLE]\n| a | b |\n| - | - |\n| 1 | 2 |\n[/TABLE]", 2: "Second page."}
+    assert chunk.chunk_pages(whole).count() == 2
+
+
 def test_a_single_page_source_returns_everything():
     assert rank.depth("specific", 50, 3, True, 2) == (50, 50)
     assert rank.depth("specific", 50, 3, True, 2, strict_top_k=True) == (20, 2)
