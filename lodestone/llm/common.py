@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lodestone.sources.shared import work_dir
+from lodestone.sources.shared import delete_path, scratch
 
 #: Text bytes handled at once inside a Python worker; a longer text is handled alone.
 PIECE_BYTES = 2_000_000
@@ -19,33 +17,6 @@ PIECE_BYTES = 2_000_000
 # ---------------------------------------------------------------- shared tables
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-_kept: list[tuple[SparkSession, str]] = []
-
-
-def _clear() -> None:
-    for spark, path in _kept:
-        try:
-            delete_path(spark, path)
-        except Exception:  # the context is gone; the folder's owner clears it
-            return
-
-
-atexit.register(_clear)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder, cleared when the driver's Python ends."""
-    path = f"{work_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    _kept.append((spark, path))
-    return path
-
-
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: lineage is cut,
     and a lost executor loses nothing. Returns the table and its path. Tables

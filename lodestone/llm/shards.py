@@ -32,6 +32,8 @@ from lodestone.llm.common import materialize
 
 #: Rows of a block.
 BLOCK = 4096
+#: The most files whose table is sent to all tasks, some 20 MB; with more it is joined by file.
+MOST_SENT = 100_000
 
 
 def fewest_bytes(supply: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
@@ -227,6 +229,7 @@ def placed(documents: DataFrame, made: Plan, old_shards: int, old_col: str | Non
     kept = [c for c in documents.columns if c.lower() not in ("shard", "slot")]
     rows = documents.select(*[f"`{c}`" for c in kept], *_places(old_shards, old_col))
     table = spark.createDataFrame(list(made.segments.items()), "__file string, segments array<struct<end:long,shard:int,shift:long>>")
+    table = F.broadcast(table) if len(made.segments) <= MOST_SENT else table
     own = F.element_at(F.filter("segments", lambda s: F.col("__row") < s["end"]), 1)
     return rows.join(table, "__file").withColumn("__s", own).select(*[f"`{c}`" for c in kept], "__old", F.col("__s.shard").alias("shard"), (F.col("__row") + F.col("__s.shift")).alias("slot"))
 
