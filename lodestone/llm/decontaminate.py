@@ -7,10 +7,11 @@ it says 0, the bucket of patterns that end in that block is compared, first by
 all word hashes, then byte for byte. All texts of a piece are searched at once:
 many cursors jump through the words, each by its own shifts.
 
-The benchmark is read in blocks of at most `max_windows` windows. Each block's
-tables go to the executors with the code (a proven size), and one more pass in
+The benchmark's windows are cut and made distinct on the executors, each with the set of its
+items. They are then read in blocks of at most `max_windows`, one at a time on the driver; a
+block's tables go to the executors with the code (a proven size), and one more pass in
 the same stage searches them, so a benchmark of any size is searched without a
-shuffle.
+shuffle of documents.
 
 Defined results: a null or empty text has no words and no hits; an item without
 words has no window; repeated items and items with equal windows all count, by
@@ -33,8 +34,8 @@ from pyspark.sql import types as T
 from lodestone.llm.common import SPACES, Words, arrow_map, byte_table, mix, text_bytes
 
 WINDOW = 10
-#: Windows in one block of the benchmark: about 30 MB of tables.
-MAX_WINDOWS = 100_000
+#: Windows in one block of the benchmark: about 60 MB of tables.
+MAX_WINDOWS = 200_000
 
 #: Word bytes: digits, letters (A-Z folded), and all beyond ASCII.
 TABLE = byte_table([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)], lower=True)
@@ -54,13 +55,14 @@ RESULT = T.StructType(
 class Patterns:
     """Wu-Manber tables for patterns of one length."""
 
-    def __init__(self, length: int, hashes: np.ndarray, words: list[tuple[bytes, ...]], items: list[list[str]]):
+    def __init__(self, length: int, hashes: np.ndarray, words: list[bytes], items: list[list[str]]):
+        """words: each pattern's words, joined by one space."""
         self.length, self.words, self.items = length, words, items
         self.block = min(2, length)
         blocks = [self.blocks(hashes, j) for j in range(self.block - 1, length)]
         bits = max(10, int(np.ceil(np.log2(max(1, hashes.shape[0] * len(blocks))))) + 3)
         self.down = np.uint64(64 - bits)
-        self.shift = np.full(1 << bits, length - self.block + 1, np.int32)
+        self.shift = np.full(1 << bits, length - self.block + 1, np.int16)
         for k, b in enumerate(blocks):
             np.minimum.at(self.shift, (b >> self.down).astype(np.int64), len(blocks) - 1 - k)
         order = np.argsort(blocks[-1], kind="stable")
@@ -105,35 +107,38 @@ class Patterns:
         for j in range(m):
             same &= h[start + j] == self.hashes[pattern, j]
         for i, p in zip(start[same].tolist(), self.order[pattern[same]].tolist(), strict=True):
-            if tuple(folded[w.starts[i] : w.ends[i + m - 1]].split(b" ")) == self.words[p] or self.compare(w, folded, i, p):
+            if b" ".join(folded[w.starts[i] : w.ends[i + m - 1]].split()) == self.words[p]:
                 yield i, p
 
-    def compare(self, w: Words, folded: bytes, i: int, p: int) -> bool:
-        return all(folded[s:e] == x for s, e, x in zip(w.starts[i : i + self.length], w.ends[i : i + self.length], self.words[p], strict=True))
-
 
 _FOLD = np.where(TABLE == 0, 32, TABLE - 1).astype(np.uint8)
 
 
-def windows(items: list[tuple[str | None, str | None]], n: int) -> Iterator[tuple[tuple[bytes, ...], str | None]]:
-    """Windows of n consecutive words of each item (one of all its words, if they are fewer)."""
-    for item, text in items:
-        raw = np.frombuffer((text or "").encode("utf-8"), np.uint8)
-        words = _FOLD[raw].tobytes().split(b" ")
-        words = [x for x in words if x]
-        for i in range(max(1, len(words) - n + 1) if words else 0):
-            yield tuple(words[i : i + n]), item
+def windows(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
+    """(length, window, items): the distinct windows of n consecutive words of all items (one of all its words, if
+    they are fewer), words joined by one space, with the ids of their items, sorted."""
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = _FOLD[np.frombuffer((text or "").encode("utf-8"), np.uint8)].tobytes().split()
+                found = list({b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1) if words else 0)})
+                lengths = [min(n, len(words))] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int32()), pa.array(found, pa.binary()), pa.array([item] * len(found), pa.string())], names=["length", "window", "item"])
+
+    return items.mapInArrow(run, "length int, window binary, item string").groupBy("length", "window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def build(found: dict[tuple[bytes, ...], list[str]]) -> list[Patterns]:
-    by_length: dict[int, list[tuple[bytes, ...]]] = {}
-    for key in found:
-        by_length.setdefault(len(key), []).append(key)
+def build(found: list[tuple[int, bytes, list[str]]]) -> list[Patterns]:
+    by_length: dict[int, list[tuple[bytes, list[str]]]] = {}
+    for length, window, items in found:
+        by_length.setdefault(length, []).append((window, items))
     out = []
-    for length, keys in sorted(by_length.items()):
-        flat = b"".join(x + b" " for k in keys for x in k)
-        hashes = Words(np.frombuffer(flat, np.uint8), np.array([0, len(flat)]), byte_table(SPACES)).hashes.reshape(len(keys), length)
-        out.append(Patterns(length, hashes, keys, [found[k] for k in keys]))
+    for length, rows in sorted(by_length.items()):
+        flat = b" ".join(w for w, _ in rows)
+        hashes = Words(np.frombuffer(flat, np.uint8), np.array([0, len(flat)]), byte_table(SPACES)).hashes.reshape(len(rows), length)
+        out.append(Patterns(length, hashes, [w for w, _ in rows], [i for _, i in rows]))
     return out
 
 
@@ -150,22 +155,19 @@ def search(
     """Add n_words, hit_spans (word ranges inside occurrences, disjoint, in order)
     and item_ids (sorted strings) to every document."""
     keep = documents.columns if keep is None else keep
-    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").alias("text"))
     out, first = documents, True
-    block: dict[tuple[bytes, ...], list[str]] = {}
+    block: list[tuple[int, bytes, list[str]]] = []
     carry = [c for c in dict.fromkeys([*keep, text_col])]
-    for key, item in windows(((r["item"], r["text"]) for r in items.toLocalIterator()), window):
-        named = block.setdefault(key, [])
-        if item is not None and item not in named:
-            named.append(item)
+    for r in windows(benchmark, item_col, item_text_col, window).toLocalIterator():
+        block.append((r["length"], bytes(r["window"]), r["items"]))
         if len(block) >= max_windows:
-            out, first, block = _scan(out, block, text_col, carry, first), False, {}
+            out, first, block = _scan(out, block, text_col, carry, first), False, []
     if block or first:
         out = _scan(out, block, text_col, carry, first)
     return out.select(*[f"`{c}`" for c in keep if c.lower() not in {f.name for f in RESULT}], *[F.col(f"__{f.name}").alias(f.name) for f in RESULT])
 
 
-def _scan(df: DataFrame, block: dict, text_col: str, carry: list[str], first: bool) -> DataFrame:
+def _scan(df: DataFrame, block: list, text_col: str, carry: list[str], first: bool) -> DataFrame:
     tables = build(block)
     new = T.StructType([T.StructField(f"__{f.name}", f.dataType) for f in RESULT])
     before = [] if first else [f"__old_{f.name}" for f in RESULT]
