@@ -558,6 +558,23 @@ def test_html_on_odd_tables(spark, none):
 # --------------------------------------------------------------------- vectors
 
 
+def test_vectors_that_share_an_id_keep_their_links(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.05, 0.0]), (3, [0.0, 1.0, 0.05])]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
+def test_strips_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "STRIP_BYTES", 16 * 4 * 20)
+    r = np.random.default_rng(2)
+    base = r.normal(size=(10, 16))
+    x = (np.repeat(base, 20, axis=0) + 0.15 * r.normal(size=(200, 16))).astype(np.float32)
+    got = {q["vec_id"]: q["n_links"] for q in vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    want = ((u @ u.T) >= 0.9).sum(axis=1) - 1
+    assert [got[i] for i in range(200)] == want.tolist() and want.max() > 0
+
+
 def test_vectors_equal_brute_force(spark):
     r = np.random.default_rng(7)
     base = r.normal(size=(12, 16))
@@ -596,7 +613,7 @@ def test_error_bound_holds():
 
 
 def test_vectors_over_many_strips(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "LEAST_STRIP", 8)
+    monkeypatch.setattr(vectors, "STRIP_BYTES", 8 * 8 * 4)
     monkeypatch.setattr(vectors, "TILE", 8)
     r = np.random.default_rng(9)
     x = np.repeat(r.normal(size=(6, 8)), 12, axis=0) + 0.05 * r.normal(size=(72, 8))
