@@ -7,8 +7,9 @@ equal anchors, so an anchor's count bounds its windows' counts from above.
 
 1. Every partition builds a count-min sketch of its anchors; the sketches are
    merged by ranges of cells into bits "two or more". The sketch grows with the
-   anchors up to `max_bits` cells a row, so the bits sent out have a fixed bound
-   (2 x 32 MB); beyond it more windows pass, none is lost.
+   anchors. Up to `2 ** max_bits` cells a row its bits are sent out (a fixed bound,
+   2 x 32 MB); a larger one stays in partitions, by cell, and the anchors of its
+   cells of two or more go back to their documents by joins.
 2. Runs whose anchor may repeat are grouped exactly, by a 128-bit digest of their
    words, to the smallest doc_id. Where an anchor has several different runs, one
    document shows each run's windows; a second sketch of the same kind counts those, and the
@@ -156,9 +157,14 @@ class Bits:
         return ok
 
 
+def sketched(sketches: DataFrame) -> int:
+    """How many keys the partitions' sketches hold: equal ones of a partition once."""
+    return sketches.where("line = 0").agg(F.sum("keys")).first()[0] or 0
+
+
 def merged_bits(sketches: DataFrame) -> Bits:
-    """Merge partition sketches, range by range."""
-    total = sketches.where("line = 0").agg(F.sum("keys")).first()[0] or 0
+    """Merge partition sketches, range by range. With more keys than MAX_BITS is made for, more pass, none is lost."""
+    total = sketched(sketches)
     bits = min(MAX_BITS, max(16, int(np.ceil(np.log2(max(1, total) * CELLS_AN_ANCHOR)))))
     fold, size = MAX_BITS - bits, 1 << (bits - _RANGE_BITS)
 
@@ -181,16 +187,50 @@ def merged_bits(sketches: DataFrame) -> Bits:
     return Bits(sketches.sparkSession.sparkContext.broadcast(out), bits)
 
 
-def repeated_runs(documents: DataFrame, doc_col: str, text_col: str, sent: Bits, window: int, gram: int) -> DataFrame:
-    """Runs whose anchor may repeat, with the digest of their words and their windows' hashes."""
+def keyed(documents: DataFrame, doc_col: str, text_col: str) -> DataFrame:
+    """(doc, tkey, text) of the rows with an id."""
+    some = documents.where(F.col(f"`{doc_col}`").isNotNull())
+    return some.select(F.col(f"`{doc_col}`").cast("long").alias("doc"), F.xxhash64(f"`{text_col}`").alias("tkey"), F.col(f"`{text_col}`").alias("text"))
+
+
+def partitioned_sketch(documents: DataFrame, bits: int, window: int, gram: int) -> DataFrame:
+    """(doc, tkey, anchors): each document's anchors in cells that count two or more, of a sketch of 2 ** bits
+    cells that lies in partitions by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text", 2_000_000):
+                w = Words(*text_bytes(part.column(2)), TABLE)
+                anchor, first, _ = runs(w, window, gram)
+                doc = pa.array(w.doc[first])
+                cell = (mix(anchor ^ np.uint64(_SEEDS[0])) >> np.uint64(64 - bits)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array(anchor.view(np.int64)), pa.array(cell)], names=["doc", "tkey", "anchor", "cell"])
+
+    placed, path = materialize(documents.mapInArrow(run, "doc long, tkey long, anchor long, cell long"), "anchors")
+    full = redealt(placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"))
+    lists, _ = materialize(placed.join(full, "cell").groupBy("doc", "tkey").agg(F.collect_set("anchor").alias("anchors")), "anchor_lists")
+    delete_path(documents.sparkSession, path)
+    return lists
+
+
+def repeated_runs(documents: DataFrame, sent: Bits | None, window: int, gram: int) -> DataFrame:
+    """Runs whose anchor may repeat, with the digest of their words and their windows' hashes.
+    documents: (doc, tkey, text), and their anchors if no bits are sent."""
     schema = "doc long, tkey long, first int, n int, anchor long, run binary, windows array<long>"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", 2_000_000):
                 data, offsets = text_bytes(part.column(2))
                 w = Words(data, offsets, TABLE)
                 anchor, first, n = runs(w, window, gram)
-                ok = sent.may_repeat(anchor)
+                if sent is not None:
+                    ok = sent.may_repeat(anchor)
+                else:
+                    own = part.column(3)
+                    of = np.repeat(np.arange(part.num_rows, dtype=np.uint64), own.value_lengths().to_numpy())
+                    passing = mix(own.flatten().to_numpy().view(np.uint64) ^ mix(of))
+                    ok = np.isin(mix(anchor ^ mix(w.doc[first].astype(np.uint64))), passing)  # a collision only lets one more pass
                 anchor, first, n = anchor[ok], first[ok], n[ok]
                 if not len(first):
                     continue
@@ -213,14 +253,19 @@ def repeated_runs(documents: DataFrame, doc_col: str, text_col: str, sent: Bits,
                     names=["doc", "tkey", "first", "n", "anchor", "run", "windows"],
                 )
 
-    keyed = documents.where(F.col(f"`{doc_col}`").isNotNull())
-    return keyed.select(F.col(f"`{doc_col}`").cast("long").alias("doc"), F.xxhash64(f"`{text_col}`").alias("tkey"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
+    return documents.mapInArrow(run, schema)
 
 
 def removed_ranges(documents: DataFrame, doc_col: str, text_col: str, window: int, gram: int) -> DataFrame:
     """(doc, tkey, ranges): word ranges that windows of smaller documents cover."""
     sketches, sketch_path = materialize(anchor_sketch(documents, text_col, window, gram), "anchor_sketches")
-    rows, rows_path = materialize(repeated_runs(documents, doc_col, text_col, merged_bits(sketches), window, gram), "runs")
+    texts, total = keyed(documents, doc_col, text_col), sketched(sketches)
+    if total * CELLS_AN_ANCHOR <= 1 << MAX_BITS:
+        found = repeated_runs(texts, merged_bits(sketches), window, gram)
+    else:
+        lists = partitioned_sketch(texts, min(60, (total * CELLS_AN_ANCHOR - 1).bit_length()), window, gram)
+        found = repeated_runs(texts.join(lists, ["doc", "tkey"]), None, window, gram)
+    rows, rows_path = materialize(found, "runs")
     classes, classes_path = materialize(rows.groupBy("anchor", "run").agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "run_classes")
 
     # anchors of several different runs: one document shows each run's windows

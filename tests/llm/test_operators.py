@@ -698,7 +698,9 @@ def brute_removal(rows, n):
     return out
 
 
-def test_removal_equals_brute_force(spark, odd, none):
+@pytest.mark.parametrize("cells", [8, 1 << 24])  # the sketch is sent out, and too large for it
+def test_removal_equals_brute_force(spark, odd, none, monkeypatch, cells):
+    monkeypatch.setattr(substrings, "CELLS_AN_ANCHOR", cells)
     r = random.Random(11)
     passages = [prose(100 + k, 90) for k in range(6)]
     rows = [(20 + i, " ".join(itertools.chain.from_iterable((prose(i * 31 + k, r.randrange(0, 60)), r.choice(passages)[r.randrange(40) :]) for k in range(3))), "en") for i in range(60)]
@@ -710,7 +712,9 @@ def test_removal_equals_brute_force(spark, odd, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
-def test_sketch_loses_no_repeat(spark):
+@pytest.mark.parametrize("cells", [8, 1 << 24])
+def test_sketch_loses_no_repeat(spark, monkeypatch, cells):
+    monkeypatch.setattr(substrings, "CELLS_AN_ANCHOR", cells)
     docs = spark.createDataFrame([(i, prose(i % 40, 150), "") for i in range(80)], ROW)
     got = substrings.remove_repeats(docs).where("doc_id >= 40").collect()
     assert all(r["n_removed"] == r["n_words"] == 150 for r in got)
