@@ -4,8 +4,9 @@ Each piece of a partition collects its distinct pre-tokens, lays their symbols
 out in one array with left/right links, and indexes every adjacent pair that has
 a merge rank by all its positions. A heap holds the active ranks; the lowest is
 taken, all its occurrences are merged, and only the lists of pairs next to a
-merge are updated. Results are kept in a bounded cache per worker, so a word's
-merges run about once a task, not once an occurrence.
+merge are updated. Results are kept in a cache per worker, bounded in bytes, of two
+generations: words not met for a generation go, so a frequent word's
+merges run about once a worker, not once an occurrence.
 
 Defined results: a null text encodes as the empty text (no ids, decoded "");
 texts are handled whole, whatever their length; rows with equal texts get equal
@@ -29,8 +30,9 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import arrow_map
 
-#: Distinct chunks (runs without white space) whose ids a worker keeps; on overflow it starts anew.
-CACHE_WORDS = 250_000
+#: Bytes of chunks (runs without white space) and their ids in one generation of a worker's cache, with
+#: `ENTRY_BYTES` for each entry; chunks longer than `LONG_CHUNK` characters are not kept.
+CACHE_BYTES, ENTRY_BYTES, LONG_CHUNK = 40_000_000, 200, 1000
 
 #: Rows decoded at once.
 DECODE_ROWS = 500
@@ -39,7 +41,7 @@ DECODE_ROWS = 500
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BLANKS = regex.compile(f"[{WHITE}]+")
 #: str.split() would also split at these, which are not white space here.
-_NOT_WHITE = ("\x1c", "\x1d", "\x1e", "\x1f")
+_NOT_WHITE = regex.compile("[\x1c-\x1f]")
 
 
 def byte_symbols() -> list[str]:
@@ -63,6 +65,8 @@ class Vocabulary:
         self.tokens = [named.get(i) for i in range(max(named) + 1)]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.split = regex.compile(split.replace(r"\s", WHITE))
+        self.split_lines = regex.compile(f"(?:{self.split.pattern})|\n")
+        self.by_lines = not any("\n" in t for t in self.split.findall("a\n1\n.\n\n b"))  # no pre-token crosses a line
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.merges: dict[tuple[int, int], int] = {}
         self.made: list[tuple[int, int, int]] = []  # by rank: left, right, result
@@ -78,12 +82,26 @@ class Vocabulary:
         bytes_as = byte_symbols()
         self.inner = np.array([self.ids.get(s, -1) for s in bytes_as], np.int32)
         self.final = np.array([self.ids.get(s + self.suffix, -1) for s in bytes_as], np.int32)
-        self.cache: dict[str | int, bytes] = {}
+        self.young: dict[str, bytes] = {}  # the cache's two generations
+        self.old: dict[str, bytes] = {}
+        self.young_bytes = 0
+
+    def split_chunks(self, chunks: list[str]) -> list[list[str]]:
+        """Normalised pre-tokens of each chunk."""
+        lines = "\n".join(chunks)
+        unknown = set() if lines.isascii() else {c for c in set(lines) if unicodedata.category(c) == "Cn"}
+        if unknown or not self.by_lines:  # few have any
+            return [self.pre_tokens(c) if unknown & set(c) else self.split.findall(self.normalize(c)) for c in chunks]
+        out: list[list[str]] = [[]]
+        for token in self.split_lines.findall(self.normalize(lines)):
+            if token == "\n":
+                out.append([])
+            else:
+                out[-1].append(token)
+        return out
 
     def pre_tokens(self, chunk: str) -> list[str]:
-        """Normalised pre-tokens of a chunk."""
-        if chunk.isascii() or not any(unicodedata.category(c) == "Cn" for c in chunk):
-            return self.split.findall(self.normalize(chunk))
+        """Normalised pre-tokens of a chunk with letters that Python's tables don't know."""
         from tokenizers.normalizers import Lowercase  # its tables know letters that Python's do not
 
         text = Lowercase().normalize_str(unicodedata.normalize("NFC", chunk))
@@ -97,7 +115,7 @@ class Vocabulary:
 
     def chunks(self, text: str) -> list[str | int]:
         """Runs without white space, in order (no pre-token crosses white space); an int is a special token's id."""
-        if any(c in text for c in _NOT_WHITE):
+        if _NOT_WHITE.search(text):
             text = _BLANKS.sub(" ", text)
             whole = lambda t: [c for c in t.split(" ") if c]
         else:
@@ -112,12 +130,12 @@ class Vocabulary:
                 out.extend(whole(part))
         return out
 
-    def learn_chunks(self, chunks: list[str]) -> None:
-        """Put the packed ids of chunks into the cache."""
-        split = [self.pre_tokens(c) for c in chunks]
+    def learn_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """The packed ids of chunks."""
+        split = self.split_chunks(chunks) if chunks else []
         words = list({w for s in split for w in s})
         learned = dict(zip(words, self.merge_words(words) if self.ordered else self.merge_in_turn(words), strict=True))
-        self.cache.update((c, b"".join([learned[w] for w in s])) for c, s in zip(chunks, split, strict=True))
+        return {c: learned[s[0]] if len(s) == 1 else b"".join([learned[w] for w in s]) for c, s in zip(chunks, split, strict=True)}
 
     def lay_out(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """First symbols of all words on end, and where each word begins."""
@@ -249,16 +267,32 @@ class Vocabulary:
         """Packed little-endian ids of each text."""
         split = [self.chunks(t) if t else [] for t in texts]
         fresh = set().union(*split)
-        new = [c for c in fresh if c not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(fresh)
-        for i in self.special.values():
-            self.cache[i] = int(i).to_bytes(4, "little")
-        self.learn_chunks([c for c in new if isinstance(c, str)])
-        get = self.cache.__getitem__
+        known: dict[str | int, bytes] = {i: int(i).to_bytes(4, "little") for i in self.special.values()}
+        missed = []
+        for c in fresh.difference(known):
+            found = self.young.get(c)
+            if found is None:
+                found = self.old.get(c)
+                if found is None:
+                    missed.append(c)
+                    continue
+                self.keep(c, found)
+            known[c] = found
+        learned = self.learn_chunks(missed)
+        for c, found in learned.items():
+            self.keep(c, found)
+        known |= learned
+        get = known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
+    def keep(self, chunk: str, packed: bytes) -> None:
+        if len(chunk) > LONG_CHUNK:
+            return
+        if self.young_bytes > CACHE_BYTES:
+            self.old, self.young, self.young_bytes = self.young, {}, 0
+        self.young[chunk] = packed
+        self.young_bytes += len(chunk) + len(packed) + ENTRY_BYTES
+
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, as the library does for a file without a decoder; unknown ids are left out."""
         try:
@@ -284,9 +318,10 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, ids_col: str = "ids", packed: bool = False) -> DataFrame:
+def encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, ids_col: str = "ids", packed: bool = False, decoded_col: str | None = None) -> DataFrame:
     """Add the ids of each whole text: array<int>, or if packed one binary of
-    little-endian unsigned 32-bit integers. path is the tokenizer's file, present
+    little-endian unsigned 32-bit integers; and if decoded_col is given the text that the ids
+    stand for, in the same pass. path is the tokenizer's file, present
     on every machine (it comes with an installed package)."""
 
     def make():
@@ -294,15 +329,17 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | N
 
         def work(part: pa.RecordBatch) -> list:
             ids = v.encode_batch(part.column(part.schema.get_field_index(text_col)).to_pylist())
+            texts = [] if decoded_col is None else [pa.array([v.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.string())]
             if packed:
-                return [pa.array(ids, pa.binary())]
+                return [pa.array(ids, pa.binary()), *texts]
             sizes = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            return [pa.ListArray.from_arrays(sizes, pa.array(np.frombuffer(b"".join(ids), "<i4")))]
+            return [pa.ListArray.from_arrays(sizes, pa.array(np.frombuffer(b"".join(ids), "<i4"))), *texts]
 
         return work
 
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
-    return arrow_map(df, text_col, df.columns if keep is None else keep, T.StructType([T.StructField(ids_col, kind)]), make, 3_000_000)
+    new = [T.StructField(ids_col, kind), *([] if decoded_col is None else [T.StructField(decoded_col, T.StringType())])]
+    return arrow_map(df, text_col, df.columns if keep is None else keep, T.StructType(new), make, 3_000_000)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: list[str] | None = None, out_col: str = "decoded") -> DataFrame:

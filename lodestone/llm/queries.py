@@ -23,8 +23,7 @@ def tokenizer_path() -> str:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    ids = bpe.encode(docs, tokenizer_path(), keep=["doc_id"], packed=True)
-    both = bpe.decode(ids, tokenizer_path(), keep=["doc_id", "ids"])
+    both = bpe.encode(docs, tokenizer_path(), keep=["doc_id"], packed=True, decoded_col="decoded")
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -61,6 +61,24 @@ def test_bpe_equals_the_library(spark, odd):
         assert r["decoded"] == tok.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_on_random_text_with_a_small_cache(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "LONG_CHUNK", 12)
+    v, tok, r = bpe.Vocabulary(tokenizer_path()), library(), random.Random(17)
+    alphabet = ["a", "B", "é", "e\u0301", "Σ", "σ", "İ", "1", "½", " ", "\n", "\u00a0", "\x1c", "'s", ".", "!!", "漢", "\u0378", "\u1c89", "😀", "the ", "training", "<|endoftext|>", "x" * 40]
+    for _ in range(60):
+        texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(30))) for _ in range(40)] + [None, ""]
+        got = v.encode_batch(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert v.old and v.young_bytes < 40_000 and all(len(c) <= 12 for c in v.young)
+
+
+def test_bpe_decodes_in_the_same_pass(spark, odd):
+    both = bpe.encode(odd, tokenizer_path(), keep=["doc_id", "lang"], packed=True, decoded_col="lang").collect()
+    apart = bpe.decode(bpe.encode(odd, tokenizer_path(), keep=["doc_id"], packed=True), tokenizer_path(), out_col="lang").collect()
+    assert sorted((str(r["doc_id"]), bytes(r["ids"]), r["lang"]) for r in both) == sorted((str(r["doc_id"]), bytes(r["ids"]), r["lang"]) for r in apart)
+
+
 def test_bpe_both_orders_of_merging_agree():
     v = bpe.Vocabulary(tokenizer_path())
     r = random.Random(5)

@@ -72,4 +72,4 @@ def test_digest_columns(spark):
 def test_ten_operators_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
-    assert bpe.CACHE_WORDS > 0
+    assert bpe.CACHE_BYTES > 0
