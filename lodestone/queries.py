@@ -608,6 +608,13 @@ def r9(spark, sf):
     return found.select("query_id", "rank", "vector_score", "bm25_score", "final_score", "corrected_query", "source", "page", "chunk_ix", "text")
 
 
+@query("r9_retrieve_turns", f"{RETRIEVE_SQL.replace(_Q, _Q_ALL)} SELECT query_id, rank, vector_score, bm25_score, final_score, corrected_query, source, page, chunk_ix FROM found")
+def r9_turns(spark, sf):
+    """Retrieval for every user turn of the conversations too."""
+    found, _ = retrieve.retrieve(all_questions(spark, sf), built(spark, sf))
+    return found.select("query_id", "rank", "vector_score", "bm25_score", "final_score", "corrected_query", "source", "page", "chunk_ix")
+
+
 _POLICY = [(intent, n, sources, single, k) for intent in ("broad", "specific") for n in (0, 5, 100, 1000) for sources in (1, 3, 20) for single in (False, True) for k in (6, 8)]
 
 
@@ -663,12 +670,12 @@ def r13(spark, sf):
 
 # answers
 
-_AS_RESULTS = "res AS (SELECT doc_id % 50 AS query_id, source, CAST(doc_id AS BIGINT) AS page, CAST(row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id DESC) AS INTEGER) AS rank, text FROM documents)"
+_AS_RESULTS = "res AS (SELECT doc_id // 20 AS query_id, source, CAST(doc_id AS BIGINT) AS page, CAST(row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id DESC) AS INTEGER) AS rank, text FROM documents)"
 
 
 def _as_results(spark, sf):
-    """Documents as if they were ranked results of fifty questions."""
-    d = _table(spark, sf, "documents").select((F.col("doc_id") % 50).alias("query_id"), "source", F.col("doc_id").alias("page"), "text")
+    """Documents as if they were ranked results, twenty a question."""
+    d = _table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 20).alias("query_id"), "source", F.col("doc_id").alias("page"), "text")
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("page"))))
 
 
