@@ -55,22 +55,25 @@ class Side:
         u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
         self.scale = np.abs(u).max(axis=1) / 127
         self.q = np.rint(u / self.scale[:, None]).astype(np.int8)
+        # sums of products of bytes are exact in float32 up to 2^24
+        self.exact = self.q.astype(np.float32 if u.shape[1] * 127 * 127 < 1 << 24 else np.float64)
         r = u - self.scale[:, None] * self.q
         self.rest = np.sqrt((r * r).sum(axis=1)) + 1e-12
 
 
 def linked_tile(a: Side, b: Side, rows: slice, cols: slice, threshold: float) -> np.ndarray:
     """Which pairs of a tile have at least the threshold's cosine in double precision."""
-    exact = np.float32 if a.q.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    product = a.q[rows].astype(exact) @ b.q[cols].astype(exact).T
-    product *= a.scale[rows].astype(exact)[:, None]
-    product *= b.scale[cols].astype(exact)[None, :]
-    e, f = a.rest[rows], b.rest[cols]
+    product = a.exact[rows] @ b.exact[cols].T
+    e, f, s, t = a.rest[rows], b.rest[cols], a.scale[rows], b.scale[cols]
     # 3ef <= 3e*max(f): the bound splits into a row's and a column's part; 1e-5 covers float32 rounding
-    product += (e * (1 + 3 * f.max()) + 1e-5).astype(exact)[:, None]
-    product += f.astype(exact)[None, :]
-    linked = product >= threshold
-    found = int(linked.sum())
+    own = threshold - (e * (1 + 3 * f.max()) + 1e-5)
+    # what a row's product must reach at least, whatever the column; products are integers
+    least = np.where(own > f.max(), (own - f.max()) / (s * t.max()) - 0.5, -np.inf)
+    i, j = np.nonzero(product >= least.astype(product.dtype)[:, None])
+    linked = np.zeros(product.shape, bool)
+    some = product[i, j] * s[i] * t[j] + f[j] >= own[i]
+    linked[i[some], j[some]] = True
+    found = int(some.sum())
     if not found:
         return linked
     x, y = a.x[rows], b.x[cols]
