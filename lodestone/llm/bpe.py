@@ -32,7 +32,7 @@ from lodestone.llm.common import arrow_map
 
 #: Bytes of chunks (runs without white space) and their ids in one generation of a worker's cache, with
 #: `ENTRY_BYTES` for each entry; chunks longer than `LONG_CHUNK` characters are not kept.
-CACHE_BYTES, ENTRY_BYTES, LONG_CHUNK = 40_000_000, 200, 1000
+CACHE_BYTES, ENTRY_BYTES, LONG_CHUNK = 60_000_000, 200, 1000
 
 #: Rows decoded at once.
 DECODE_ROWS = 500
