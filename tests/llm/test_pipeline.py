@@ -3,6 +3,8 @@
 import hashlib
 import struct
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodestone.llm import bpe, decontaminate, jaccard, pii, quality
 from lodestone.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
@@ -52,6 +54,33 @@ def test_stages_take_nulls(spark):
         assert stage(spark, docs, SF).count() == (3 if name != "quality" else stage(spark, docs, SF).count())
 
 
+def test_stages_take_long_texts_and_clashing_columns(spark):
+    import random
+
+    r = random.Random(1)
+    long = " ".join(f"w{r.randrange(4000)}" for _ in range(200_000))
+    mail = "mail a.b@c.example.com and ip 10.0.0.1 "
+    rows = [(1, long, "en", "s", 1), (2, long + " end", "en", "s", 2), (3, mail * 20_000, "en", "s", 3), (4, "x" * 2_000_000, "en", "s", 4), (5, "1" * 1_000_000, "en", "s", 5), (6, "short text", "en", "s", 6), (6, "short text", "en", "s", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    own = ["score", "hit_spans", "n_words", "item_ids", "spans", "kept", "key", "tkey", "cls", "comp", "block", "c0", "digest", "labels"]
+    docs = docs.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in own])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(x[c] == f"{c} of {x['doc_id']}" for x in got for c in own), name
+        if name == "near_duplicates":
+            assert sorted(x["doc_id"] for x in got) == [1, 3, 4, 5, 6]
+        if name == "decontamination":
+            assert len(got) == 7
+        if name == "private_data":
+            text = {x["doc_id"]: x["text"] for x in got}
+            assert text[3] == "mail [email] and ip [ip] " * 20_000 and text[1] == long and text[5] == rows[4][1]
+            assert all(x["n_chars"] == len(x["text"]) for x in got)
+    ids = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {x["doc_id"]: x["n_tokens"] for x in ids}[1] > 200_000
+
+
 def test_digest_columns(spark):
     from tokenizers import Tokenizer
 
