@@ -625,8 +625,9 @@ _POLICY = [(intent, n, sources, single, k) for intent in ("broad", "specific") f
     "CAST(CASE WHEN single THEN n WHEN intent = 'broad' THEN least(n, k * sources) ELSE k END AS BIGINT) AS final_k FROM p",
 )
 def r8(spark, sf):
-    rows = [(*p, *rank.depth(*p)) for p in _POLICY]
-    return spark.createDataFrame(rows, "intent string, n long, sources long, single boolean, k long, fetch_k long, final_k long")
+    p = spark.createDataFrame(_POLICY, "intent string, n long, sources long, single boolean, k long")
+    fetch, final = rank.depths(*(F.col(c) for c in p.columns))
+    return p.select("*", fetch.alias("fetch_k"), final.alias("final_k"))
 
 
 _PLACED_SQL = """WITH c AS (SELECT vec_id AS chunk_ix, 's' || label AS source, CAST(vec_id % 7 + 1 AS INTEGER) AS page, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

@@ -436,6 +436,13 @@ def test_a_single_page_source_returns_everything():
     assert rank.depth("specific", 0, 0, False, 2) == (1, 2)
 
 
+def test_depths_of_rows_equal_the_policy(spark):
+    rows = [(i, n, s, one, k) for i in ("broad", "specific") for n in (0, 7, 90, 2000) for s in (1, 4) for one in (False, True) for k in (2, 8)]
+    df = spark.createDataFrame(rows, "i string, n long, s long, one boolean, k long")
+    got = df.select("*", *rank.depths(*(F.col(c) for c in df.columns))).collect()
+    assert [tuple(r)[5:] for r in got] == [rank.depth(*r) for r in rows]
+
+
 def test_ties_rank_by_larger_index_and_nothing_is_lost(spark):
     chunks = chunk_rows(spark, ["t"] * 6, source=list("aabbcc"), pages=[1] * 6)
     s = chunks.select(F.lit(1).alias("query_id"), "chunk_ix", F.lit(0.5).alias("combined"))
