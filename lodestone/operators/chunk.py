@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import sentences, word_count
-from lodestone.sources.shared import numbered, saved
+from lodestone.sources.shared import numbered
 
 CHUNK_WORDS, OVERLAP_WORDS = 200, 30
 
@@ -58,6 +58,6 @@ def chunk_pages(pages: DataFrame, chunk_words: int = CHUNK_WORDS, overlap_words:
 
 
 def indexed_chunks(pages: DataFrame, chunk_words: int = CHUNK_WORDS, overlap_words: int = OVERLAP_WORDS) -> DataFrame:
-    """Chunks with chunk_ix, dense from 0 by (source, page, chunk_no)."""
-    # written first: the range partitioning samples its input, and would chunk every page twice
-    return numbered(saved(chunk_pages(pages, chunk_words, overlap_words), "unnumbered_chunks"), ["source", "page", "chunk_no"], "chunk_ix")
+    """Chunks with chunk_ix, dense from 0 by (source, page, chunk_no). Pages are put in order, which
+    their chunks then have: chunks are written once and never shuffled."""
+    return numbered(pages, ["source", "page"], "chunk_ix", lambda ordered: chunk_pages(ordered, chunk_words, overlap_words))

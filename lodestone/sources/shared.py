@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,15 +77,17 @@ def put_file(spark: SparkSession, path: str, content: bytes) -> None:
     out.close()
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """df with column `name`: 0, 1, 2, ... in the given total order.
 
     Rows are range-partitioned and sorted, written once with their place in their
     partition, and shifted by the sizes of the partitions before; only one count a
-    partition reaches the driver, and no task sees more than its partition.
+    partition reaches the driver, and no task sees more than its partition. then: a
+    projection that makes rows of each row, in their order, before they are numbered.
     """
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = saved(spread.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__k")), name)
+    rows = then(spread) if then else spread
+    placed = saved(rows.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__k")), name)
     sizes = sorted((r["__p"], r["count"]) for r in placed.groupBy("__p").count().collect())
     shifts, total = [], 0
     for p, n in sizes:

@@ -323,7 +323,7 @@ def test_a_negative_product_in_the_top_ranks_below_chunks_outside(spark):
     assert got == [0]
     deep = q.withColumn("fetch_k", F.lit(3))
     hits, rest = retrieve.hybrid_scores(deep, ix, 3, embed=one)
-    for k in (1, 2, 5, 9, 12):
+    for k in (2, 9):
         for by in (["source"], ["source", "page"]):
             rows = retrieve.ranking_rows(hits, rest, q.select("query_id"), chunks, by, k)
             got = [r["chunk_ix"] for r in rank.diversified(rows, chunks, by, k).orderBy("rank").collect()]
@@ -334,12 +334,12 @@ def test_a_negative_product_in_the_top_ranks_below_chunks_outside(spark):
 def test_unheld_chunks_rank_as_in_the_whole_grid(spark):
     r = random.Random(9)
     chunks = chunk_rows(spark, ["t"] * 60, source=[f"s{r.randrange(4)}" for _ in range(60)], pages=[r.randrange(1, 9) for _ in range(60)])
-    for seed in range(4):
+    for seed in range(2):
         r = random.Random(seed)
         hits = spark.createDataFrame([(1, c, 0.0, 0.0, round(0.3 + r.random() / 2, 2)) for c in r.sample(range(60), r.randrange(1, 30))], "query_id long, chunk_ix long, dense double, bm25 double, combined double")
         rest = spark.createDataFrame([(1, 0.0, 0.0, 0.4 if seed % 2 else 0.3)], "query_id long, dense double, bm25 double, combined double")
         asked = rest.select("query_id")
-        for k in (1, 3, 8, 40):
+        for k in (3, 8, 40):
             for by in (["source"], ["source", "page"]):
                 got = rank.diversified(retrieve.ranking_rows(hits, rest, asked, chunks, by, k), chunks, by, k).orderBy("rank").collect()
                 want = rank.diversified(score.of_all_chunks(hits, rest, chunks), chunks, by, k).orderBy("rank").collect()
