@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, html_text, jaccard, licences, pii, quality, shards, substrings, vectors
+from lodestone.llm import bpe, decontaminate, html_text, jaccard, licences, pii, quality, shards, substrings, vectors, whitening
 from lodestone.llm.common import scratch
 from lodestone.sources.shared import spread_small
 
@@ -208,6 +208,10 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (k) LEFT JOIN comp USING (do
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_compression": op2_compression,
@@ -219,5 +223,6 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_sentence_rules": op9_sentence_rules,
     "op10_jaccard": op10_jaccard,
+    "op12_whitening": op12_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op6_int8_tiles": OP6_SQL, "op7_wu_manber": OP7_SQL, "op8_substrings": OP8_SQL, "op9_sentence_rules": _op9_sql(), "op10_jaccard": OP10_SQL}
