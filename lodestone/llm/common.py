@@ -129,25 +129,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin and end, from which bytes are inside of one, and the word index at which each text begins."""
+    begins, ends = inside.copy(), inside.copy()
+    if len(inside):
+        begins[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        first = offsets[:-1][offsets[:-1] < offsets[1:]]
+        begins[first] = inside[first]
+        last = offsets[1:][offsets[:-1] < offsets[1:]] - 1
+        ends[last] = inside[last]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
+
+
 class Words:
     """Words of many texts: byte spans, hashes and the text each belongs to."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
         """table: for each byte, 0 for a separator, else the word byte's code from 1."""
         self.codes = table[data]
-        inside = self.codes != 0
         n = len(data)
-        begins, ends = inside.copy(), inside.copy()
-        if n:
-            begins[1:] &= ~inside[:-1]
-            ends[:-1] &= ~inside[1:]
-            first = offsets[:-1][offsets[:-1] < offsets[1:]]
-            begins[first] = inside[first]
-            last = offsets[1:][offsets[:-1] < offsets[1:]] - 1
-            ends[last] = inside[last]
-        self.starts = np.flatnonzero(begins)
-        self.ends = np.flatnonzero(ends) + 1
-        self.first = np.searchsorted(self.starts, offsets)  # word index at which each text begins
+        self.starts, self.ends, self.first = word_spans(self.codes != 0, offsets)
         self.counts = np.diff(self.first)
         if len(self.starts):
             r, inv = _powers(n)

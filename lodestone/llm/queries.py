@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, html_text, jaccard, licences, pii, quality, shards, substrings, vectors, whitening
+from lodestone.llm import bpe, decontaminate, html_text, jaccard, licences, pii, quality, runs, shards, substrings, vectors, whitening
 from lodestone.llm.common import scratch
 from lodestone.sources.shared import spread_small
 
@@ -212,6 +212,67 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_read(spark, sf_dir, "embeddings"))
 
 
+def with_periodic_ends(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the texts, by doc_id, with a part of their words repeated up to the end."""
+    words = F.regexp_extract_all(F.col("text"), F.lit("[^\\x20\\x09-\\x0D]+"), 0)
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w)
+        a = g % n
+        p = F.floor((n - a) / (3 + g % 8)) + 1
+        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, at(i))), " ")
+
+    changed = F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w))), 1)
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(with_periodic_ends(_read(spark, sf_dir, "documents")), keep=["doc_id"])
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    # by length falling, then start, then period: the first of the sorted
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("rest"), r["start"].alias("start"), r["period"].alias("period"))))
+    length = -F.col("best.rest")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+# crc32 of the decimal doc_id, a byte and then a bit at a time
+_CRC32 = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c : CAST(ascii(c) AS BIGINT))),
+  lambda a, b : list_reduce(list_concat([xor(a, b)], list_transform(range(8), lambda k : CAST(0 AS BIGINT))), lambda c, z : xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"""
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w, {_CRC32} AS h FROM documents),
+p AS (SELECT doc_id, w, len(w) AS n, h, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM d),
+e AS (
+  SELECT doc_id, i, w[CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END + 1] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM p)
+),
+-- equal words of a text, and stretches of them at one distance
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM m) GROUP BY doc_id, q, k),
+l AS (SELECT * FROM s WHERE length >= greatest(12, 2 * q)),
+r AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM l o WHERE o.doc_id = l.doc_id AND o.q < l.q AND o.start <= l.start AND o.start + o.length >= l.start + l.length)),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed FROM r GROUP BY doc_id),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, q) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM e ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, CAST(1000 * length // q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_compression": op2_compression,
@@ -224,5 +285,6 @@ QUERIES = {
     "op9_sentence_rules": op9_sentence_rules,
     "op10_jaccard": op10_jaccard,
     "op12_whitening": op12_whitening,
+    "op13_lyndon_runs": op13_lyndon_runs,
 }
-ORACLE_SQL: dict[str, str] = {"op6_int8_tiles": OP6_SQL, "op7_wu_manber": OP7_SQL, "op8_substrings": OP8_SQL, "op9_sentence_rules": _op9_sql(), "op10_jaccard": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_int8_tiles": OP6_SQL, "op7_wu_manber": OP7_SQL, "op8_substrings": OP8_SQL, "op9_sentence_rules": _op9_sql(), "op10_jaccard": OP10_SQL, "op13_lyndon_runs": OP13_SQL}
