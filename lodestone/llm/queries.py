@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, html_text, jaccard, licences, pii, quality, runs, shards, substrings, vectors, whitening
+from lodestone.llm import bpe, decontaminate, html_text, jaccard, licences, pii, quality, runs, secrets, shards, substrings, vectors, whitening
 from lodestone.llm.common import scratch
 from lodestone.sources.shared import spread_small
 
@@ -208,6 +208,51 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (k) LEFT JOIN comp USING (do
 """
 
 
+def op11_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def _op11_sql() -> str:
+    """From the rules in words: places by running sums, scopes by counted blank lines, links by comparing a text's parts."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    enough = {
+        "assign": f"length(regexp_extract(m, {quote(secrets.BASE['assign'])}, 2)) >= 6",
+        "identifier": "length(regexp_extract(m, '[:=]\\x20*[\"'']?([A-Za-z0-9@._-]+)$', 1)) >= 3",
+        "secret": "CASE WHEN regexp_matches(m, '[:=]') THEN length(regexp_extract(m, '[:=]\\x20*[\"'']?(.*)$', 1)) >= 4 ELSE " + " AND ".join(f"regexp_matches(m, '{c}')" for c in secrets.MIXED) + " END",
+    }
+    raw = " UNION ALL ".join(
+        f"SELECT doc_id, '{kind}' AS kind, unnest(range(len(ms))) AS k, unnest(ms) AS m, unnest(ps[:len(ms)]) AS p, {n} AS rank FROM (SELECT doc_id, regexp_extract_all(t, {quote(p)}) AS ms, string_split_regex(t, {quote(p)}) AS ps FROM d)"
+        for n, (kind, p) in enumerate((secrets.BASE | secrets.PARTS | {"break": secrets.BREAK}).items())
+    )
+    ok = " ".join(f"WHEN kind = '{k}' THEN {c}" for k, c in enough.items())
+    strong = "(" + ", ".join(quote(k) for k in secrets.BASE) + ")"
+    near = lambda a, b: f"{a}.doc_id = {b}.doc_id AND {a}.scope = {b}.scope AND {b}.s - {secrets.REACH} <= {a}.e AND {a}.s <= {b}.e + {secrets.REACH}"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+raw AS ({raw}),
+pos AS (SELECT doc_id, kind, rank, m, sum(length(p) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY k) AS e FROM raw),
+span AS MATERIALIZED (SELECT doc_id, kind, rank, e - length(m) AS s, e FROM pos WHERE CASE {ok} ELSE true END),
+part AS (SELECT span.*, (SELECT count(*) FROM span b WHERE b.doc_id = span.doc_id AND b.kind = 'break' AND b.s <= span.s) AS scope FROM span
+  WHERE kind <> 'break' AND (kind IN {strong} OR NOT EXISTS (SELECT 1 FROM span b WHERE b.doc_id = span.doc_id AND b.kind IN {strong} AND b.s < span.e AND span.s < b.e))),
+ids AS (SELECT * FROM part WHERE kind IN ('identifier', 'access')),
+sec AS (SELECT * FROM part WHERE kind IN ('secret', 'assign', 'hex')),
+held AS (SELECT * FROM sec WHERE EXISTS (SELECT 1 FROM ids WHERE {near('sec', 'ids')})),
+named AS (SELECT * FROM ids WHERE kind = 'identifier' AND EXISTS (SELECT 1 FROM sec WHERE {near('ids', 'sec')})),
+ends AS (SELECT * FROM part WHERE kind = 'endpoint' AND EXISTS (SELECT 1 FROM held WHERE {near('part', 'held')})),
+base AS (SELECT doc_id, kind, rank, s, e FROM span WHERE kind IN {strong}),
+whole AS (SELECT * FROM base UNION ALL SELECT doc_id, kind, rank, s, e FROM held WHERE kind = 'secret' UNION ALL SELECT doc_id, kind, rank, s, e FROM named UNION ALL SELECT doc_id, kind, rank, s, e FROM ends),
+n AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS b FROM base GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM whole GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN a USING (doc_id)
+"""
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_read(spark, sf_dir, "embeddings"))
 
@@ -284,7 +329,8 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_sentence_rules": op9_sentence_rules,
     "op10_jaccard": op10_jaccard,
+    "op11_credential_links": op11_credential_links,
     "op12_whitening": op12_whitening,
     "op13_lyndon_runs": op13_lyndon_runs,
 }
-ORACLE_SQL: dict[str, str] = {"op6_int8_tiles": OP6_SQL, "op7_wu_manber": OP7_SQL, "op8_substrings": OP8_SQL, "op9_sentence_rules": _op9_sql(), "op10_jaccard": OP10_SQL, "op13_lyndon_runs": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_int8_tiles": OP6_SQL, "op7_wu_manber": OP7_SQL, "op8_substrings": OP8_SQL, "op9_sentence_rules": _op9_sql(), "op10_jaccard": OP10_SQL, "op11_credential_links": _op11_sql(), "op13_lyndon_runs": OP13_SQL}
