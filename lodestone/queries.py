@@ -72,7 +72,8 @@ def asked(spark: SparkSession) -> DataFrame:
 def built(spark: SparkSession, sf: str) -> index.Index:
     """The index of sf's documents: built once for the same names and contents, then reused."""
     files = _table(spark, sf, "documents").select(F.concat_ws("/", "source", "doc_id").alias("name"), F.md5(F.encode("text", "UTF-8")).alias("doc_md5"))
-    return index.reused(spark, f"{work_dir(spark)}/lodestone", src.fingerprint(files).first()["fingerprint"], lambda: index.build(chunks(spark, sf), keep=True))
+    name = index.key(src.fingerprint(files).first()["fingerprint"], chunk_words=chunk.CHUNK_WORDS, overlap_words=chunk.OVERLAP_WORDS, embedder="hashed")
+    return index.reused(spark, f"{work_dir(spark)}/lodestone/indexes", name, lambda: index.build(chunks(spark, sf), keep=True))
 
 
 def all_questions(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +80,63 @@ def put_file(spark: SparkSession, path: str, content: bytes) -> None:
     out.close()
 
 
+@dataclass(frozen=True)
+class Entry:
+    name: str
+    is_folder: bool
+    age: float  # seconds since its last change
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def list_folder(spark: SparkSession, path: str) -> list[Entry]:
+    """What lies in a folder; nothing if there is none."""
+    at, fs = _file_system(spark, path)
+    now = time.time()
+    found = fs.listStatus(at) if fs.exists(at) else []
+    return sorted((Entry(s.getPath().getName(), s.isDirectory(), now - s.getModificationTime() / 1000) for s in found), key=lambda e: e.name)
+
+
+def write_pointer(spark: SparkSession, path: str, text: str) -> None:
+    """A small file with this text, put in place in one step: readers see the old text or the new, never a part."""
+    jvm = spark.sparkContext._jvm
+    own = f"{path}.{uuid.uuid4().hex}.new"
+    put_file(spark, own, text.encode())
+    source, target = jvm.org.apache.hadoop.fs.Path(own), jvm.org.apache.hadoop.fs.Path(path)
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    _, fs = _file_system(spark, path)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf).rename(fs.makeQualified(source), fs.makeQualified(target), over)
+
+
+def read_pointer(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or none if there is no such file."""
+    at, fs = _file_system(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def claim_file(spark: SparkSession, path: str) -> bool:
+    """Whether this call made the empty file: of all that try, one does."""
+    at, fs = _file_system(spark, path)
+    try:
+        fs.create(at, False).close()
+    except Py4JJavaError as found:
+        if "AlreadyExists" in type(found).__name__ or "AlreadyExists" in str(found.java_exception.getClass().getName()) or fs.exists(at):
+            return False
+        raise
+    return True
+
+
 def numbered(df: DataFrame, order: list[str], name: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """df with column `name`: 0, 1, 2, ... in the given total order.
 
