@@ -15,11 +15,11 @@ from lodestone.functions import questions as qf
 from lodestone.functions.lexicon import BARE_TRIGGERS, BROAD_PHRASES, STOP_WORDS, SYNONYMS, TYPOS
 from lodestone.functions.tables import is_ragged, to_markdown
 from lodestone.functions.text import sentences, tokens, word_count
-from lodestone.operators import answer, chunk, extract, hooks, index, rank, score
+from lodestone.operators import answer, chunk, extract, hooks, index, progress, rank, score, segments
 from lodestone.plans import retrieve
 from lodestone.sources import documents as src
-from lodestone.sources.shared import put_file, saved, spread_small, work_dir
-from lodestone.streaming import ingest
+from lodestone.sources.shared import numbered, put_file, saved, spread_small, work_dir
+from lodestone.streaming import chat, files, ingest
 
 # ------------------------------------------------------------------- test input
 
@@ -42,16 +42,6 @@ QUESTIONS: list[tuple[int, str]] = [
     (16, "What optimizer was used for training?"),
 ]
 
-TABLES: list[tuple[str, int, int, list[list[str | None]]]] = [
-    ("a", 1, 0, [["name", "value\nunit"], ["x", None], [" longer cell ", "1"]]),
-    ("a", 1, 1, [["only", "header"]]),
-    ("a", 2, 0, [["good", "one"], ["1", "2"]]),
-    ("a", 2, 1, [["ragged", "one"], ["1"]]),
-    ("b", 1, 0, []),
-    ("b", 2, 0, [[]]),
-]
-
-
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     return spread_small(df) if name == "documents" else df
@@ -287,6 +277,44 @@ def s6_reuse(spark, sf):
     return again.postings.select("term", "chunk_ix", "tf", "dl")
 
 
+_PARTS = "parts AS (SELECT source || '-' || CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 50 AS VARCHAR) AS name, doc_id AS page, text FROM documents)"
+
+
+def _put_parts(spark, parts, path):
+    """(name, page, text) as files: a folder a name, a line a page."""
+    lines = parts.repartition("name").sortWithinPartitions("name", "page").select("name", F.to_json(F.struct("page", "text")).alias("line"))
+    lines.write.mode("append").partitionBy("name").text(path)
+
+
+def _part_pages(files):
+    """(doc_md5, page, text) of files of such lines."""
+    line = F.explode(F.split(F.decode("content", "UTF-8"), "\n"))
+    read = files.select("doc_md5", line.alias("line")).where("line <> ''").select("doc_md5", F.from_json("line", "page long, text string").alias("r"))
+    return read.select("doc_md5", F.col("r.page").cast("int").alias("page"), "r.text")
+
+
+@query(
+    "s1_s3_stream_files",
+    f"WITH {_PARTS} SELECT name AS source, CAST(page AS INTEGER) AS page, text FROM (SELECT 'name=' || name AS name, page, text FROM parts UNION ALL SELECT 'name=copy of ' || name, page, text FROM parts WHERE ends_with(name, '-0'))",
+)
+def s1_stream(spark, sf):
+    """Files that arrive in three batches, the third of renamed ones; a batch is committed twice. No content is extracted twice, no page is there twice."""
+    base = f"{work_dir(spark)}/lodestone/files-{uuid.uuid4().hex}"
+    d = _table(spark, sf, "documents")
+    first = src.pages_of_documents(d.select("source", "doc_id", F.col("doc_id").cast("string").alias("text")))
+    parts = first.select("source", F.col("text").cast("long").alias("doc_id"), F.floor((F.col("page") - 1) / 50).alias("k")).join(d.select("doc_id", F.col("text")), "doc_id")
+    parts = saved(parts.select(F.concat_ws("-", "source", "k").alias("name"), F.col("doc_id").alias("page"), "text"), "file_parts")
+    renamed = parts.where("endswith(name, '-0')").withColumn("name", F.concat(F.lit("copy of "), "name"))
+    half = F.crc32(F.col("name")) % 2
+    for part in (parts.where(half == 0), parts.where(half == 1), renamed):
+        _put_parts(spark, part, f"{base}/in")
+        arriving = src.stream_files(spark, f"{base}/in", "*.txt", name_at=-2, files_a_batch=1_000_000)
+        files.ingest_files(arriving, f"{base}/cache", f"{base}/checkpoint", _part_pages).awaitTermination()
+    again = src.named(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(f"{base}/in"), -2)
+    files.commit(again.where("startswith(name, 'name=copy')"), 2, f"{base}/cache", _part_pages)  # as after a failure
+    return files.pages_of(spark, f"{base}/cache").withColumn("source", F.url_decode("source"))
+
+
 _STATS_SQL = f"WITH RECURSIVE {_CHUNKS}, names AS (SELECT DISTINCT source AS name FROM documents UNION ALL SELECT 'empty.pdf'), stats AS (SELECT name, count(chunk_ix) AS chunks FROM names LEFT JOIN chunks ON source = name GROUP BY name)"
 
 
@@ -366,23 +394,29 @@ def e6(spark, sf):
     return extract.page_tables(cells(spark, sf)).select("source", "page", F.explode("markdowns").alias("markdown"))
 
 
-@query(
-    "e7_ragged",
-    "SELECT * FROM (VALUES ('a', 1, 0, false, '| name        | value unit |' || chr(10) || '| ----------- | ---------- |' || chr(10) || '| x           |            |' || chr(10) || '| longer cell | 1          |'),"
-    " ('a', 1, 1, false, '| only | header |' || chr(10) || '| ---- | ------ |' || chr(10)), ('a', 2, 0, false, '| good | one |' || chr(10) || '| ---- | --- |' || chr(10) || '| 1    | 2   |'),"
-    " ('a', 2, 1, true, NULL), ('b', 1, 0, false, ''), ('b', 2, 0, false, '')) t(source, page, table_ix, ragged, markdown)",
-)
+_RAGGED = """rows AS (SELECT n_regionkey AS page, n_nationkey % 2 AS table_ix, n_nationkey % 7 = 0 AS short, n_name FROM nation),
+rag AS (SELECT page, CAST(table_ix AS INTEGER) AS table_ix, bool_or(short) AS ragged, count(*) AS n FROM rows GROUP BY ALL)"""
+
+
+def _ragged_cells(spark, sf):
+    """Two tables a region; the row of every seventh nation is too short."""
+    n = _table(spark, sf, "nation")
+    row = F.when(F.col("n_nationkey") % 7 == 0, F.array("n_name")).otherwise(F.array(F.col("n_nationkey").cast("string"), F.col("n_name")))
+    packed = n.groupBy(F.col("n_regionkey").alias("page"), (F.col("n_nationkey") % 2).cast("int").alias("table_ix")).agg(F.collect_list(row).alias("rs"))
+    return packed.select(F.lit("nation").alias("source"), "page", "table_ix", F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), "rs").alias("cells"))
+
+
+@query("e7_ragged", f"WITH {_RAGGED} SELECT page, table_ix, ragged, CASE WHEN NOT ragged THEN CAST(n + 1 AS INTEGER) END AS n_lines FROM rag")
 def e7(spark, sf):
-    t = spark.createDataFrame(TABLES, "source string, page int, table_ix int, cells array<array<string>>")
     bad = is_ragged(F.col("cells"))
-    return t.select("source", "page", "table_ix", bad.alias("ragged"), F.when(~bad, to_markdown(F.col("cells"))).alias("markdown"))
+    t = _ragged_cells(spark, sf).select("page", "table_ix", bad.alias("ragged"), F.when(~bad, to_markdown(F.col("cells"))).alias("md"))
+    return t.select("page", "table_ix", "ragged", (F.size(F.split("md", "\n")) - 1).alias("n_lines"))
 
 
-@query("e7_page_loss", "SELECT * FROM (VALUES ('a', 1, false, 2), ('a', 2, true, 0), ('b', 2, false, 0)) t(source, page, ragged, n)")
+@query("e7_page_loss", f"WITH {_RAGGED} SELECT page, bool_or(ragged) AS ragged, CAST(CASE WHEN bool_or(ragged) THEN 0 ELSE count(*) END AS INTEGER) AS n FROM rag GROUP BY page")
 def e7_page(spark, sf):
     """One ragged table loses all tables of its page."""
-    t = spark.createDataFrame(TABLES, "source string, page int, table_ix int, cells array<array<string>>")
-    return extract.page_tables(t).select("source", "page", "ragged", F.size("markdowns").alias("n"))
+    return extract.page_tables(_ragged_cells(spark, sf)).select("page", "ragged", F.size("markdowns").alias("n"))
 
 
 @query("e8_framing", f"WITH {_MD} SELECT page, chr(10) || '[TABLE]' || chr(10) || markdown || chr(10) || '[/TABLE]' AS framed FROM md")
@@ -439,11 +473,20 @@ def c1(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", word_count(F.col("text")).alias("n_words"))
 
 
-@query("c2_table_blocks", "SELECT * FROM (VALUES (1, 0, 'One.'), (1, 1, '[TABLE]' || chr(10) || 'a. b' || chr(10) || '[/TABLE]'), (1, 2, 'Two here.'), (2, 0, '[TABLE] open. never closed')) t(page, i, s)")
+@query(
+    "c2_table_blocks",
+    f"""WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace({_STRIP('text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s : s <> '') AS s,
+  '[TABLE]' || chr(10) || lang || '. ' || source || chr(10) || '[/TABLE]' AS b, '[TABLE] ' || lang || '. never closed' AS o FROM documents),
+w AS (SELECT doc_id, list_concat(list_concat(list_concat(s, [b]), ['Two here.']), CASE WHEN doc_id % 2 = 0 THEN [b, o] ELSE [] END) AS s FROM t)
+SELECT doc_id, CAST(len(s) AS INTEGER) AS n, md5(array_to_string(s, '|')) AS digest FROM w""",
+)
 def c2(spark, sf):
-    rows = [(1, "One. [TABLE]\na. b\n[/TABLE] Two here."), (2, "[TABLE] open. never closed")]
-    t = spark.createDataFrame(rows, "page int, text string")
-    return t.select("page", F.posexplode(sentences(F.col("text"))).alias("i", "s"))
+    """Every document with a table behind it and a sentence; half of them with a second one and an open one."""
+    block = F.concat(F.lit("[TABLE]\n"), "lang", F.lit(". "), "source", F.lit("\n[/TABLE]"))
+    opened = F.when(F.col("doc_id") % 2 == 0, F.concat(block, F.lit("[TABLE] "), "lang", F.lit(". never closed"))).otherwise("")
+    whole = F.concat("text", F.lit("\n"), block, F.lit(" Two here. "), opened)
+    s = _table(spark, sf, "documents").select("doc_id", sentences(whole).alias("s"))
+    return s.select("doc_id", F.size("s").alias("n"), F.md5(F.encode(F.array_join("s", "|"), "UTF-8")).alias("digest"))
 
 
 @query("c3_sentences", f"WITH {_PAGES}, {_SENTS} SELECT source, page, CAST(len(s) AS INTEGER) AS n, md5(array_to_string(s, '|')) AS digest FROM wide")
@@ -513,6 +556,37 @@ def i6(spark, sf):
     return whole.select("chunk_ix", "source", "page", "dl", "n_terms", "idf", F.coalesce("n_places", F.lit(0)).alias("n_places"))
 
 
+def _segmented(spark, sf):
+    """Documents in five batches of sources, in their order; the last source comes with the first batch too, with other texts, and is replaced by the last."""
+    p = saved(pages(spark, sf), "segment_pages")
+    named = numbered(p.select("source").distinct(), ["source"], "k")
+    n = named.count()
+    placed = p.join(named.select("source", F.floor(F.col("k") * 5 / n).alias("batch"), (F.col("k") == n - 1).alias("last")), "source")
+    root = f"{work_dir(spark)}/lodestone/segments-{uuid.uuid4().hex}"
+    for k in range(5):
+        batch = placed.where(F.col("batch") == k)
+        if k == 0:
+            batch = batch.unionByName(placed.where("last").withColumn("text", F.concat(F.lit("An old version. "), F.reverse("text"))))
+        segments.append(batch.select("source", "page", "text"), root, f"batch-{k}")
+    segments.append(placed.where("last").select("source", "page", "text"), root, "batch-4")  # repeated: nothing changes
+    return root
+
+
+@query("i5_i6_segments", f"WITH RECURSIVE {_CHUNKS}, {_INDEX} SELECT source, page, chunk_no, term, CAST(tf AS INTEGER) AS tf, CAST(dl AS INTEGER) AS dl, df, round(idf, 4) AS idf FROM postings JOIN term_stats USING (term) JOIN doc_len USING (chunk_ix) JOIN chunks USING (chunk_ix)")
+def i6_segments(spark, sf):
+    """Postings and merged term statistics of an index of five appended batches with a replaced source."""
+    ix = segments.open_index(spark, _segmented(spark, sf))
+    return ix.postings.join(ix.term_stats.select("term", "df", F.round("idf", 4).alias("idf")), "term").join(ix.chunks.select("chunk_ix", "source", "page", "chunk_no"), "chunk_ix").drop("chunk_ix")
+
+
+@query("r9_r13_segments", f"{RETRIEVE_SQL} SELECT query_id, rank, vector_score, bm25_score, final_score, corrected_query, source, page, text FROM found")
+def r9_segments(spark, sf):
+    """Retrieval and page lookup from the index of appended batches, compacted once: the same order as from one built at once."""
+    root = _segmented(spark, sf)
+    segments.compact(spark, root)
+    return retrieve.retrieve(asked(spark), segments.open_index(spark, root))[0].drop("chunk_ix")
+
+
 # questions
 
 
@@ -616,19 +690,20 @@ def r9_turns(spark, sf):
     return found.select("query_id", "rank", "vector_score", "bm25_score", "final_score", "corrected_query", "source", "page", "chunk_ix")
 
 
-_POLICY = [(intent, n, sources, single, k) for intent in ("broad", "specific") for n in (0, 5, 100, 1000) for sources in (1, 3, 20) for single in (False, True) for k in (6, 8)]
-
-
 @query(
     "r8_depth_policy",
-    "WITH p(intent, n, sources, single, k) AS (VALUES " + ", ".join(f"({_lit(i)}, {n}, {s}, {str(b).lower()}, {k})" for i, n, s, b, k in _POLICY) + ") "
-    "SELECT intent, CAST(n AS BIGINT) AS n, CAST(sources AS BIGINT) AS sources, single, CAST(k AS BIGINT) AS k, CAST(greatest(1, CASE WHEN single THEN n WHEN intent = 'broad' THEN least(n, 15 * k) ELSE least(n, 10 * k) END) AS BIGINT) AS fetch_k, "
-    "CAST(CASE WHEN single THEN n WHEN intent = 'broad' THEN least(n, k * sources) ELSE k END AS BIGINT) AS final_k FROM p",
+    """WITH c AS (SELECT lang, count(*) AS n, count(DISTINCT source) AS sources FROM documents GROUP BY lang), one AS (SELECT lang, bool_or(k = 1) AS single FROM (SELECT lang, source, count(*) AS k FROM documents GROUP BY ALL) GROUP BY lang),
+p AS (SELECT * FROM c JOIN one USING (lang), (VALUES ('broad'), ('specific')) i(intent), (VALUES (6), (8)) t(k))
+SELECT lang, intent, CAST(k AS BIGINT) AS k, CAST(greatest(1, CASE WHEN single THEN n WHEN intent = 'broad' THEN least(n, 15 * k) ELSE least(n, 10 * k) END) AS BIGINT) AS fetch_k,
+  CAST(CASE WHEN single THEN n WHEN intent = 'broad' THEN least(n, k * sources) ELSE k END AS BIGINT) AS final_k FROM p""",
 )
 def r8(spark, sf):
-    p = spark.createDataFrame(_POLICY, "intent string, n long, sources long, single boolean, k long")
-    fetch, final = rank.depths(*(F.col(c) for c in p.columns))
-    return p.select("*", fetch.alias("fetch_k"), final.alias("final_k"))
+    """The depths of both intents in the corpus of each language: one of a source with a single page returns everything."""
+    by = _table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("pages"))
+    corpora = by.groupBy("lang").agg(F.sum("pages").alias("n"), F.count("*").alias("sources"), F.bool_or(F.col("pages") == 1).alias("single"))
+    p = corpora.select("*", F.explode(F.array(F.lit("broad"), F.lit("specific"))).alias("intent")).select("*", F.explode(F.array(F.lit(6).cast("long"), F.lit(8).cast("long"))).alias("k"))
+    fetch, final = rank.depths(*(F.col(c) for c in ("intent", "n", "sources", "single", "k")))
+    return p.select("lang", "intent", "k", fetch.alias("fetch_k"), final.alias("final_k"))
 
 
 _PLACED_SQL = """WITH c AS (SELECT vec_id AS chunk_ix, 's' || label AS source, CAST(vec_id % 7 + 1 AS INTEGER) AS page, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -766,6 +841,27 @@ def a11(spark, sf):
     return answer.chat_log(q, q.select("query_id", F.concat(F.lit("re: "), "raw").alias("answer")))
 
 
+@query("a11_a8_stream_log", f"WITH {_LOG} SELECT CAST(session_id AS VARCHAR) AS session_id, query_no * 2 AS turn, 'user' AS role, raw AS content FROM qs UNION ALL SELECT CAST(session_id AS VARCHAR), query_no * 2 + 1, 'assistant', 're: ' || raw FROM qs")
+def a11_stream(spark, sf):
+    """The chat log of questions that arrive in three batches, numbered by each session's state."""
+    base = f"{work_dir(spark)}/lodestone/chat-{uuid.uuid4().hex}"
+    users = _table(spark, sf, "conversations").where("role = 'user'")
+    asked_ = users.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("sent"), (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("raw"))
+    for batch in (F.col("sent") < 2, F.col("sent").between(2, 4), F.col("sent") > 4):
+        asked_.where(batch).write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(asked_.schema).parquet(f"{base}/in")
+        chat.log_turns(arriving, F.concat(F.lit("re: "), "raw"), f"{base}/log", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/log").select("session_id", "turn", "role", "content")
+
+
+@query("e12_progress", "SELECT count(*) AS done, CAST(sum(CASE WHEN trim(text) = '' THEN 1 ELSE 0 END) AS BIGINT) AS blank, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS failed FROM documents")
+def e12_progress(spark, sf):
+    """What was counted while pages went from extraction to their chunks: one pass, which only writes the chunks."""
+    seen, counts = progress.observed(pages(spark, sf))
+    saved(chunk.chunk_pages(seen), "observed_chunks")
+    return spark.createDataFrame([counts.get], "done long, blank long, chars long, failed long")
+
+
 @query("stream_ingest", f"WITH RECURSIVE {_CHUNKS} SELECT source, page, chunk_no, n_words FROM chunks")
 def stream(spark, sf):
     """Chunks of pages that arrive as a stream, appended batch by batch."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.chunk import chunk_pages
-from lodestone.sources.shared import numbered
+from lodestone.sources.shared import numbered, saved
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -19,13 +19,14 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
     return named(raw)
 
 
-def stream_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """The same for files as they arrive."""
-    return named(spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).load(path))
+def stream_files(spark: SparkSession, path: str, pattern: str = "*.pdf", name_at: int = -1, files_a_batch: int = 1000) -> DataFrame:
+    """The same for files as they arrive. name_at: which part of the path is the name."""
+    stream = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    return named(stream.option("maxFilesPerTrigger", files_a_batch).load(path), name_at)
 
 
-def named(raw: DataFrame) -> DataFrame:
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), content_hash("content").alias("doc_md5"), "path", "content")
+def named(raw: DataFrame, name_at: int = -1) -> DataFrame:
+    return raw.select(F.element_at(F.split("path", "/"), name_at).alias("name"), content_hash("content").alias("doc_md5"), "path", "content")
 
 
 def content_hash(col: str):
@@ -38,16 +39,22 @@ CACHE_PART = "substring(doc_md5, 1, 2)"
 
 def read_cache(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
     """(doc_md5, page, text) of the cache. With files, only the folders that their hashes name are
-    read (256 at most), pruned before the scan."""
-    cache = spark.read.schema("doc_md5 string, page int, text string, part string").parquet(path)
+    read (256 at most), pruned before the scan. Of a content that two batches extracted at the same time, one's pages."""
+    cache = spark.read.schema("doc_md5 string, page int, text string, part string, batch string").parquet(path)
     if files is not None:
         cache = cache.where(F.col("part").isin([r["p"] for r in files.selectExpr(f"{CACHE_PART} AS p").distinct().collect()]))
-    return cache.select("doc_md5", "page", "text")
-
-
-def write_cache(new: DataFrame, path: str) -> None:
-    """Append, in folders by the hash's first digits."""
-    new.withColumn("part", F.expr(CACHE_PART)).write.mode("append").partitionBy("part").parquet(path)
+    first = cache.groupBy(F.col("doc_md5").alias("of")).agg(F.min("batch").alias("first"))
+    own = cache.join(first, (F.col("doc_md5") == F.col("of")) & (F.col("batch") == F.col("first")), "left_semi")
+    return own.select("doc_md5", "page", "text")
+
+
+def write_cache(new: DataFrame, path: str, batch: str | None = None) -> None:
+    """Keep new rows under their batch's name, in folders by the hash's first digits; what is written twice is there once.
+    Without a name it is that of the rows' contents: a repeated run writes over its own."""
+    if batch is None:
+        new = saved(new, "cache_rows")
+        batch = fingerprint(new.select(F.lit("").alias("name"), "doc_md5")).first()["fingerprint"]
+    new.withColumn("part", F.expr(CACHE_PART)).write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={batch}")
 
 
 def to_extract(files: DataFrame, cache: DataFrame | None) -> DataFrame:

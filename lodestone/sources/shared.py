@@ -125,13 +125,20 @@ def read_pointer(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def claim_file(spark: SparkSession, path: str) -> bool:
-    """Whether this call made the empty file: of all that try, one does."""
-    at, fs = _file_system(spark, path)
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a small file in place in one step if there is none; whether it is this call's."""
+    jvm = spark.sparkContext._jvm
+    own = f"{path}.{uuid.uuid4().hex}.new"
+    put_file(spark, own, text.encode())
+    source, fs = _file_system(spark, own)
+    target, _ = _file_system(spark, path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
     try:
-        fs.create(at, False).close()
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf).rename(fs.makeQualified(source), fs.makeQualified(target), none)
     except Py4JJavaError as found:
-        if "AlreadyExists" in type(found).__name__ or "AlreadyExists" in str(found.java_exception.getClass().getName()) or fs.exists(at):
+        fs.delete(source, False)
+        if "FileAlreadyExists" in found.java_exception.getClass().getName():
             return False
         raise
     return True

@@ -1,7 +1,7 @@
 """Incremental ingest: pages arrive as a stream, chunks are appended batch by batch.
 
-Chunking is a stateless projection, so it runs inside the stream; term and corpus
-statistics are not append-only and are recomputed from the chunk table.
+Chunking is a stateless projection, so it runs inside the stream. An index that grows with the
+stream, statistics included, is made of a segment a batch.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import segments
 from lodestone.operators.chunk import chunk_pages
 
 
@@ -28,9 +29,16 @@ def append_chunks(pages: DataFrame, chunk_path: str, checkpoint: str, once: bool
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def append_log(messages: DataFrame, log_path: str, checkpoint: str):
-    """Append (session_id, turn, role, content) messages to the chat log."""
-    return messages.select("session_id", "turn", "role", "content").writeStream.format("parquet").option("path", log_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def append_segments(pages: DataFrame, root: str, checkpoint: str, once: bool = True):
+    """Start the query that adds each batch of pages (source, page, text) to the index under root as a segment. A batch that is
+    run again finds its label and adds nothing."""
+    stream_name = checkpoint.rstrip("/").rsplit("/", 1)[-1]
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        segments.append(batch, root, f"{stream_name}-{batch_id}")
+
+    writer = pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:

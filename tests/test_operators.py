@@ -185,13 +185,6 @@ def test_streaming_ingest_appends_chunks(spark, tmp_path):
     assert seen.isStreaming
 
 
-def test_streamed_chat_log(spark, tmp_path):
-    log = spark.createDataFrame([("s", 0, "user", "hi")], "session_id string, turn int, role string, content string")
-    log.write.parquet(f"{tmp_path}/in")
-    ingest.append_log(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/log", f"{tmp_path}/check").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/log").count() == 1
-
-
 # ---------------------------------------------------------------------- scores
 
 TEXTS = ["alpha beta beta", "beta gamma", "beta delta epsilon", "zeta"]
