@@ -47,12 +47,12 @@ class Side:
     """One strip's vectors, quantised."""
 
     def __init__(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray):
-        self.ids, self.copies, self.x = ids, copies, x.astype(np.float64)
+        self.ids, self.copies, x = ids, copies, x.astype(np.float64)
+        # times a power of two, which changes no cosine and rounds nothing that counts: largest components lie between
+        # 0.5 and 1, and neither norms nor products of very large or small vectors leave the doubles' range
+        self.x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
         self.norm = np.sqrt((self.x * self.x).sum(axis=1))
-        # divide by the largest component first: norms of very large or small vectors stay finite
-        big = np.abs(self.x).max(axis=1, keepdims=True)
-        u = self.x / big
-        u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+        u = self.x / self.norm[:, None]
         self.scale = np.abs(u).max(axis=1) / 127
         self.q = np.rint(u / self.scale[:, None]).astype(np.int8)
         # sums of products of bytes are exact in float32 up to 2^24
