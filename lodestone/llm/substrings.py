@@ -304,17 +304,19 @@ RESULT = T.StructType(
 
 def remove_repeats(documents: DataFrame, doc_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Add n_words, n_removed and kept_text (the words left, joined by one space)."""
-    keep = documents.columns if keep is None else keep
+    new = RESULT.names
+    keep = [c for c in (documents.columns if keep is None else keep) if c.lower() not in new]
     ranges = removed_ranges(documents, doc_col, text_col, window, gram)
-    docs = documents.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text_col, doc_col])])
-    docs = docs.withColumns({"__doc": F.col(f"`{doc_col}`").cast("long"), "__tkey": F.xxhash64(f"`{text_col}`")})
-    joined = docs.join(ranges.select(F.col("doc").alias("__doc"), F.col("tkey").alias("__tkey"), F.col("ranges").alias("__ranges")), ["__doc", "__tkey"], "left")
+    # kept columns under plain names, which clash with nothing made here
+    plain = {c: f"c{k}" for k, c in enumerate(keep)}
+    docs = documents.select(*[F.col(f"`{c}`").alias(p) for c, p in plain.items()], F.col(f"`{doc_col}`").cast("long").alias("doc"), F.xxhash64(f"`{text_col}`").alias("tkey"), F.col(f"`{text_col}`").alias("whole"))
+    joined = docs.join(ranges.select("doc", "tkey", "ranges"), ["doc", "tkey"], "left")
 
     def make():
         def work(part: pa.RecordBatch) -> list:
-            data, offsets = text_bytes(part.column(part.schema.get_field_index(text_col)))
+            data, offsets = text_bytes(part.column(part.schema.get_field_index("whole")))
             w = Words(data, offsets, TABLE)
-            lists = part.column(part.schema.get_field_index("__ranges"))
+            lists = part.column(part.schema.get_field_index("ranges"))
             edge = np.zeros(len(w.hashes) + 1, np.int64)
             for d in range(part.num_rows):
                 if lists[d].is_valid:
@@ -338,4 +340,5 @@ def remove_repeats(documents: DataFrame, doc_col: str = "doc_id", text_col: str
 
         return work
 
-    return arrow_map(joined.select(*[f"`{c}`" for c in docs.columns], "__ranges"), text_col, [*keep, "__ranges"], RESULT, make).drop("__ranges")
+    out = arrow_map(joined.select(*plain.values(), "whole", "ranges"), "whole", [*plain.values(), "ranges"], RESULT, make)
+    return out.select(*[F.col(p).alias(c) for c, p in plain.items()], *new)
