@@ -137,12 +137,16 @@ def measures(id_col: str, text_col: str) -> list[Column]:
 
 
 def in_files(documents: DataFrame) -> DataFrame:
-    """documents as rows of Parquet files, which know their place; written out if they are not."""
+    """documents as rows of Parquet files, which know their place, under the plain names c0, c1, ...; written out if they are not."""
+    hidden = any(c.lower() == "_metadata" for c in documents.columns)  # a column hides the files' own
+    documents = documents.toDF(*[f"c{k}" for k in range(len(documents.columns))])
     try:
-        documents.select("_metadata.file_path", "_metadata.row_index").schema
-        return documents
+        if not hidden:
+            documents.select("_metadata.file_path", "_metadata.row_index").schema
+            return documents
     except AnalysisException:
-        return materialize(documents, "resharded")[0]
+        pass
+    return materialize(documents, "resharded")[0]
 
 
 def _places(old_shards: int, old_col: str | None) -> list[Column]:
@@ -162,7 +166,7 @@ def reshard(
     cost: list[list[int]] | None = None,
     block: int = BLOCK,
 ) -> tuple[DataFrame, Plan]:
-    """documents with __old, shard and slot, and the plan.
+    """documents with __old, shard and slot, which replace columns of these names, and the plan.
 
     The old shard (0 to old_shards - 1) is old_col, the same for all rows of a file, or else a
     hash of the file's name. Slots of a shard run from 0 without gaps. capacities: bytes by
@@ -170,8 +174,11 @@ def reshard(
     """
     spark = documents.sparkSession
     old_shards = old_shards or shards
+    names = documents.columns
+    plain = {c: f"c{k}" for k, c in enumerate(names)}
     documents = in_files(documents)
-    size = measures(id_col, text_col)[1]
+    size = measures(plain[id_col], plain[text_col])[1]
+    old_col = plain[old_col] if old_col else None
     rows = documents.select(*_places(old_shards, old_col), size)
     files = sorted((r["old"], r["__file"], r["bytes"], r["n"], r["last"]) for r in rows.groupBy("__file").agg(F.min("__old").alias("old"), F.max("__old").alias("last"), F.sum("size").alias("bytes"), F.count("*").alias("n")).collect())
     if bad := [f for f in files if f[0] != f[4] or not 0 <= f[0] < old_shards]:
@@ -196,7 +203,7 @@ def reshard(
                 made.segments.setdefault(file, []).append((end, j, filled[j] - first))
                 filled[j] += end - first
                 first = end
-    return placed(documents, made, old_shards, old_col), made
+    return placed(documents, names, made, old_shards, old_col), made
 
 
 def _split_rows(spark: SparkSession, rows: DataFrame, cuts: dict[str, list[int]], block: int) -> dict[str, list[int]]:
@@ -223,15 +230,15 @@ def _split_rows(spark: SparkSession, rows: DataFrame, cuts: dict[str, list[int]]
     return {f: sorted(rows) for f, rows in out.items()}
 
 
-def placed(documents: DataFrame, made: Plan, old_shards: int, old_col: str | None) -> DataFrame:
-    """documents with __old, shard and slot: a projection, given one row a file."""
+def placed(documents: DataFrame, names: list[str], made: Plan, old_shards: int, old_col: str | None) -> DataFrame:
+    """documents (in_files) under their names, with __old, shard and slot: a projection, given one row a file."""
     spark = documents.sparkSession
-    kept = [c for c in documents.columns if c.lower() not in ("shard", "slot")]
-    rows = documents.select(*[f"`{c}`" for c in kept], *_places(old_shards, old_col))
+    rows = documents.select("*", *_places(old_shards, old_col))
     table = spark.createDataFrame(list(made.segments.items()), "__file string, segments array<struct<end:long,shard:int,shift:long>>")
     table = F.broadcast(table) if len(made.segments) <= MOST_SENT else table
     own = F.element_at(F.filter("segments", lambda s: F.col("__row") < s["end"]), 1)
-    return rows.join(table, "__file").withColumn("__s", own).select(*[f"`{c}`" for c in kept], "__old", F.col("__s.shard").alias("shard"), (F.col("__row") + F.col("__s.shift")).alias("slot"))
+    kept = [F.col(f"c{k}").alias(c) for k, c in enumerate(names) if c.lower() not in ("shard", "slot", "__old")]
+    return rows.join(table, "__file").withColumn("__s", own).select(*kept, "__old", F.col("__s.shard").alias("shard"), (F.col("__row") + F.col("__s.shift")).alias("slot"))
 
 
 def rewrite_affected(rows: DataFrame, made: Plan, new_root: str) -> DataFrame:
@@ -245,4 +252,4 @@ def rewrite_affected(rows: DataFrame, made: Plan, new_root: str) -> DataFrame:
     rows.where(F.col("shard").isin(touched)).drop("__old").write.mode("overwrite").partitionBy("shard").parquet(new_root)
     schema = rows.drop("__old").schema
     written = spark.read.schema(schema).parquet(new_root)
-    return written.select(schema.names).unionByName(rows.where(~F.col("shard").isin(touched)).drop("__old"))
+    return written.select(*[f"`{c}`" for c in schema.names]).unionByName(rows.where(~F.col("shard").isin(touched)).drop("__old"))

@@ -267,6 +267,17 @@ def test_only_affected_files_are_rewritten(spark, tmp_path):
         shards.reshard(spark.read.parquet(f"{tmp_path}/new"), 2, old_col="lang", old_shards=2)
 
 
+def test_reshard_keeps_columns_of_any_name(spark, tmp_path):
+    odd_names = ["segments", "__file", "__row", "_metadata", "__old", "size", "block", "__s", "c0", "a.b"]
+    docs = spark.createDataFrame([(i, "x" * (i % 50), *[f"{c} {i}" for c in odd_names]) for i in range(200)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in odd_names))
+    docs.write.parquet(f"{tmp_path}/old")
+    for source in (docs, spark.read.parquet(f"{tmp_path}/old"), spark.read.parquet(f"{tmp_path}/old").drop("_metadata")):
+        rows, made = shards.reshard(source, 3, old_shards=2, block=16)
+        got = shards.rewrite_affected(rows, made, f"{tmp_path}/new{len(source.columns)}").collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(200))
+        assert all(r[c] == f"{c} {r['doc_id']}" for r in got for c in source.columns if c not in ("doc_id", "text", "__old"))
+
+
 def test_repeated_rows_are_divided(spark, tmp_path):
     copies = spark.createDataFrame([(None if i % 2 else 1, "x" * 99, "en") for i in range(400)], ROW)
     rows, made = shards.reshard(copies.coalesce(1), 2, capacities=[25_000, 15_000], block=16)
@@ -582,6 +593,12 @@ def test_vectors_that_share_an_id_keep_their_links(spark):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
 
 
+def test_very_large_and_very_small_doubles_link(spark):
+    rows = [(1, [1e200, 1e100]), (2, [1e200, 0.0]), (3, [1e-200, 1e-220]), (4, [1e-200, 0.0]), (5, [0.0, 5e-324]), (6, [1e-310, 1.7e308]), (7, [-1.7e308, 1.7e308])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**dict.fromkeys((1, 2, 3, 4), (3, 1)), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
 def test_strips_meet_once(spark, monkeypatch):
     monkeypatch.setattr(vectors, "STRIP_BYTES", 16 * 4 * 20)
     r = np.random.default_rng(2)
@@ -730,6 +747,15 @@ def test_removal_equals_brute_force(spark, odd, none, monkeypatch, cells):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_removal_keeps_columns_of_any_name(spark):
+    odd_names = ["__ranges", "__doc", "__tkey", "doc", "tkey", "whole", "ranges", "c0", "n_words", "a.b"]
+    long = prose(3, 120)
+    rows = [(i, long if i < 3 else prose(90 + i, 60), *[f"{c} {i}" for c in odd_names]) for i in range(6)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in odd_names))).collect()
+    assert [(r["doc_id"], r["n_removed"]) for r in sorted(got, key=lambda r: r["doc_id"])] == [(0, 0), (1, 120), (2, 120), (3, 0), (4, 0), (5, 0)]
+    assert all(r[c] == f"{c} {r['doc_id']}" for r in got for c in odd_names if c != "n_words") and {r["n_words"] for r in got} == {60, 120}
+
+
 @pytest.mark.parametrize("cells", [8, 1 << 24])
 def test_sketch_loses_no_repeat(spark, monkeypatch, cells):
     monkeypatch.setattr(substrings, "CELLS_AN_ANCHOR", cells)
