@@ -161,17 +161,25 @@ def _op9_sql() -> str:
     for name, _ in licences.RULES:
         order.setdefault(name, len(order))
     ranked = ", ".join(f"({quote(n)}, {k})" for n, k in order.items())
+    led, varies = quote(licences.LEAD), licences.VARIES
+    tidied = "s"
+    for pattern, form in varies:
+        tidied = f"regexp_replace({tidied}, {quote(pattern)}, {quote(form)})"
+    spdx = f"regexp_replace(regexp_replace(x, {quote(licences.SPDX_EXCEPT)}, '', 'g'), {quote(licences.SPDX_NEXT)}, chr(10) || '{licences.SPDX} ', 'g')"
     return f"""
-WITH RECURSIVE known AS (SELECT s, id, string_split(s, ' ') AS k, len(string_split(s, ' ')) AS n FROM (VALUES {table}) t(s, id)), ranked(licence, k) AS (VALUES {ranked}),
+WITH RECURSIVE known AS (SELECT s, id FROM (VALUES {table}) t(s, id)), ranked(licence, k) AS (VALUES {ranked}),
+lines AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), {quote(licences.RUN_ON)}, '\\1' || chr(10) || '\\2', 'g'), chr(10)) AS l FROM documents),
+cut AS (SELECT doc_id, array_to_string(list_transform(l, lambda x : CASE WHEN contains(x, '{licences.SPDX}') THEN {spdx} ELSE x END), chr(10)) AS t FROM lines),
 pieces AS (SELECT doc_id, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS i
-  FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\n|[.:;][^a-zA-Z0-9\\s]*[ \\t]+') AS p FROM documents)),
-words AS (SELECT doc_id, i, regexp_replace(trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')), '^(dnl|rem) ', '') AS w FROM pieces),
+  FROM (SELECT doc_id, string_split_regex(t, '\\n|[.:;][^a-zA-Z0-9\\s]*[ \\t]+') AS p FROM cut)),
+words AS (SELECT doc_id, i, replace(regexp_replace(trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')), '^(dnl|rem) ', ''), 'licence', 'license') AS w FROM pieces),
 para AS (SELECT *, CASE WHEN w = '' THEN 0 ELSE len(string_split(w, ' ')) END AS n, sum(CAST(w = '' AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM words),
 ends AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, p ORDER BY i) AS upto FROM para WHERE w <> ''),
-line AS (SELECT doc_id, p, string_split(string_agg(w, ' ' ORDER BY i), ' ') AS ws, list(upto ORDER BY i) AS stops FROM ends GROUP BY doc_id, p),
-runs AS (SELECT e.doc_id, e.i, known.id, known.n, list_position(stops, e.upto - e.n + known.n) - list_position(stops, e.upto) + 1 AS m FROM ends e JOIN line USING (doc_id, p)
-  JOIN known ON known.k[1] = ws[CAST(e.upto - e.n + 1 AS BIGINT)] AND list_contains(stops, e.upto - e.n + known.n) AND ws[CAST(e.upto - e.n + 1 AS BIGINT):CAST(e.upto - e.n + known.n AS BIGINT)] = known.k),
-best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY n DESC) = 1),
+grown AS (SELECT a.doc_id, a.i, b.i - a.i + 1 AS m, regexp_replace(a.w, {led}, 'licensed under') || coalesce(' ' || (SELECT string_agg(c.w, ' ' ORDER BY c.i) FROM ends c WHERE c.doc_id = a.doc_id AND c.i > a.i AND c.i <= b.i), '') AS s
+  FROM ends a JOIN ends b ON a.doc_id = b.doc_id AND a.p = b.p AND b.i >= a.i AND b.upto - a.upto + a.n <= {licences.most_words()}
+  WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT split_part(s, ' ', 1) AS f FROM known) WHERE f = split_part(regexp_replace(a.w, {led}, 'licensed under'), ' ', 1))),
+runs AS (SELECT g.doc_id, g.i, g.m, known.id FROM (SELECT *, {tidied} AS c FROM grown) g JOIN known ON known.s = g.c),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY m DESC) = 1),
 taken AS (
   SELECT doc_id, i, m, id FROM best QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1
   UNION ALL
@@ -180,7 +188,8 @@ taken AS (
 lists AS (SELECT doc_id, list(id ORDER BY i) AS ids FROM taken GROUP BY doc_id),
 seq AS (SELECT doc_id, ids, {rest} AS rest FROM lists), {", ".join(steps)},
 hit AS (SELECT DISTINCT doc_id, licence FROM (SELECT doc_id, unnest([{hits}]) AS licence FROM {last}) WHERE licence IS NOT NULL),
-named AS (SELECT doc_id, string_agg(licence, ',' ORDER BY k) AS licences FROM hit JOIN ranked USING (licence) GROUP BY doc_id)
+named AS (SELECT doc_id, string_agg(licence, ',' ORDER BY k) AS licences FROM hit h JOIN ranked USING (licence)
+  WHERE licence <> '{licences.RESERVED}' OR NOT EXISTS (SELECT 1 FROM hit o WHERE o.doc_id = h.doc_id AND o.licence <> h.licence) GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(licences, '') AS licences
 FROM documents LEFT JOIN lists USING (doc_id) LEFT JOIN named USING (doc_id)
 """

@@ -819,7 +819,7 @@ def test_wrapped_licences(spark):
     assert got == {
         1: (["gpl3-later", "gpl-warranty", "gpl-details"], ["GPL-3.0-or-later"]),
         2: (["mit-grant", "mit-notice", "mit-asis"], ["MIT"]),
-        3: (["all-rights", "bsd-grant", "bsd-source", "bsd-binary"], ["BSD-2-Clause", "Proprietary"]),
+        3: (["all-rights", "bsd-grant", "bsd-source", "bsd-binary"], ["BSD-2-Clause"]),
         4: (["gpl3-later"], ["GPL-3.0-or-later"]),
         5: (["unlicense-free"], ["Unlicense"]),
         6: (["apache2-asis"], []),
@@ -847,6 +847,62 @@ def test_wrapped_licences(spark):
     assert want == got | {90: ([], []), 91: ([], []), 92: (["mit-grant", "mit-grant"], ["MIT"])}
 
 
+def bsd_text(holder, third=True, advert=False, asis="THE COPYRIGHT HOLDERS AND CONTRIBUTORS"):
+    """The BSD licence as it is published, hard-wrapped."""
+    numbered = ["Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright\n   notice, this list of conditions and the following disclaimer in the\n   documentation and/or other materials provided with the distribution."]
+    if advert:
+        numbered.append(f"All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n   This product includes software developed by {holder}.")
+    if third:
+        numbered.append(f"Neither the name of {holder}\n   nor the names of its contributors may be used to endorse or promote products\n   derived from this software without specific prior written permission.")
+    points = "\n".join(f"{k}. {x}" for k, x in enumerate(numbered, 1))
+    return f"""Copyright (c) 2015, {holder}
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+{points}
+
+THIS SOFTWARE IS PROVIDED BY {asis} ``AS IS'' AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL {asis} BE LIABLE FOR ANY DAMAGES.
+"""
+
+
+def test_licences_with_varying_parts(spark):
+    cases = [
+        (bsd_text("the University of Somewhere, Department of Nothing", asis="THE REGENTS AND CONTRIBUTORS"), ["BSD-3-Clause"]),
+        (bsd_text("Acme Inc."), ["BSD-3-Clause"]),
+        (bsd_text("the copyright holder"), ["BSD-3-Clause"]),
+        (bsd_text("Jane Q. Person", third=False), ["BSD-2-Clause"]),
+        (bsd_text("the author", third=False, asis="THE AUTHOR"), ["BSD-2-Clause"]),
+        (bsd_text("The Project", advert=True), ["BSD-4-Clause"]),
+        ("All rights reserved.", ["Proprietary"]),
+        ("All rights reserved.\nReleased under the MIT License.See LICENSE", ["MIT"]),
+        ("This library is distributed under the MIT license", ["MIT"]),
+        ("The data are made available under the terms of the Apache License, Version 2.0.", ["Apache-2.0"]),
+        ("Published under CC BY-SA 4.0; ask us.", ["CC-BY-SA-4.0"]),
+        ("# Licensed under the terms of the\n# BSD 3-Clause Licence", ["BSD-3-Clause"]),
+        ("// SPDX-License-Identifier: (GPL-2.0-only OR MIT)\nint x;", ["MIT", "GPL-2.0"]),
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */", ["GPL-2.0-or-later"]),
+        ("SPDX-License-Identifier: Apache-2.0 AND (MIT OR BSD-2-Clause)", ["Apache-2.0", "MIT", "BSD-2-Clause"]),
+        ("Neither the name of this nor that is known to us.", []),
+        ("Nothing is provided under this heading; nor under the license of anyone.", []),
+        ("neither the name of " + "very " * 400 + "long", []),
+        ("licensed under " + "the " * 9 + "\n\nMIT License", ["MIT"]),
+    ]
+    rows = [(k, text) for k, (text, _) in enumerate(cases)]
+    got = {r["doc_id"]: (r["sentence_ids"], r["licences"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: want for k, (_, want) in enumerate(cases)}
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == {d: (i.split(",") if i else [], x.split(",") if x else []) for d, _, i, x in con.execute(ORACLE_SQL["op9_sentence_rules"]).fetchall()}
+
+
 def test_every_known_sentence_holds_a_trigger():
     assert all(re.search(licences.TRIGGER, s) for s in licences.known())
 
