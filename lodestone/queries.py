@@ -15,7 +15,7 @@ from lodestone.functions import questions as qf
 from lodestone.functions.lexicon import BARE_TRIGGERS, BROAD_PHRASES, STOP_WORDS, SYNONYMS, TYPOS
 from lodestone.functions.tables import is_ragged, to_markdown
 from lodestone.functions.text import sentences, tokens, word_count
-from lodestone.operators import answer, chunk, extract, hooks, index, progress, rank, score, segments
+from lodestone.operators import answer, chunk, extract, hooks, index, layout, progress, rank, score, segments
 from lodestone.plans import retrieve
 from lodestone.sources import documents as src
 from lodestone.sources.shared import numbered, put_file, saved, spread_small, work_dir
@@ -394,6 +394,36 @@ def e6(spark, sf):
     return extract.page_tables(cells(spark, sf)).select("source", "page", F.explode("markdowns").alias("markdown"))
 
 
+_LAID = """body AS (SELECT n_regionkey AS page, 1 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r, CAST(n_nationkey AS VARCHAR) AS a, CASE WHEN n_nationkey % 6 <> 5 THEN n_name ELSE '' END AS b, r_name AS c FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT DISTINCT n_regionkey, 1, 'key', 'name', 'region' FROM nation),
+wid AS (SELECT page, max(len(a)) AS wa, max(len(b)) AS wb, max(len(c)) AS wc FROM body GROUP BY page),
+md AS (SELECT page, string_agg('| ' || rpad(a, CAST(wa AS INTEGER), ' ') || ' | ' || rpad(b, CAST(wb AS INTEGER), ' ') || ' | ' || rpad(c, CAST(wc AS INTEGER), ' ') || ' |'
+  || CASE WHEN r = 1 THEN chr(10) || '| ' || repeat('-', wa) || ' | ' || repeat('-', wb) || ' | ' || repeat('-', wc) || ' |' ELSE '' END, chr(10) ORDER BY r) AS markdown FROM body JOIN wid USING (page) GROUP BY page)"""
+
+
+def _laid_out(spark, sf):
+    """Nations with their region's name as blocks on a page a region, a line of text above and below: numbers set to the right, names to
+    the left, regions in the middle, each moved a little by its hash; every sixth name is missing."""
+    n = _table(spark, sf, "nation").join(_table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    line = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))  # few nations a region
+    rows = n.select(F.col("n_regionkey").alias("page"), line.alias("r"), F.col("n_nationkey").cast("string").alias("a"), F.when(F.col("n_nationkey") % 6 != 5, F.col("n_name")).otherwise("").alias("b"), F.col("r_name").alias("c"))
+    said = lambda r, a: n.select(F.col("n_regionkey").alias("page"), r.alias("r"), *[F.lit(x).alias(c) for c, x in zip("abc", a, strict=True)]).distinct()
+    rows = rows.unionByName(said(F.lit(0), ["key", "name", "region"])).unionByName(said(F.lit(-2), ["Nations of a region, in the order of their keys", "", ""])).unionByName(said(F.lit(40), ["Names that are not known are left out.", "", ""]))
+    each = rows.select("page", "r", F.posexplode(F.array("a", "b", "c")).alias("k", "text"))
+    shift = lambda salt: (F.pmod(F.xxhash64("page", "r", "k", F.lit(salt)), F.lit(100)) / 100 - 0.5)
+    width = F.char_length("text") * 5.0
+    text_line = F.col("r").isin(-2, 40)
+    left = F.when(text_line, 20.0).when(F.col("k") == 0, 60 - width).when(F.col("k") == 1, 80.0).otherwise(300 - width / 2) + 2 * shift(1)
+    top = 100 + 14 * F.col("r") + 3 * shift(2)
+    return each.select(F.lit("nation").alias("source"), "page", (F.col("r") * 3 + F.col("k")).cast("int").alias("block_ix"), left.alias("x0"), top.alias("y0"), (left + width).alias("x1"), (top + 10).alias("y1"), "text")
+
+
+@query("e5_tables_from_positions", f"WITH {_LAID} SELECT 'nation' AS source, page, markdown FROM md")
+def e5_layout(spark, sf):
+    """Tables found by the blocks' places on a page, as Markdown."""
+    return extract.page_tables(layout.tables(_laid_out(spark, sf))).select("source", "page", F.explode("markdowns").alias("markdown"))
+
+
 _RAGGED = """rows AS (SELECT n_regionkey AS page, n_nationkey % 2 AS table_ix, n_nationkey % 7 = 0 AS short, n_name FROM nation),
 rag AS (SELECT page, CAST(table_ix AS INTEGER) AS table_ix, bool_or(short) AS ragged, count(*) AS n FROM rows GROUP BY ALL)"""
 
