@@ -15,7 +15,7 @@ from lodestone.functions import questions as qf
 from lodestone.functions.lexicon import BARE_TRIGGERS, BROAD_PHRASES, STOP_WORDS, SYNONYMS, TYPOS
 from lodestone.functions.tables import is_ragged, to_markdown
 from lodestone.functions.text import sentences, tokens, word_count
-from lodestone.operators import answer, chunk, extract, hooks, index, layout, progress, rank, score, segments
+from lodestone.operators import answer, chunk, dense, extract, hooks, index, layout, progress, rank, score, segments
 from lodestone.plans import retrieve
 from lodestone.sources import documents as src
 from lodestone.sources.shared import numbered, put_file, saved, spread_small, work_dir
@@ -674,6 +674,16 @@ def r2(spark, sf):
     return _dense(spark, sf)[1].select("query_id", "chunk_ix", F.round("raw", 4).alias("raw"))
 
 
+@query("i4_packed_top", f"{_DENSE_SQL} SELECT query_id, chunk_ix, round(raw, 4) AS raw FROM t")
+def i4_packed(spark, sf):
+    """The same from blocks that are packed once for the same vectors, without reading those that can't matter."""
+    v = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_ix"), "embedding")
+    named = v.select(F.col("chunk_ix").cast("string").alias("name"), F.md5(F.array_join(F.col("embedding").cast("array<string>"), ",").cast("binary")).alias("doc_md5"))
+    name = index.key(src.fingerprint(named).first()["fingerprint"], packed=dense.ROWS, pivots=dense.PIVOTS)
+    packed = dense.stored(v, f"{work_dir(spark)}/lodestone/packed", name)
+    return dense.top(_search_set(v), packed, 40)[0].select("query_id", "chunk_ix", F.round("raw", 4).alias("raw"))
+
+
 @query(
     "r3_dense_norm",
     f"""{_DENSE_SQL}, b AS (SELECT query_id, least(min(raw), 0) AS lo, greatest(max(raw), 0) AS hi FROM t GROUP BY ALL)
