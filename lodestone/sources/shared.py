@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import time
@@ -96,26 +97,67 @@ def list_folder(spark: SparkSession, path: str) -> list[Entry]:
     """What lies in a folder; nothing if there is none."""
     at, fs = _file_system(spark, path)
     now = time.time()
-    found = fs.listStatus(at) if fs.exists(at) else []
+    # files that others move meanwhile are left out
+    found = [s for s in (fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, "*")) or []) if s is not None] if fs.exists(at) else []
     return sorted((Entry(s.getPath().getName(), s.isDirectory(), now - s.getModificationTime() / 1000) for s in found), key=lambda e: e.name)
 
 
-def write_pointer(spark: SparkSession, path: str, text: str) -> None:
-    """A small file with this text, put in place in one step: readers see the old text or the new, never a part."""
-    jvm = spark.sparkContext._jvm
+def _moved(spark: SparkSession, text: str, path: str, over: bool) -> bool:
+    """Write a small file under a name of its own and move it to path in one step; whether path was free, or `over`."""
+    target, fs = _file_system(spark, path)
+    target = fs.makeQualified(target)
     own = f"{path}.{uuid.uuid4().hex}.new"
+    if fs.getScheme() == "file":  # Hadoop's moves of local files look before they leap, and move checksums apart
+        at, own = target.toUri().getPath(), fs.makeQualified(_file_system(spark, own)[0]).toUri().getPath()
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with open(own, "w", encoding="utf-8") as f:
+            f.write(text)
+        if over:
+            os.replace(own, at)
+            return True
+        try:
+            os.link(own, at)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(own)
+        return True
     put_file(spark, own, text.encode())
-    source, target = jvm.org.apache.hadoop.fs.Path(own), jvm.org.apache.hadoop.fs.Path(path)
-    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    _, fs = _file_system(spark, path)
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf).rename(fs.makeQualified(source), fs.makeQualified(target), over)
+    rename = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, int(over))
+    if over:
+        how[0] = rename.OVERWRITE
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    source = fs.makeQualified(_file_system(spark, own)[0])
+    try:
+        files.rename(source, target, how)
+    except Py4JJavaError as found:
+        fs.delete(source, False)
+        if "FileAlreadyExists" in found.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def write_pointer(spark: SparkSession, path: str, text: str) -> None:
+    """A small file with this text, put in place in one step: readers see the old text or the new, never a part."""
+    _moved(spark, text, path, True)
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a small file in place in one step if there is none; whether it is this call's."""
+    return _moved(spark, text, path, False)
 
 
 def read_pointer(spark: SparkSession, path: str) -> str | None:
     """A small file's text, or none if there is no such file."""
     at, fs = _file_system(spark, path)
+    if fs.getScheme() == "file":
+        try:
+            with open(fs.makeQualified(at).toUri().getPath(), encoding="utf-8") as f:
+                return f.read()
+        except FileNotFoundError:
+            return None
     if not fs.exists(at):
         return None
     stream = fs.open(at)
@@ -125,25 +167,6 @@ def read_pointer(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def write_once(spark: SparkSession, path: str, text: str) -> bool:
-    """Put a small file in place in one step if there is none; whether it is this call's."""
-    jvm = spark.sparkContext._jvm
-    own = f"{path}.{uuid.uuid4().hex}.new"
-    put_file(spark, own, text.encode())
-    source, fs = _file_system(spark, own)
-    target, _ = _file_system(spark, path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-    try:
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf).rename(fs.makeQualified(source), fs.makeQualified(target), none)
-    except Py4JJavaError as found:
-        fs.delete(source, False)
-        if "FileAlreadyExists" in found.java_exception.getClass().getName():
-            return False
-        raise
-    return True
-
-
 def numbered(df: DataFrame, order: list[str], name: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """df with column `name`: 0, 1, 2, ... in the given total order.
 
