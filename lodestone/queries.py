@@ -436,11 +436,39 @@ def _ragged_cells(spark, sf):
     return packed.select(F.lit("nation").alias("source"), "page", "table_ix", F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), "rs").alias("cells"))
 
 
-@query("e7_ragged", f"WITH {_RAGGED} SELECT page, table_ix, ragged, CASE WHEN NOT ragged THEN CAST(n + 1 AS INTEGER) END AS n_lines FROM rag")
+_SHAPED = """cells AS (SELECT n_regionkey AS page, CAST(n_nationkey % 2 AS INTEGER) AS table_ix, n_nationkey AS r, n_nationkey % 7 = 0 OR n_nationkey % 11 = 10 AS odd, CASE WHEN n_nationkey % 5 <> 1 THEN CAST(n_nationkey AS VARCHAR) ELSE '' END AS a, n_name AS b FROM nation
+  UNION ALL SELECT DISTINCT n_regionkey, CAST(n_nationkey % 2 AS INTEGER), -1, false, 'key', 'name of nation' FROM nation),
+wid AS (SELECT page, table_ix, bool_or(odd) AS ragged, CAST(max(len(a)) AS INTEGER) AS wa, CAST(max(len(b)) AS INTEGER) AS wb FROM cells GROUP BY ALL),
+md AS (SELECT page, table_ix, ragged, string_agg('| ' || rpad(a, wa, ' ') || ' | ' || rpad(b, wb, ' ') || ' |' || CASE WHEN r = -1 THEN chr(10) || '| ' || repeat('-', wa) || ' | ' || repeat('-', wb) || ' |' ELSE '' END, chr(10) ORDER BY r) AS markdown
+  FROM cells JOIN wid USING (page, table_ix) GROUP BY page, table_ix, ragged),
+one AS (SELECT DISTINCT n_regionkey AS page, CAST(n_regionkey AS VARCHAR) AS k FROM nation)"""
+
+
+def _shaped_cells(spark, sf):
+    """A region's nations as two tables, with rows that are too short or too long, cells that are null, of two lines or not stripped;
+    and a table of a header only, one without rows and one of an empty row."""
+    n = _table(spark, sf, "nation")
+    key = F.when(F.col("n_nationkey") % 5 != 1, F.col("n_nationkey").cast("string"))
+    name = F.concat(F.lit(" "), "n_name", F.lit(" "))
+    row = F.when(F.col("n_nationkey") % 7 == 0, F.array(name)).when(F.col("n_nationkey") % 11 == 10, F.array(key, name, F.lit("more"))).otherwise(F.array(key, name))
+    packed = n.groupBy(F.col("n_regionkey").alias("page"), (F.col("n_nationkey") % 2).cast("int").alias("table_ix")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))).alias("rs"))
+    tables = packed.select("page", "table_ix", F.concat(F.array(F.array(F.lit("key"), F.lit("name\nof nation"))), F.col("rs.row")).alias("cells"))
+    header = F.array(F.array(F.lit("region"), F.col("n_regionkey").cast("string")))
+    odd = F.array(header, F.array().cast("array<array<string>>"), F.array(F.array().cast("array<string>")))
+    shapes = n.select("n_regionkey").distinct().select(F.col("n_regionkey").alias("page"), F.posexplode(odd).alias("k", "cells"))
+    return tables.unionByName(shapes.select("page", (F.col("k") + 2).cast("int").alias("table_ix"), "cells")).withColumn("source", F.lit("nation"))
+
+
+@query(
+    "e7_ragged",
+    f"""WITH {_SHAPED} SELECT 'nation' AS source, page, table_ix, ragged, CASE WHEN NOT ragged THEN markdown END AS markdown FROM md
+UNION ALL SELECT 'nation', page, CAST(2 AS INTEGER), false, '| region | ' || k || ' |' || chr(10) || '| ------ | ' || repeat('-', len(k)) || ' |' || chr(10) FROM one
+UNION ALL SELECT 'nation', page, CAST(i AS INTEGER), false, '' FROM one, (VALUES (3), (4)) t(i)""",
+)
 def e7(spark, sf):
+    """Each table's whole Markdown, none of a ragged one."""
     bad = is_ragged(F.col("cells"))
-    t = _ragged_cells(spark, sf).select("page", "table_ix", bad.alias("ragged"), F.when(~bad, to_markdown(F.col("cells"))).alias("md"))
-    return t.select("page", "table_ix", "ragged", (F.size(F.split("md", "\n")) - 1).alias("n_lines"))
+    return _shaped_cells(spark, sf).select("source", "page", "table_ix", bad.alias("ragged"), F.when(~bad, to_markdown(F.col("cells"))).alias("markdown"))
 
 
 @query("e7_page_loss", f"WITH {_RAGGED} SELECT page, bool_or(ragged) AS ragged, CAST(CASE WHEN bool_or(ragged) THEN 0 ELSE count(*) END AS INTEGER) AS n FROM rag GROUP BY page")

@@ -45,3 +45,16 @@ def test_search_set_is_every_hundredth_row(spark):
         cursor = con.execute(sql[name])
         at = {d[0]: i for i, d in enumerate(cursor.description)}
         assert got == sorted(repr([r[at[c]] for c in cols]) for r in cursor.fetchall()), name
+
+
+def test_ragged_tables_give_their_whole_markdown(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW nation AS SELECT * FROM '{SF}/nation.parquet'")
+    df = entry_module.queries()["e7_ragged"](spark, SF)
+    cols = ["source", "page", "table_ix", "ragged", "markdown"]
+    assert df.columns == cols
+    rows = sorted(map(tuple, df.collect()), key=repr)
+    assert rows == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({entry_module.oracle_sql()['e7_ragged']})").fetchall(), key=repr)
+    assert any(r[3] and r[4] is None for r in rows) and any(not r[3] and r[4].count("\n") > 2 for r in rows) and any(r[4] == "" for r in rows)
