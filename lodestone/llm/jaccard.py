@@ -10,11 +10,10 @@ labels with an equal prefix of that length. One sorted pass compares each label
 neighbours and keeps those that match one for `min_depth` hashes or more: all others
 are alone in their nodes at every depth. Matching starts with whole labels, and the
 prefixes are shortened one hash at a time until the target recall. The recall that a
-depth reaches is measured: neighbours of the classes whose doc_id is divisible by
-`QUERY_STEP` give a sample of linked pairs, their whole signatures give each pair's
-similarity, and a pair of similarity s shares a prefix of depth d in some tree with
+depth reaches is measured on all pairs of neighbours, whichever documents they are: their
+whole signatures give each pair's similarity, and a pair of similarity s shares a prefix of depth d in some tree with
 probability 1 - (1 - s^d)^trees. One more pair exactly at the threshold is counted
-with them, so few samples mean short prefixes. Corpora of close copies are
+with them, so few pairs mean short prefixes. Corpora of close copies are
 matched by long prefixes, those of pairs near the threshold by short ones.
 
 Classes that share a node at the chosen depth are chained through the node's least
@@ -49,8 +48,6 @@ from lodestone.llm.components import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, MIN_DEPTH, RECALL = 24, 8, 4, 0.99999
-#: Recall is measured on pairs with a class whose doc_id is divisible by this.
-QUERY_STEP = 100
 #: Classes of a block.
 LEAST_BLOCK, MOST_BLOCK = 128, 2048
 
@@ -63,7 +60,7 @@ def recall_at(similarity: float, trees: int, depth: int) -> float:
 
 
 def choose_depth(agreed: dict[int, int], hashes: int, threshold: float, trees: int, max_depth: int, min_depth: int, recall: float) -> int:
-    """The longest prefix that reaches the recall on the pairs sampled.
+    """The longest prefix that reaches the recall on the pairs measured.
 
     agreed: number of equal hashes of the pair's signatures -> number of such pairs.
     """
@@ -186,10 +183,9 @@ def binary_rows(col: pa.Array) -> np.ndarray:
     return np.frombuffer(raw[2], np.uint8)[offsets[col.offset] : offsets[col.offset + len(col)]]
 
 
-def sampled_agreement(sorted_labels: DataFrame, classes: DataFrame, min_depth: int) -> dict[int, int]:
-    """Equal hashes of the signatures of neighbours, one of them a query class -> number of pairs: a row a count."""
-    query = F.pmod("doc", F.lit(QUERY_STEP)) == 0
-    near = sorted_labels.where(F.col("before").isNotNull() & (F.col("matched") >= min_depth) & query)
+def agreement(sorted_labels: DataFrame, classes: DataFrame, min_depth: int) -> dict[int, int]:
+    """Equal hashes of the signatures of all neighbours that share a prefix -> number of pairs: a row a count."""
+    near = sorted_labels.where(F.col("before").isNotNull() & (F.col("matched") >= min_depth))
     pairs = near.select(F.least("cls", "before").alias("a"), F.greatest("cls", "before").alias("b")).distinct()
     labels = classes.select("cls", "labels")
     both = pairs.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").select("x", "y")
@@ -380,7 +376,7 @@ def join(
     numbered = grouped.select(F.monotonically_increasing_id().alias("cls"), "digest", F.col("least.doc").alias("rep"), F.col("least.tkey").alias("tkey"), "copies", "labels")
     classes, _ = materialize(numbered, "classes")
     tries, _ = materialize(forest(classes, trees, max_depth, min_depth), "forest")
-    depth = choose_depth(sampled_agreement(tries, classes, min_depth), trees * max_depth, threshold, trees, max_depth, min_depth, recall)
+    depth = choose_depth(agreement(tries, classes, min_depth), trees * max_depth, threshold, trees, max_depth, min_depth, recall)
     nodes = nodes_at(tries, depth)
     comps, _ = materialize(connected_components(candidates(nodes).toDF("a", "b")), "candidates")
     grown = comps.groupBy("component").agg(F.count("*").alias("members"))

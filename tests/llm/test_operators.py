@@ -989,6 +989,13 @@ def test_depth_follows_the_sample():
     assert of({192: 10**6, 155: 10**6}) <= of({})
 
 
+def test_depth_is_measured_on_pairs_of_all_ids(spark):
+    labels = [bytes([0, k] * 8) for k in range(3) for _ in range(2)]
+    classes = spark.createDataFrame([(i, 100 * i + 1, x) for i, x in enumerate(labels)], "cls long, rep long, labels binary")
+    tries, _ = materialize(jaccard.forest(classes, 2, 4, 2), "forest")
+    assert jaccard.agreement(tries, classes, 2) == {8: 3}  # no doc_id is divisible by 100
+
+
 def test_sorted_pass_finds_every_shared_prefix(spark):
     r = random.Random(3)
     labels = [b"".join(bytes([0, r.randrange(3)]) for _ in range(2 * 4)) for _ in range(300)] + [bytes(16)] * 50
