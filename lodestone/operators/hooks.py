@@ -7,14 +7,18 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from lodestone.functions.text import strip
 
 Batch = Callable[[list], list]
 BATCH = 64
+#: Pages, vectors and the like are many times their input as Python objects.
+HELD_BYTES = 1 << 20
 
 
 _loaded: dict[str, object] = {}
@@ -39,29 +43,38 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def _apply(df: DataFrame, in_col: str, out_col: str, out_type: str, load: Callable[[], Batch], batch: int, keys: list[str] | None = None) -> DataFrame:
     """load() runs once in each worker process (a model is loaded there, not sent); a row that
-    fails alone gives null and its error, the others of its batch are kept. keys: deal the rows anew by them first."""
+    fails alone gives null and its error, the others of its batch are kept. keys: deal the rows anew by them first.
+
+    A worker holds what comes of HELD_BYTES of input, or of one batch of the hook if that is more: what is done is passed on."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out_col}` {out_type}", "hook_error string"])
+    names, kind = [*df.columns, out_col, "hook_error"], to_arrow_type(StructType.fromDDL(f"x {out_type}")["x"].dataType)
+    at = df.columns.index(in_col)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = _once(load)
-        for frame in frames:
-            values, out, errors = frame[in_col].tolist(), [], []
-            for i in range(0, len(values), batch):
-                part = values[i : i + batch]
+        for rows in arrived:
+            start, held, out, errors = 0, 0, [], []
+            for i in range(0, rows.num_rows, batch):
+                of = rows.column(at).slice(i, batch)
+                part = of.to_pylist()
                 try:
-                    out += f(part)
+                    out += list(f(part))
                     errors += [None] * len(part)
                 except Exception:
                     for v in part:
                         try:
-                            out += f([v])
+                            out += list(f([v]))
                             errors.append(None)
                         except Exception as e:
                             out.append(None)
                             errors.append(f"{type(e).__name__}: {e}"[:500])
-            yield frame.assign(**{out_col: out, "hook_error": errors})
+                held += of.nbytes
+                if held >= HELD_BYTES or i + batch >= rows.num_rows:
+                    done = [pa.array(out, kind, from_pandas=True), pa.array(errors, pa.string())]
+                    yield pa.RecordBatch.from_arrays([*rows.slice(start, len(part) + i - start).columns, *done], names=names)
+                    start, held, out, errors = i + len(part), 0, [], []
 
-    return (spread(df, keys) if keys else df).mapInPandas(run, schema)
+    return (spread(df, keys) if keys else df).mapInArrow(run, schema)
 
 
 def stub_pdf() -> Batch:

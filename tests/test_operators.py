@@ -139,6 +139,39 @@ def test_hooks_survive_failing_rows(spark):
     assert got == {1: ("ok", None), 2: (None, "ValueError: no image")}
 
 
+def test_hooks_pass_results_on(spark):
+    """A worker does not hold the results of a whole Arrow batch."""
+
+    def load():
+        class Counted(str):
+            alive = 0
+
+            def __new__(cls, _):
+                cls.alive += 1
+                return super().__new__(cls, cls.alive)
+
+            def __del__(self):
+                type(self).alive -= 1
+
+        return lambda images: [Counted(x) for x in images]
+
+    df = spark.range(0, 64, 1, 1).select("id", F.array(F.lit(1)).alias("other"), F.repeat(F.lit("x"), 100_000).cast("binary").alias("content"))
+    got = hooks.caption(df, load).select("id", "other", F.col("caption").cast("int").alias("n")).collect()
+    assert [r["id"] for r in got] == list(range(64)) and all(r["other"] == [1] for r in got)
+    assert max(r["n"] for r in got) <= 24  # twice the 1 MB of input that may be held
+
+
+def test_hooks_take_arrays_of_a_model(spark):
+    def load():
+        import numpy as np
+
+        return lambda texts: np.array([[3, 4]] * len(texts), np.float32)
+
+    v = hooks.embed(spark.range(200).select("id", F.lit("x").alias("text")).coalesce(1), load)
+    rows = v.collect()
+    assert sorted(r["id"] for r in rows) == list(range(200)) and all(abs(r["embedding"][0] - 0.6) < 1e-6 for r in rows)
+
+
 # --------------------------------------------------------------------- sources
 
 
