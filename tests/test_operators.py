@@ -405,6 +405,44 @@ def test_nearest_in_blocks_equals_brute_force(spark, monkeypatch):
     assert score.nearest(q, v.limit(0), 5).count() == 0
 
 
+def test_nearest_by_groups_equals_brute_force(spark, monkeypatch):
+    r = random.Random(5)
+    x = [[r.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)] for _ in range(600)]
+    dot = lambda a, b: sum(p * s for p, s in zip(a, b, strict=True))
+    for name, n in (("VECTOR_BLOCK", 64), ("QUERY_BLOCK", 16), ("STRIP", 5), ("HELD_ROWS", 50)):
+        monkeypatch.setattr(score, name, n)
+    for groups in (2, 40):
+        v = spark.createDataFrame([(i, e, i % groups) for i, e in enumerate(x)], "chunk_ix long, embedding array<double>, page int").repartition(3)
+        q = v.where("chunk_ix % 17 = 0").select(F.col("chunk_ix").alias("query_id"), F.lit(0).alias("variant_ix"), "embedding")
+        found = score.nearest(q, v, 9, F.col("page").cast("long"), small_first=False).withColumn("combined", F.col("raw"))
+        placed = found.join(v.select("chunk_ix", "page"), "chunk_ix")
+        got = {}
+        for row in rank.spread(placed, ["page"], 9).orderBy("rank").collect():
+            got.setdefault(row["query_id"], []).append(row["chunk_ix"])
+        assert len(got) == 36
+        for i, ids in got.items():
+            order = sorted(range(600), key=lambda c: (-dot(x[i], x[c]), -c))
+            heads = list({c % groups: c for c in reversed(order)}.values())
+            late = {c: c not in heads for c in order}
+            assert ids == sorted(order, key=lambda c: late[c])[:9]
+
+
+def test_nearest_ranks_only_what_counts(spark, monkeypatch):
+    """Of a pair of blocks, products that can't be among the first are left out before any is ranked."""
+    best = score._best
+
+    def few(query, *more):
+        assert len(query) <= 20_000
+        return best(query, *more)
+
+    monkeypatch.setattr(score, "_best", few)
+    v = spark.range(0, 4096, 1, 1).select(F.col("id").alias("chunk_ix"), F.array(*[F.sin(F.col("id") * k) for k in range(1, 9)]).alias("embedding"))
+    q = v.where("chunk_ix % 16 = 0").select(F.col("chunk_ix").alias("query_id"), F.lit(0).alias("variant_ix"), "embedding")
+    for groups in (4, 64):
+        found = score.nearest(q, v, 25, F.col("chunk_ix") % groups, small_first=False)
+        assert found.groupBy("query_id").count().where("count >= 25").count() == 256
+
+
 def test_a_saved_index_is_reused(spark, corpus, tmp_path):
     texts, ix = corpus
     made = []
