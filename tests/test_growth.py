@@ -189,3 +189,25 @@ def test_page_lookup_follows_the_order_of_arrival(spark, tmp_path):
     ix = segments.open_index(spark, root)
     asked = spark.createDataFrame([(1, 1, "x", False)], "query_id long, page_num int, corrected string, was_changed boolean")
     assert [r["source"] for r in rank.page_lookup(asked, ix.chunks).orderBy("rank").collect()] == ["z", "m", "a"]
+
+
+def test_a_batch_reads_contents_twice(spark, tmp_path):
+    """Once for their hash, once to be extracted."""
+    read = spark.sparkContext.accumulator(0)
+
+    def content(x):
+        read.add(1)
+        return x
+
+    one = F.udf(content, "binary").asNondeterministic()
+    raw = spark.createDataFrame([(f"/in/f{i}", bytearray(f"text {i % 8}".encode() if i else b"")) for i in range(20)], "path string, c binary")
+    named = src.named(raw.select("path", one("c").alias("content")))
+    extract = lambda f: f.where("length(content) > 0").select("doc_md5", F.lit(1).alias("page"), F.decode("content", "UTF-8").alias("text"))
+    for _ in range(2):
+        before = read.value
+        files.commit(named, 0, f"{tmp_path}/cache", extract)
+        assert read.value - before <= 40
+        got = sorted((r["source"], r["text"]) for r in files.pages_of(spark, f"{tmp_path}/cache").collect())
+        assert got == sorted((f"f{i}", f"text {i % 8}") for i in range(1, 20))
+        held = spark.read.parquet(f"{tmp_path}/cache/pages/batch=0")
+        assert held.count() == 9 and held.where("page IS NULL").count() == 1
