@@ -161,6 +161,23 @@ def test_hooks_pass_results_on(spark):
     assert max(r["n"] for r in got) <= 24  # twice the 1 MB of input that may be held
 
 
+def test_ocr_passes_rows_on(spark):
+    """The other columns and failures stay with their rows where a batch is passed on in pieces."""
+
+    def load():
+        def f(images):
+            if bytes(images[0]).endswith(b"7"):
+                raise ValueError("unreadable")
+            return [f" {bytes(x)[-3:].decode()} " for x in images]
+
+        return f
+
+    image = F.concat(F.repeat(F.lit("x"), 200_000), F.lpad(F.col("id").cast("string"), 3, "0")).cast("binary")
+    got = hooks.ocr(spark.range(0, 100, 1, 1).select("id", image.alias("image")), load).select("id", "ocr_text", "hook_error").collect()
+    failed = (None, "ValueError: unreadable")
+    assert [tuple(r) for r in got] == [(i, *(failed if i % 10 == 7 else (f"{i:03}", None))) for i in range(100)]
+
+
 def test_hooks_take_arrays_of_a_model(spark):
     def load():
         import numpy as np
