@@ -231,9 +231,9 @@ _CACHE_SQL = "SELECT 'file' || doc_id AS source, CAST(1 AS INTEGER) AS page, tex
 
 @query("s3_cache", _CACHE_SQL)
 def s3(spark, sf):
-    """Half of the contents cached, the others extracted; every name gets its pages."""
+    """Half of the contents cached, the others extracted; every name gets its pages, of which an empty content has none."""
     files = _files(spark, sf)
-    read = lambda f: f.select("doc_md5", F.lit(1).alias("page"), F.decode("content", "UTF-8").alias("text"))
+    read = lambda f: f.select("doc_md5", F.lit(1).alias("page"), F.decode("content", "UTF-8").alias("text")).where("text <> ''")
     cache = read(files.where(F.substring("doc_md5", 1, 1) < "8")).distinct()
     return src.cached_pages(files, cache, read)[0]
 

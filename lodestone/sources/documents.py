@@ -58,14 +58,22 @@ def write_cache(new: DataFrame, path: str, batch: str | None = None) -> None:
 
 
 def to_extract(files: DataFrame, cache: DataFrame | None) -> DataFrame:
-    """One file for each content that the cache does not hold. Contents are not shuffled: the
-    file of each hash is chosen by its name and path, and only those two go back to the files."""
-    return files.join(first_files(files.select("doc_md5", "name", "path"), cache), ["doc_md5", "name", "path"], "left_semi")
+    """One file for each content that the cache does not hold: the file of each hash is chosen by its name and path,
+    either of which may be null, and of a file that is listed several times one row counts."""
+    return _chosen(files, first_files(files.select("doc_md5", "name", "path"), cache))
+
+
+def _chosen(files: DataFrame, first: DataFrame) -> DataFrame:
+    of = first.select(*[F.col(c).alias(f"__{c}") for c in ("doc_md5", "name", "path")])
+    same = (F.col("doc_md5") == F.col("__doc_md5")) & F.col("name").eqNullSafe(F.col("__name")) & F.col("path").eqNullSafe(F.col("__path"))
+    return files.join(of, same, "left_semi").dropDuplicates(["doc_md5"])
 
 
 def first_files(keys: DataFrame, cache: DataFrame | None) -> DataFrame:
     """(doc_md5, name, path) of the file to extract for each content that the cache does not hold."""
-    todo = keys.join(cache.select("doc_md5").distinct(), "doc_md5", "left_anti") if cache is not None else keys
+    todo = keys.where("doc_md5 IS NOT NULL")
+    if cache is not None:
+        todo = todo.join(cache.select("doc_md5").distinct(), "doc_md5", "left_anti")
     return todo.groupBy("doc_md5").agg(F.min(F.struct("name", "path")).alias("first")).select("doc_md5", "first.name", "first.path")
 
 
@@ -76,8 +84,8 @@ def cached_pages(files: DataFrame, cache: DataFrame | None, extract: Callable[[D
     extract: files -> (doc_md5, page, text). Names are put on after the cache, so a
     renamed file keeps its pages under its new name.
     """
-    todo = to_extract(files, cache)
-    made = todo.select("doc_md5").join(extract(todo), "doc_md5", "left").select("doc_md5", "page", "text")
+    first = first_files(files.select("doc_md5", "name", "path"), cache)
+    made = first.select("doc_md5").join(extract(_chosen(files, first)), "doc_md5", "left").select("doc_md5", "page", "text")
     known = made if cache is None else cache.select("doc_md5", "page", "text").unionByName(made)
     pages = files.select(F.col("name").alias("source"), "doc_md5").join(known, "doc_md5").where("page IS NOT NULL")
     return pages.select("source", "page", "text"), made

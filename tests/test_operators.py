@@ -1,5 +1,6 @@
 """Chunking, extraction, index, scores, ranking, answers."""
 
+import hashlib
 import math
 import random
 import re
@@ -212,6 +213,17 @@ def test_cache_keeps_pages_of_renamed_files(spark, tmp_path):
     assert again.where("source = 'e.txt'").count() == 1 and calls == [3, 0] and newer.count() == 0
 
 
+def test_every_listed_file_gets_its_pages_once(spark, tmp_path):
+    """Rows that are there twice, names and paths that are null, and empty contents: as the cache's SQL says."""
+    from lodestone import queries
+
+    rows = [(1, "twice", "s"), (1, "twice", "s"), (2, "", "s"), (3, "no path", None), (None, "no name", "s"), (4, None, "s"), (5, "twice", "t")] + [(k, f"text {k}", "s") for k in range(10, 40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((str(r["source"]), r["page"], r["text"]) for r in queries.s3(spark, str(tmp_path)).collect())
+    assert got == sorted((f"file{k}" if k else "None", 1, text) for k, text, _ in rows if text)
+    assert queries.s3_work(spark, str(tmp_path)).first()["n"] == len({t for _, t, _ in rows if t is not None and hashlib.md5(t.encode()).hexdigest() >= "8"})
+
+
 def test_file_stats_and_fingerprint(spark):
     files = spark.createDataFrame([("a", "1"), ("b", "2")], "name string, doc_md5 string")
     chunks = spark.createDataFrame([("a",), ("a",)], "source string")
